@@ -17,8 +17,31 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+#: The contract's conversation whose texts hold control strings.
+PROBE_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.chat import chat_digests, format_conversations
+
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PROBE_TEXT).alias("text"),
+    )
+    return chat_digests(format_conversations(rows.unionByName(probe)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash,)}
+    return {f.__name__: f for f in (op6_packing, op9_simhash, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
