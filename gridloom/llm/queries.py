@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import read_table
 
 
+def op7_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.crosspolytope import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.simhash import simhash_groups
 
@@ -17,6 +23,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.secrets import digest_text, scan
+
+    return scan(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(digest_text(F.col("base")), 256).alias("base_sha256"), digest_text(F.col("spans")).alias("spans")
+    )
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.warc import archive
+
+    return archive(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.packing import pack
 
@@ -41,7 +61,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_packing, op9_simhash, op10_chat)}
+    return {f.__name__: f for f in (op1_secrets, op2_warc, op6_packing, op7_crosspolytope, op9_simhash, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
