@@ -4,13 +4,42 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from functools import wraps
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: their Python workers import it by name."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="gridloom-code-")) / f"{package.name}.zip"  # Spark's file server sends it on
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
+def shipped(f: Callable) -> Callable:
+    """f(spark, ..) with the package sent first."""
+
+    @wraps(f)
+    def run(spark: SparkSession, *args, **kwargs):
+        ship(spark)
+        return f(spark, *args, **kwargs)
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:

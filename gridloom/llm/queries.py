@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import read_table
+from gridloom.llm.common import read_table, shipped
 
 
 def op7_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op7_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.transducer import encode_digests
+
+    return encode_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.simhash import simhash_groups
 
@@ -37,6 +43,24 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.quality import quality_scores
+
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.multiindex import search
+
+    return search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.packing import pack
 
@@ -60,9 +84,30 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_conversations(rows.unionByName(probe)))
 
 
+#: Conversations' digests in SQL: marks and escapes are as chat.py writes them.
+CHAT_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), e AS (
+  SELECT *, length('<|im_start|>') + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + 1
+    + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + length('<|im_end|>') + 1 AS chars FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_warc, op6_packing, op7_crosspolytope, op9_simhash, op10_chat)}
+    all_ = (op1_secrets, op2_warc, op3_quality, op4_toxicity, op5_multiindex, op6_packing, op7_crosspolytope, op8_sentencepiece, op9_simhash, op10_chat)
+    return {f.__name__: shipped(f) for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The chat digests; the other nine are held against brute force in tests/llm."""
+    return {"op10_chat": CHAT_SQL}
