@@ -2,24 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import read_table, stage
-from gridloom.llm.simhash import simhash_groups
+from gridloom.llm import packing, quality, secrets, simhash, toxicity
+from gridloom.llm.common import read_table, shipped, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest id stays."""
-    kept = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+@shipped
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon calls toxic go."""
+    own = docs.select(*COLUMNS)
+    lexicon = toxicity.lexicon_of(own, read_table(spark, sf_dir, "labels"))
+    return toxicity.scored(own, lexicon).where(F.col("score") < 0.5).select(*COLUMNS)
 
 
-STAGES = [("near_dedup", near_dedup)]
+@shipped
+def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    rows = stage(quality.measured(docs.select(*COLUMNS)), "pipeline-measured")
+    return quality.scored(rows, read_table(spark, sf_dir, "labels")).where(F.col("score") >= 0.3).select(*COLUMNS)
 
-#: Learned scores and fingerprints are beyond SQL; tests hold the stages against brute force.
+
+@shipped
+def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash group the document with the smallest id stays, and of rows that repeat it one.
+
+    Documents without an id stay if their whole group has none.
+    """
+    groups = simhash.simhash_groups(docs)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    stays = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept"))).drop("kept")
+    repeats = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
+    return stays.withColumn("nth", F.row_number().over(repeats)).where("nth = 1").select(*COLUMNS)
+
+
+@shipped
+def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; every secret in a text gives way to a mark, and n_chars follows."""
+    rows = stage(secrets.scanned(docs.select(*COLUMNS, F.coalesce("text", F.lit("")).alias("scanned")), "scanned").drop("scanned"), "pipeline-scanned")
+    found = secrets.all_spans(rows, secrets.thresholds(rows))
+    hit = F.size("spans") > 0
+    text = F.when(hit, secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return found.withColumn("clean", text).select(
+        "doc_id", F.col("clean").alias("text"), "lang", "source", F.when(hit, F.length("clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    )
+
+
+@shipped
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token windows over all documents that are left."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("quality", poor_out),
+    ("near_dedup", near_copies_out),
+    ("secrets", secrets_out),
+    ("packing", packed),
+]
+
+#: Learned scores, fingerprints and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
