@@ -75,7 +75,7 @@ MAPPINGS = {
 }
 
 #: One type that can hold a JSON record of any listed layout.
-WIDE = T._parse_datatype_string(
+WIDE = (
     "prompt string, completion string, response string, instruction string, input string, output string, system string, "
     "messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>, turns array<struct<role:string,text:string>>"
 )

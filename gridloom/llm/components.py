@@ -1,9 +1,10 @@
 """Connected components by repeated contraction, without collecting anything.
 
 Each round points every vertex at its smallest neighbour (pointers only ever
-decrease, so they form a forest), shortens the pointers by doubling, renames the
-edges' ends, and drops the loops. Stars, which is what the near-duplicate
-operators emit, vanish in the first round; long chains shrink geometrically.
+decrease, so they form a forest), doubles the pointers until all lead to roots,
+renames the edges' ends to their roots, and drops the loops. Stars, which is what the
+near-duplicate operators emit, vanish in the first round; a chain of n vertices takes
+doublings in the logarithm of n.
 The vertex with the smallest id never moves, so the final name of a component
 is its smallest vertex.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import stage
 
 
-def connected_components(edges: DataFrame, doublings: int = 2, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """edges (src, dst) -> (node, component) for every vertex that has an edge to another.
 
     Loops, repeated and reversed edges and rows with nulls do no harm; no edges
@@ -34,13 +35,7 @@ def connected_components(edges: DataFrame, doublings: int = 2, max_rounds: int =
             break
         both = e.union(e.select("dst", "src"))
         up = stage(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("parent")), "cc-up")
-        for _ in range(doublings):
-            up = stage(
-                up.join(up.select(F.col("node").alias("parent"), F.col("parent").alias("above")), "parent").select(
-                    "node", F.col("above").alias("parent")
-                ),
-                "cc-up",
-            )
+        up = _to_roots(up)
         by_src = up.select(F.col("node").alias("src"), F.col("parent").alias("a"))
         by_dst = up.select(F.col("node").alias("dst"), F.col("parent").alias("b"))
         moved = stage(e.join(by_src, "src").select("a", "dst"), "cc-half")
@@ -65,3 +60,14 @@ def connected_components(edges: DataFrame, doublings: int = 2, max_rounds: int =
     if names is None:
         return e.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     return names
+
+
+def _to_roots(up: DataFrame, most: int = 64) -> DataFrame:
+    """Pointers (node, parent) doubled until every parent points at itself."""
+    for _ in range(most):
+        above = up.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        doubled = stage(up.join(above, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "cc-up")
+        up = doubled.select("node", "parent")
+        if doubled.where("moved").isEmpty():
+            return up
+    raise RuntimeError("pointers did not converge")

@@ -9,10 +9,11 @@ alphabet's middle, and lag-1 serial correlation. Each gives a p-value under
 "random"; the three are combined by Fisher's method into a score.
 
 Whether a score may pass is decided by false-discovery control by length. Ordinary
-words (long runs of letters of one case) are decoys, scored by the same battery.
-For each length class, the threshold is the lowest score at which decoys passing
-per candidate passing, counted over all documents, is at most ``alpha``; longer
-tokens, on which the tests have more power, earn lower thresholds. Scores are
+words and numbers, also joined by signs, are decoys, scored by the same battery. For
+each length class, the threshold is the lowest score at which the false passes that
+the decoys' passing rate predicts are at most ``alpha`` of all passes, counted over all
+documents; longer tokens, on which the tests have more power, earn lower thresholds.
+Too few decoys let nothing pass. Scores are
 counted in a fixed number of bins, so what is gathered does not grow with the
 corpus. Candidates that overlap a base span give way to it.
 
@@ -40,6 +41,8 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+#: Ordinary tokens, the decoys: words and numbers, also joined by signs.
+WORDS = "^([a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+)([_/+-]+([a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+))*$"
 #: Length classes of the false-discovery control: a token belongs to the last one that it reaches.
 CLASSES = (20, 28, 40, 64)
 BINS = 64
@@ -221,7 +224,7 @@ def scanned(df: DataFrame, text: str = "text") -> DataFrame:
     df = found(base_spans(df, text), F.col(text), CANDIDATE, "__c")
     free = F.filter("__c", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     digit = lambda c: c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]")
-    word = lambda c: c["value"].rlike("^([a-z]+|[A-Z]+|[A-Z][a-z]+)$")
+    word = lambda c: c["value"].rlike(WORDS)
     tokens = F.transform(
         F.filter(free, lambda c: digit(c) | word(c)),
         lambda c: F.struct(
@@ -236,20 +239,29 @@ def scanned(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("tokens", tokens).drop("__c")
 
 
-def thresholds(rows: DataFrame, alpha: float = 0.01) -> dict[tuple[int, int], int]:
+def thresholds(rows: DataFrame, alpha: float = 0.05) -> dict[tuple[int, int], int]:
     """(length class, alphabet size) -> last bin that may pass, from counts over all rows.
 
-    At most classes x alphabets x bins counts reach the driver.
+    A class is held against the decoys of its own and shorter classes, which pass more
+    easily; an alphabet with few decoys is held against those of all alphabets. At most
+    classes x alphabets x bins counts reach the driver.
     """
     each = rows.select(F.explode("tokens").alias("t")).select("t.*")
     counted = each.groupBy("class", "symbols", "bin").agg(F.sum(F.col("decoy").cast("long")).alias("decoys"), F.count("*").alias("all")).collect()
+
+    def decoys(cls: int, symbols: int | None, last: int) -> int:
+        return sum(r["decoys"] for r in counted if r["class"] <= cls and symbols in (None, r["symbols"]) and r["bin"] <= last)
+
     out: dict[tuple[int, int], int] = {}
-    for key in {(r["class"], r["symbols"]) for r in counted}:
-        decoys = targets = 0
-        for r in sorted((r for r in counted if (r["class"], r["symbols"]) == key and r["bin"] <= LAST_BIN), key=lambda r: r["bin"]):
-            decoys, targets = decoys + r["decoys"], targets + r["all"] - r["decoys"]
-            if targets and decoys <= alpha * targets:
-                out[key] = r["bin"]
+    for cls, symbols in {(r["class"], r["symbols"]) for r in counted}:
+        own = symbols if decoys(cls, symbols, BINS) * alpha >= 1 else None
+        known = decoys(cls, own, BINS)
+        mine = [(r["bin"], r["all"] - r["decoys"]) for r in counted if (r["class"], r["symbols"]) == (cls, symbols)]
+        targets = sum(n for _, n in mine)
+        for last in range(LAST_BIN + 1):
+            passing = sum(n for b, n in mine if b <= last)
+            if passing and targets * (decoys(cls, own, last) + 1) / (known + 1) <= alpha * passing:
+                out[cls, symbols] = last
     return out
 
 
@@ -262,7 +274,7 @@ def all_spans(rows: DataFrame, limits: dict[tuple[int, int], int]) -> DataFrame:
     return rows.withColumn("spans", by_place(F.concat("base", more.cast(SPANS))))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.01, keep_text: bool = False) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.05, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base, spans[, text]) of every row of docs."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = scanned(own)
