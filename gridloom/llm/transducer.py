@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +37,11 @@ from gridloom.llm.common import pieces
 
 BLANK = "▁"
 #: Units and neighbour verdicts remembered by a worker; beyond that it starts anew.
-REMEMBERED, VERDICTS = 500_000, 1_000_000
+REMEMBERED, VERDICTS = 1_000_000, 1_000_000
+#: Longer units are not remembered.
+LONGEST_UNIT = 64
+#: A position that no arc has reached yet.
+OPEN = -2
 #: Weight of a character that only its bytes can give; any path of pieces is cheaper.
 BYTE_WEIGHT = 1e6
 _UNITS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -99,13 +105,16 @@ class Transducer:
                 self.output[i] = bytes([value])
             elif special(i):
                 self.output[i] = b""
-        self.longest = max(map(len, self.ids))
         self.begin_only = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.follows: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
-        self.kind = "<u2" if n <= 1 << 16 else "<u4"
+        self.kind, self.letter = ("<u2", "H") if n <= 1 << 16 else ("<u4", "I")
         #: Pieces that their own characters merge to; others are on no path.
-        self.reached = {p: i for p, i in self.ids.items() if not self.merging or len(p) == 1 or self._merge(p) == [p]}
+        self.trie = ahocorasick.Automaton()
+        for p, i in self.ids.items():
+            if not self.merging or len(p) == 1 or self._merge(p) == [p]:
+                self.trie.add_word(p, (i, len(p)))
+        self.trie.make_automaton()
 
     def _merge(self, text: str) -> list[str]:
         """Characters merged best pair first, leftmost among equals."""
@@ -137,32 +146,50 @@ class Transducer:
         """Ids of the cheapest path over one normalised unit.
 
         States are positions with the piece that ends there (-1: start or bytes), relaxed
-        in topological order. Under the neighbour filter a position has exactly one live
-        state, the last piece of its prefix' encoding, so its first admissible arc is its
-        only one; without the filter the least cost decides.
+        in topological order; the trie gives the arcs that end at a position. Under the
+        neighbour filter a position has exactly one live state, the last piece of its
+        prefix' encoding, so its first admissible arc is its only one and weights need
+        not be compared; without the filter the least cost decides.
         """
-        size, weights, reached, longest = len(unit), self.weights, self.reached, self.longest
-        follows, wide = self.follows, len(self.names)
+        size, wide, follows = len(unit), len(self.names), self.follows
+        last, back, done = [-1] + [OPEN] * size, [0] * (size + 1), 0
+        if not self.merging:
+            return self._least_cost(unit)
+        for end, (b, n) in self.trie.iter(unit):
+            while done < end:  # positions that no piece reaches: bytes
+                done += 1
+                if last[done] == OPEN:
+                    last[done], back[done] = -1, done - 1
+            j = end + 1
+            if last[j] != OPEN:
+                continue
+            a = last[j - n]
+            if a >= 0:
+                ok = follows.get(a * wide + b)
+                if not (self.may_follow(a, b) if ok is None else ok):
+                    continue
+            last[j], back[j] = b, j - n
+        for j in range(done + 1, size + 1):
+            if last[j] == OPEN:
+                last[j], back[j] = -1, j - 1
+        return self._path(unit, last, back)
+
+    def _least_cost(self, unit: str) -> list[int]:
+        size, weights = len(unit), self.weights
         cost, last, back = [0.0] + [np.inf] * size, [-1] * (size + 1), [0] * (size + 1)
+        arcs: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
+        for end, arc in self.trie.iter(unit):
+            arcs[end + 1].append(arc)
         for j in range(1, size + 1):
-            for i in range(max(0, j - longest), j):
-                b = reached.get(unit[i:j])
-                if b is None:
-                    continue
-                if self.merging:
-                    a = last[i]
-                    if a >= 0:
-                        ok = follows.get(a * wide + b)
-                        if not (self.may_follow(a, b) if ok is None else ok):
-                            continue
-                    cost[j], last[j], back[j] = cost[i] + weights[b], b, i
-                    break
-                if cost[i] + weights[b] < cost[j]:
-                    cost[j], last[j], back[j] = cost[i] + weights[b], b, i
-            if cost[j] == np.inf:  # no piece: the character's bytes
-                cost[j], last[j], back[j] = cost[j - 1] + BYTE_WEIGHT, -1, j - 1
+            cost[j], back[j] = cost[j - 1] + BYTE_WEIGHT, j - 1
+            for b, n in arcs[j]:
+                if cost[j - n] + weights[b] < cost[j]:
+                    cost[j], last[j], back[j] = cost[j - n] + weights[b], b, j - n
+        return self._path(unit, last, back)
+
+    def _path(self, unit: str, last: list[int], back: list[int]) -> list[int]:
         out: list[int] = []
-        j = size
+        j = len(unit)
         while j > 0:
             if last[j] >= 0:
                 out.append(last[j])
@@ -186,10 +213,12 @@ class Transducer:
         for u in units:
             ids = known.get(u)
             if ids is None:
-                ids = np.array(self.shortest_path(u), dtype=self.kind).tobytes()
+                path = self.shortest_path(u)
+                ids = struct.pack(f"<{len(path)}{self.letter}", *path)
                 if len(known) >= REMEMBERED:
                     known.clear()
-                known[u] = ids
+                if len(u) <= LONGEST_UNIT:
+                    known[u] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), dtype=self.kind)
 
