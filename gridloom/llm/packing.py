@@ -24,6 +24,7 @@ empty result.
 from __future__ import annotations
 
 import base64
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +37,9 @@ from gridloom.llm.common import pieces, stage
 
 K1, B = 1.2, 0.75
 #: Words remembered by a Python worker; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Longer pieces are not remembered.
+LONGEST_PIECE = 64
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -59,14 +62,16 @@ class WordEncoder(dict):
         self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u2").tobytes()
+        return struct.pack(f"<{len(ids := self.encoding.encode_ordinary(text))}H", *ids)
 
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Unclean
+        out = self.encode(" " + piece)
         if len(self) >= REMEMBERED:
             self.clear()
-        out = self[piece] = self.encode(" " + piece)
+        if len(piece) <= LONGEST_PIECE:
+            self[piece] = out
         return out
 
     def ids(self, text: str) -> bytes:
@@ -109,9 +114,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for ids in b.column(0).to_pylist():
             x = np.frombuffer(ids, "<u2")
-            df += np.bincount(x, minlength=1 << 16) > 0 if len(x) > 20_000 else 0
-            if len(x) <= 20_000:
-                df[np.unique(x)] += 1
+            df[x] += 1  # once for each distinct id, however often it stands in x
             docs, tokens = docs + 1, tokens + len(x)
     term = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2]).astype(np.int64)), pa.array(np.append(df[term], [docs, tokens]))], names=["term", "n"])
