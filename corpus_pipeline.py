@@ -30,13 +30,19 @@ def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group the document with the smallest id stays, and of rows that repeat it one.
 
-    Documents without an id stay if their whole group has none.
+    Documents without an id cannot stand for a group; they stay, and of equal texts one.
     """
-    groups = simhash.simhash_groups(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    stays = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept"))).drop("kept")
+    own, groups = docs.select(*COLUMNS), simhash.simhash_groups(docs)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    # the join deals rows by doc_id, which the ranking below asks for, too: texts move once
+    named = _first_of_repeats(own.join(kept, "doc_id"))
+    bare = _first_of_repeats(own.where(F.col("doc_id").isNull()))
+    return named.unionByName(bare)
+
+
+def _first_of_repeats(rows: DataFrame) -> DataFrame:
     repeats = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
-    return stays.withColumn("nth", F.row_number().over(repeats)).where("nth = 1").select(*COLUMNS)
+    return rows.withColumn("nth", F.row_number().over(repeats)).where("nth = 1").select(*COLUMNS)
 
 
 @shipped
