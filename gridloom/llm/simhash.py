@@ -14,6 +14,11 @@ already known to be one component are pruned too, so a tight group of many unlik
 fingerprints is not expanded into all its pairs. A task emits a star per local
 component, never its pairs, and the stars are joined by ``connected_components``.
 
+A key with more than ``large`` fingerprints is cut the same way once more: what is left
+of its bits makes ``budget + 2`` chunks, at least two of which agree in a linked pair,
+so each pair of chunks keys a part of its own. Nothing is lost, and with three bits no
+part can hold more than 2^24 fingerprints, however many copies a group has.
+
 Defined cases: null text is an empty text; texts without words have fingerprint
 zero and link like any other; a text with fewer words than a shingle is one shingle;
 null ids are ignored as a component's smallest id unless the whole component has
@@ -30,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import pieces, stage
@@ -40,6 +45,10 @@ from gridloom.llm.components import connected_components
 CHUNK = 1 << 16
 #: Distinct fingerprint rows walked at once, and node pairs expanded at once.
 LEAVES, FRONTIER = 1 << 20, 1 << 18
+#: Fingerprints of a key that are walked as one; a larger key is cut by further chunks.
+LARGE = 1 << 18
+#: Longest list of large keys that is broadcast (12 bytes a row); beyond it the list is joined by shuffling.
+BROADCAST_ROWS = 50_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -80,13 +89,30 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def block_layout(budget: int) -> list[tuple[int, int]]:
-    """(shift, width) of the budget + 2 blocks that 64 bits are cut into."""
+def block_layout(budget: int, bits: int = 64) -> list[tuple[int, int]]:
+    """(shift, width) of the budget + 2 blocks that so many bits are cut into."""
     n = budget + 2
-    cuts = [64 * i // n for i in range(n + 1)]
+    cuts = [bits * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in itertools.pairwise(cuts)]
 
 
+def block_pairs(budget: int) -> list[tuple[int, int]]:
+    return list(itertools.combinations(range(budget + 2), 2))
+
+
+def without(layout: list[tuple[int, int]], pair: tuple[int, int]) -> list[tuple[int, int]]:
+    """The blocks that are left when a pair's have become a key."""
+    return [block for i, block in enumerate(layout) if i not in pair]
+
+
+def _gather(x: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
+    """The blocks' bits side by side, the first ones highest."""
+    out = np.zeros(len(x), np.uint64)
+    for shift, width in blocks:
+        out = (out << np.uint64(width)) | ((x >> np.uint64(shift)) & np.uint64((1 << width) - 1))
+    return out
+
+
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
@@ -183,21 +209,26 @@ def trie_components(group: np.ndarray, rest: np.ndarray, bits: int, budget: int)
 
 
 def _stars(budget: int):
-    layout = block_layout(budget)
-    tables = list(itertools.combinations(range(len(layout)), 2))
+    layout, pairs = block_layout(budget), block_pairs(budget)
+
+    def remaining(table: int, fp: np.ndarray) -> tuple[np.ndarray, int]:
+        """What a table's keys leave of the fingerprints, and how many bits that are."""
+        part, t = divmod(table, len(pairs))
+        blocks = without(layout, pairs[t])
+        rest, bits = _gather(fp, blocks), sum(w for _, w in blocks)
+        if part:  # a part of a large key
+            blocks = without(block_layout(budget, bits), pairs[part - 1])
+            rest, bits = _gather(rest, blocks), sum(w for _, w in blocks)
+        return rest, bits
 
     def walk(table: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        rest = np.zeros(len(fp), np.uint64)
-        bits = max(sum(w for i, (_, w) in enumerate(layout) if i not in t) for t in tables)
-        for t, pair in enumerate(tables):
+        rest, most = np.zeros(len(fp), np.uint64), 0
+        for t in np.unique(table):
             mine = table == t
-            if mine.any():
-                x = np.zeros(mine.sum(), np.uint64)
-                for i, (shift, width) in enumerate(layout):
-                    if i not in pair:
-                        x = (x << np.uint64(width)) | ((fp[mine] >> np.uint64(shift)) & np.uint64((1 << width) - 1))
-                rest[mine] = x
-        order, root = trie_components((table.astype(np.int64) << 40) | key, rest, bits, budget)
+            rest[mine], bits = remaining(int(t), fp[mine])
+            most = max(most, bits)
+        group = np.cumsum(np.concatenate(([0], (table[1:] != table[:-1]) | (key[1:] != key[:-1]))))
+        order, root = trie_components(group, rest, most, budget)
         leaf = np.flatnonzero(root != np.arange(len(root)))
         out = fp.view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(out[order[root[leaf]]]), pa.array(out[order[leaf]])], names=["src", "dst"])
@@ -223,22 +254,53 @@ def _stars(budget: int):
     return run
 
 
-def link_fingerprints(distinct: DataFrame, budget: int = 3) -> DataFrame:
-    """Stars (src, dst) whose components are those of all pairs of ``fp`` within the budget."""
-    layout = block_layout(budget)
+def _keys(bits: Column, layout: list[tuple[int, int]], budget: int) -> list[Column]:
+    """The key of every pair of blocks."""
 
-    def block(i: int):
+    def block(i: int) -> Column:
         shift, width = layout[i]
-        return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-
-    keys = [F.struct(F.lit(t).cast("int").alias("table"), F.shiftleft(block(a), layout[b][1]).bitwiseOR(block(b)).alias("key")) for t, (a, b) in enumerate(itertools.combinations(range(len(layout)), 2))]
-    return (
-        distinct.select("fp", F.explode(F.array(*keys)).alias("k"))
-        .select("k.table", "k.key", "fp")
-        .repartition("table", "key")
-        .sortWithinPartitions("table", "key")
-        .mapInArrow(_stars(budget), "src long, dst long")
-    )
+        return F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1))
+
+    return [F.shiftleft(block(a), layout[b][1]).bitwiseOR(block(b)) for a, b in block_pairs(budget)]
+
+
+def _rest(layout: list[tuple[int, int]], pair: tuple[int, int]) -> tuple[Column, int]:
+    """``fp`` without a pair's blocks, as ``_gather`` has it, and its number of bits."""
+    out, bits = F.lit(0).cast("long"), 0
+    for shift, width in without(layout, pair):
+        out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)))
+        bits += width
+    return out, bits
+
+
+def _parts_of_large(hot: DataFrame, budget: int) -> DataFrame:
+    """The large keys' rows (table, key, fp), dealt by pairs of chunks of the bits that are left."""
+    layout, pairs = block_layout(budget), block_pairs(budget)
+    parts = None
+    for t, pair in enumerate(pairs):
+        rest, bits = _rest(layout, pair)
+        chunks = block_layout(budget, bits)
+        shift = max(chunks[a][1] + chunks[b][1] for a, b in pairs)
+        of = [
+            F.struct(F.lit(t + len(pairs) * (n + 1)).alias("table"), F.shiftleft("key", shift).bitwiseOR(key).alias("key"))
+            for n, key in enumerate(_keys(rest, chunks, budget))
+        ]
+        parts = F.when(F.col("table") == t, F.array(*of)) if parts is None else parts.when(F.col("table") == t, F.array(*of))
+    return hot.select("fp", F.explode(parts).alias("k")).select("k.table", "k.key", "fp")
+
+
+def link_fingerprints(distinct: DataFrame, budget: int = 3, large: int = LARGE) -> DataFrame:
+    """Stars (src, dst) whose components are those of all pairs of ``fp`` within the budget."""
+    keys = [F.struct(F.lit(t).alias("table"), key.alias("key")) for t, key in enumerate(_keys(F.col("fp"), block_layout(budget), budget))]
+    dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.table", "k.key", "fp")
+    if budget > 1:  # below that a pair of blocks is most of the fingerprint, and no key is large
+        most = stage(dealt.groupBy("table", "key").count().where(F.col("count") > large).select("table", "key"), "simhash-large")
+        found = most.count()
+        if found:
+            listed = F.broadcast(most) if found <= BROADCAST_ROWS else most
+            cut = _parts_of_large(dealt.join(listed, ["table", "key"], "left_semi"), budget)
+            dealt = dealt.join(listed, ["table", "key"], "left_anti").unionByName(cut)
+    return dealt.repartition("table", "key").sortWithinPartitions("table", "key").mapInArrow(_stars(budget), "src long, dst long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3) -> DataFrame:

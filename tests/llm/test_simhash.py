@@ -53,8 +53,8 @@ def test_spark_hash_agrees(spark):
     assert got % (1 << 64) == xxhash.xxh64_intdigest("one two three", 42)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_links_against_all_pairs(spark, seed):
+@pytest.mark.parametrize(("seed", "budget", "large"), [(0, 3, 1 << 18), (1, 3, 4), (2, 2, 1), (3, 4, 1), (4, 1, 1), (5, 0, 1)])
+def test_links_against_all_pairs(spark, seed, budget, large):
     rng = random.Random(seed)
     fps = {rng.getrandbits(64) for _ in range(150)}
     for centre in list(fps)[:5]:  # tight groups of unlike fingerprints
@@ -62,8 +62,8 @@ def test_links_against_all_pairs(spark, seed):
             fps.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))))
     fps = sorted(fps)
     df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
-    named = {r["node"]: r["component"] for r in connected_components(simhash.link_fingerprints(df)).collect()}
-    expected = components(fps, lambda a, b: (a ^ b).bit_count() <= 3)
+    named = {r["node"]: r["component"] for r in connected_components(simhash.link_fingerprints(df, budget, large)).collect()}
+    expected = components(fps, lambda a, b: (a ^ b).bit_count() <= budget)
     groups: dict = {}
     for f, c in zip(fps, expected, strict=True):
         groups.setdefault(c, []).append(int(np.uint64(f).astype(np.int64)))
