@@ -105,6 +105,11 @@ def without(layout: list[tuple[int, int]], pair: tuple[int, int]) -> list[tuple[
     return [block for i, block in enumerate(layout) if i not in pair]
 
 
+def rest_bits(budget: int) -> int:
+    """The most bits that any pair of blocks leaves."""
+    return max(sum(w for _, w in without(block_layout(budget), pair)) for pair in block_pairs(budget))
+
+
 def _gather(x: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
     """The blocks' bits side by side, the first ones highest."""
     out = np.zeros(len(x), np.uint64)
@@ -217,7 +222,7 @@ def _stars(budget: int):
         blocks = without(layout, pairs[t])
         rest, bits = _gather(fp, blocks), sum(w for _, w in blocks)
         if part:  # a part of a large key
-            blocks = without(block_layout(budget, bits), pairs[part - 1])
+            blocks = without(block_layout(budget, rest_bits(budget)), pairs[part - 1])
             rest, bits = _gather(rest, blocks), sum(w for _, w in blocks)
         return rest, bits
 
@@ -264,29 +269,25 @@ def _keys(bits: Column, layout: list[tuple[int, int]], budget: int) -> list[Colu
     return [F.shiftleft(block(a), layout[b][1]).bitwiseOR(block(b)) for a, b in block_pairs(budget)]
 
 
-def _rest(layout: list[tuple[int, int]], pair: tuple[int, int]) -> tuple[Column, int]:
-    """``fp`` without a pair's blocks, as ``_gather`` has it, and its number of bits."""
-    out, bits = F.lit(0).cast("long"), 0
-    for shift, width in without(layout, pair):
-        out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)))
-        bits += width
-    return out, bits
-
-
 def _parts_of_large(hot: DataFrame, budget: int) -> DataFrame:
     """The large keys' rows (table, key, fp), dealt by pairs of chunks of the bits that are left."""
     layout, pairs = block_layout(budget), block_pairs(budget)
-    parts = None
+    chunks = block_layout(budget, rest_bits(budget))
+    shift = max(chunks[a][1] + chunks[b][1] for a, b in pairs)
+
+    def rest(pair: tuple[int, int]) -> Column:
+        out = F.lit(0).cast("long")
+        for at, width in without(layout, pair):
+            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)))
+        return out
+
+    known = F.lit(None).cast("long")
     for t, pair in enumerate(pairs):
-        rest, bits = _rest(layout, pair)
-        chunks = block_layout(budget, bits)
-        shift = max(chunks[a][1] + chunks[b][1] for a, b in pairs)
-        of = [
-            F.struct(F.lit(t + len(pairs) * (n + 1)).alias("table"), F.shiftleft("key", shift).bitwiseOR(key).alias("key"))
-            for n, key in enumerate(_keys(rest, chunks, budget))
-        ]
-        parts = F.when(F.col("table") == t, F.array(*of)) if parts is None else parts.when(F.col("table") == t, F.array(*of))
-    return hot.select("fp", F.explode(parts).alias("k")).select("k.table", "k.key", "fp")
+        known = F.when(F.col("table") == t, rest(pair)).otherwise(known)
+    keys = F.array(*_keys(F.col("rest"), chunks, budget))
+    dealt = hot.withColumn("rest", known).select("table", "key", "fp", F.posexplode(keys).alias("part", "chunk"))
+    table = F.col("table") + (F.col("part") + 1) * len(pairs)
+    return dealt.select(table.alias("table"), F.shiftleft("key", shift).bitwiseOR(F.col("chunk")).alias("key"), "fp")
 
 
 def link_fingerprints(distinct: DataFrame, budget: int = 3, large: int = LARGE) -> DataFrame:
