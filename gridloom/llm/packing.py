@@ -5,8 +5,8 @@ of documents and their mean length are counted over the whole corpus (a fixed-si
 vector over the token vocabulary), so every shard scores with the same statistics.
 Documents are dealt to shards by a hash, as many as keep a shard at about
 ``shard_tokens`` tokens, whatever the corpus' size. A shard builds a BM25 inverted
-index of its documents; a seed document retrieves unused neighbours, which fill its
-window in score order. The last one is cut at the window's end and seeds the next
+index of its documents; a seed document asks with all its terms for unused neighbours
+(``query_terms`` limits them to the heaviest), which fill its window in score order. The last one is cut at the window's end and seeds the next
 window with its rest, so windows are full. What is left at a shard's end is cut
 into sequences of power-of-two lengths, which need no padding either.
 
@@ -38,6 +38,8 @@ from gridloom.llm.common import pieces, stage
 K1, B = 1.2, 0.75
 #: Words remembered by a Python worker; beyond that it starts anew.
 REMEMBERED = 1_000_000
+#: Terms that at least this share of a shard's documents holds are kept as full rows of weights.
+FREQUENT = 1 / 16
 #: Longer pieces are not remembered.
 LONGEST_PIECE = 64
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -137,7 +139,7 @@ def corpus_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
 class ShardIndex:
     """BM25 inverted index of one shard, scored with the corpus' statistics."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int | None = None):
         terms, owners, weights, self.queries = [], [], [], []
         for i, ids in enumerate(docs):
             term, tf = np.unique(ids, return_counts=True)
@@ -145,20 +147,29 @@ class ShardIndex:
             terms.append(term)
             owners.append(np.full(len(term), i, np.int32))
             weights.append(w.astype(np.float32))
-            best = np.argpartition(-w, query_terms)[:query_terms] if len(w) > query_terms else slice(None)
+            best = np.argpartition(-w, query_terms)[:query_terms] if query_terms and len(w) > query_terms else slice(None)
             self.queries.append(np.sort(term[best]))
         term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = np.concatenate(owners)[order], np.concatenate(weights)[order]
         self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
         self.n = len(docs)
+        held = np.diff(self.start)
+        frequent = np.flatnonzero(held >= max(2, FREQUENT * self.n))
+        self.row = np.full(1 << 16, -1)  # of a frequent term in ``rows``
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), self.n), np.float32)
+        for i, t in enumerate(frequent):
+            at = slice(self.start[t], self.start[t + 1])
+            self.rows[i, self.owner[at]] = self.weight[at]
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 of every document for the heaviest terms of one."""
-        q = self.queries[doc]
+        """BM25 of every document for the terms of one."""
+        row = self.row[self.queries[doc]]
+        q = self.queries[doc][row < 0]
         lo, n = self.start[q], self.start[q + 1] - self.start[q]
         at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return np.bincount(self.owner[at], weights=self.weight[at], minlength=self.n)
+        return np.bincount(self.owner[at], weights=self.weight[at], minlength=self.n) + self.rows[row[row >= 0]].sum(0)
 
 
 def fill_windows(docs: list[np.ndarray], index: ShardIndex | None, window: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -223,7 +234,7 @@ def fill_windows(docs: list[np.ndarray], index: ShardIndex | None, window: int)
             sequence += not room
 
 
-def _pack(idf: np.ndarray, mean_length: float, window: int, query_terms: int):
+def _pack(idf: np.ndarray, mean_length: float, window: int, query_terms: int | None):
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
     def run(table: pa.Table) -> pa.Table:
@@ -246,7 +257,7 @@ def pack(
     text_col: str = "text",
     window: int = 2048,
     shard_tokens: int = 2 << 20,
-    query_terms: int = 32,
+    query_terms: int | None = None,
     vocabulary: str | None = None,
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every document."""

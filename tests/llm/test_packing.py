@@ -92,6 +92,15 @@ def test_windows_take_the_nearest_unused():
     assert [[d for d, *_ in pieces if _[2] == s] for s in (0, 1)] == [[0, 2], [1, 3]]
 
 
+def test_seeds_ask_with_all_their_terms(docs_of):
+    """Document 1 shares the 40 heaviest terms of document 0, document 2 its 200 others, which weigh more together."""
+    encoding = packing.word_encoder(None).encoding
+    words = [w for w in map(encoding.decode, ([i] for i in range(300, 2000))) if w[0] == " " and w[1:].isascii() and w[1:].islower() and len(encoding.encode(w)) == 1][:240]
+    heavy, others = "".join(words[:40]), "".join(words[40:])
+    got = packing.pack(docs_of([(0, heavy * 3 + others), (1, heavy), (2, others)]), window=421).collect()
+    assert {p["doc_id"] for p in got if p["sequence_id"] == 0} == {0, 2}
+
+
 def test_query(spark, sf_dir, reference):
     from gridloom.llm.queries import queries
 
