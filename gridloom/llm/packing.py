@@ -13,7 +13,8 @@ into sequences of power-of-two lengths, which need no padding either.
 Words are tokenised once and remembered (bounded): a single space between two
 non-space characters always starts a new pre-token, so the text between two such
 spaces is encoded alike wherever it stands. Texts with any other run of white space
-around a space are encoded as a whole.
+around a space are encoded as a whole, and so are texts that spell an added token of
+the vocabulary (``<|endoftext|>``), which gets its own id wherever it stands.
 
 Defined cases: null or empty text is the end token alone; null ids are kept as they
 are; repeated rows are packed once each; a document longer than a window fills
@@ -24,6 +25,7 @@ empty result.
 from __future__ import annotations
 
 import base64
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -61,10 +63,13 @@ class WordEncoder(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("token ids must fit 16 bits")
-        self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            self.added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
 
     def encode(self, text: str) -> bytes:
-        return struct.pack(f"<{len(ids := self.encoding.encode_ordinary(text))}H", *ids)
+        """Ids of a text that is cut at the added tokens, which have ids of their own."""
+        return struct.pack(f"<{len(ids := self.encoding.encode(text, allowed_special='all'))}H", *ids)
 
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
@@ -78,6 +83,8 @@ class WordEncoder(dict):
 
     def ids(self, text: str) -> bytes:
         """All ids of a whole text."""
+        if any(t in text for t in self.added):
+            return self.encode(text)
         first, *rest = text.split(" ")
         if rest and (not first or first[-1].isspace()):
             return self.encode(text)

@@ -30,6 +30,27 @@ def test_ids_of_real_texts(spark, sf_dir, reference):
         assert np.frombuffer(packing.word_encoder(None).ids(r["text"]), "<u2").tolist() == reference(r["text"])
 
 
+@pytest.fixture(scope="module")
+def default_reference():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", "'s", "é漢", "1", "word"]), max_size=12).map("".join))
+def test_ids_of_added_tokens(default_reference, text):
+    assert np.frombuffer(packing.word_encoder(None).ids(text), "<u2").tolist() == default_reference(text)
+
+
+def test_packed_added_token(docs_of, default_reference):
+    texts = [(0, "hi <|endoftext|> there"), (1, "<|endoftext|>"), (2, "a  <|endoftext|><|endoftext|>b"), (3, "plain")]
+    assert default_reference(texts[0][1]) == [5303, 220, 50256, 612]
+    check(packing.pack(docs_of(texts)).collect(), {i: [*default_reference(t), 1] for i, t in texts})
+
+
 def check(pieces, ids, window=2048):
     """Every id in one piece, sequences gapless, no padding but at powers of two."""
     by_doc, by_sequence = {}, {}
