@@ -582,6 +582,13 @@ def _vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
 
 
+def _whole_vectors(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """(vec_id, label, a column for each component), and the components' names."""
+    df = table(spark, sf_dir, "embeddings")
+    names = [f"e{i}" for i in range(df.agg(F.max(F.size("embedding"))).first()[0])]
+    return df.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(e) for i, e in enumerate(names)]), names
+
+
 _V = "(SELECT vec_id, label, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1, embedding[3]::DOUBLE AS e2, embedding[4]::DOUBLE AS e3 FROM embeddings)"
 _E = ["e0", "e1", "e2", "e3"]
 _CENTERS = [[0.1, 0.1, 0.0, 0.0], [-0.1, 0.0, 0.1, 0.0], [0.0, -0.1, 0.0, -0.1]]
@@ -606,12 +613,14 @@ def kmeans_inertia(spark, sf_dir):
 
 @query()
 def kmeans_fit(spark, sf_dir):
-    return KMeans(_E, 3, max_iter=10).fit_predict(_vectors(spark, sf_dir)).select("vec_id", "prediction")
+    df, names = _whole_vectors(spark, sf_dir)
+    return KMeans(names, 3, max_iter=10).fit_predict(df).select("vec_id", "prediction")
 
 
 @query()
 def pca(spark, sf_dir):
-    return rounded(PCA(_E, 2).fit_transform(_vectors(spark, sf_dir)).select("vec_id", "pc0", "pc1"), 6)
+    df, names = _whole_vectors(spark, sf_dir)
+    return rounded(PCA(names, 2).fit_transform(df).select("vec_id", "pc0", "pc1"), 6)
 
 
 _NEAR = f"WITH v AS {_V}, n AS (SELECT q.vec_id AS q, t.label AS y, row_number() OVER (PARTITION BY q.vec_id ORDER BY " + " + ".join(f"(q.{e} - t.{e}) * (q.{e} - t.{e})" for e in _E) + ", t.vec_id) AS r FROM v q, v t WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0)"
@@ -661,7 +670,8 @@ def adjusted_rand(spark, sf_dir):
 
 @query()
 def silhouette(spark, sf_dir):
-    return rounded(metrics.silhouette(_vectors(spark, sf_dir), _E, "label"), 6)
+    df, names = _whole_vectors(spark, sf_dir)
+    return rounded(metrics.silhouette(df, names, "label"), 6)
 
 
 # model selection and optimisers
