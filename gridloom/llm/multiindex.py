@@ -15,7 +15,8 @@ the sizes of at most ``centroids`` squared cells.
 Defined cases: null, zero or non-finite vectors and vectors of another length than
 most take no part, as queries or candidates; distances that tie go to the smaller
 id; repeated rows are candidates each; a query's own row is the one with its id, and
-rows repeating its id are left out with it; null ids take no part; with fewer
+rows repeating its id are left out with it; a query's repeated rows are asked once, and
+an id with unlike vectors has one list, of the rows nearest to any of them; null ids take no part; with fewer
 candidates than asked for, all are returned; an empty table gives an empty result.
 """
 
@@ -120,21 +121,29 @@ def _search(index: MultiIndex, enough: float, k: int):
         start = np.searchsorted(cell, np.arange(cells + 1))  # the shard's inverted lists
         norms = (x * x).sum(1)
         out = []
-        for query, embedding in zip(queries["vec_id"], queries["embedding"], strict=True):
-            q = np.asarray(embedding, np.float64)
+
+        def nearest_rows(query: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             visited = np.zeros(cells, bool)
             visited[index.traverse(q, enough)] = True
             at = np.flatnonzero(np.repeat(visited, np.diff(start)))
             at = at[ids[at] != query]
-            if not len(at):
-                continue
             rough = norms[at] - 2 * (x[at] @ q)
             if len(at) > 4 * k:  # a wide margin around the k best, then exactly
                 cut = np.partition(rough, 2 * k)[2 * k]
                 at = at[rough <= cut + 1e-9 * (1 + abs(cut))]
             d = np.sqrt(((x[at] - q) ** 2).sum(1))
             best = np.lexsort((ids[at], d))[:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][best], "score": d[best]}))
+            return at[best], d[best]
+
+        for query, vectors in queries.groupby("vec_id")["embedding"]:
+            found = [nearest_rows(query, q) for q in np.unique(np.stack(vectors.to_numpy()).astype(np.float64), axis=0)]
+            at, d = (np.concatenate(a) for a in zip(*found, strict=True))
+            order = np.lexsort((d, at))  # a row that several of the id's vectors found counts once, at its least distance
+            order = order[np.append(True, np.diff(at[order]) > 0)] if len(at) else order
+            at, d = at[order], d[order]
+            best = np.lexsort((ids[at], d))[:k]
+            if len(best):
+                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][best], "score": d[best]}))
         return pd.concat(out, ignore_index=True) if out else empty
 
     return run
@@ -176,7 +185,7 @@ def search(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     entries, index, n = built
     shards = max(2 * spark.sparkContext.defaultParallelism, -(-n // shard_rows))
-    asked = entries.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
+    asked = entries.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").distinct()
     blocks = max(1, -(-asked.count() // query_block))
     dealt = entries.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = asked.withColumn("block", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))

@@ -46,6 +46,19 @@ def test_exact_on_small_tables(spark):
         assert [(s, v) for _, s, v in sorted(got[q])] == near and [k for k, _, _ in sorted(got[q])] == list(range(1, 11))
 
 
+def test_repeated_queries(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(1, 60)]
+    a, b = (rng.normal(size=6).astype(np.float32).tolist() for _ in range(2))
+
+    def asked(queries):
+        return [(r["vec_id"], r["score"]) for r in m.search(vectors(spark, rows + queries)).orderBy("rank").collect()]
+
+    assert asked([(0, a)] * 3) == [(i, s) for s, i in brute([*rows, (0, a)])[0]]
+    distance = lambda v, q: float(np.sqrt(((np.array(v) - np.array(q)) ** 2).sum()))
+    assert asked([(0, a), (0, b), (0, b)]) == [(i, s) for s, i in sorted((min(distance(v, a), distance(v, b)), i) for i, v in rows)[:10]]
+
+
 def test_few_and_none(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])]
     assert [(r["rank"], r["vec_id"]) for r in m.search(vectors(spark, rows)).orderBy("rank").collect()] == [(1, 2), (2, 1)]
