@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 from pathlib import Path
 
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+#: Paths staged in each open scope, the innermost last.
+_SCOPES: list[list[str]] = []
+#: Keys with more than 1 / HEAVY of all rows are joined by broadcast: fewer than this many rows.
+HEAVY = 2000
 
 
 def ship(spark: SparkSession) -> None:
@@ -59,14 +64,59 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[sc.applicationId]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder and read it back: lineage is cut, losing an executor costs nothing."""
-    spark = df.sparkSession
+def _remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(where) if at_exit else files.delete(where, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder. It goes with the scope that is open, at the latest when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    _remove(spark, path, at_exit=True)
+    return path
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df into the shared folder and read it back: lineage is cut, losing an executor costs nothing.
+
+    The table goes when the innermost ``scope`` closes; with ``keep``, when the one around it does.
+    """
+    spark = df.sparkSession
+    own = _SCOPES.pop() if keep and _SCOPES else None
+    try:
+        path = scratch_path(spark, name)
+    finally:
+        if own is not None:
+            _SCOPES.append(own)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at its end, but for those that are kept."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _remove(spark, path)
+
+
+def spread_join(rows: DataFrame, known: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with known, in which every key stands once with its number of rows in ``weight``.
+
+    A key that holds more than 1 / HEAVY of ``total`` rows is broadcast instead of shuffled, so
+    no key is bound to one task; there are fewer than HEAVY such keys, whatever the data.
+    """
+    heavy = F.broadcast(known.where(F.col(weight) * HEAVY > total).drop(weight))
+    light = known.where(F.col(weight) * HEAVY <= total).drop(weight)
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key, how))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

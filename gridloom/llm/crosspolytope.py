@@ -15,13 +15,15 @@ and pairs of blocks are separate units of work, so no bucket is bound to one tas
 All partners of all vectors are counted: nothing is capped.
 
 Tables, hashes and probes follow the number of distinct vectors, such that buckets
-stay small and a pair at the threshold is missed with probability below 0.0001.
+stay small and a pair at the threshold is missed with probability below 0.0001. Codes
+are 64-bit numbers, and a layout whose codes would not fit raises.
 
 Defined cases: null vectors, zero vectors and vectors with null or non-finite
 components link with nothing and are their own component; vectors of unlike lengths
 never link; null ids count as vectors and are never a component's name unless it
 has no other; repeated rows are linked copies; extra columns are not looked at; an
-empty table gives an empty result.
+empty table gives an empty result. Exact copies are one class, however many they are:
+their rows are dealt back by ``spread_join``, which binds no class to one task.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stage
+from gridloom.llm.common import scope, spread_join, stage
 from gridloom.llm.components import connected_components
 
 #: Rows of a bucket that are one block; a larger bucket is cut.
@@ -77,8 +79,10 @@ def codes(x: np.ndarray, layout: Layout) -> np.ndarray:
     n, d = x.shape
     width = 1 << max(1, (d - 1).bit_length())
     x = np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, width - d)))
+    if (2 * width) ** layout.hashes >= 1 << 63:
+        raise ValueError("bucket codes of so many hashes and components do not fit 64 bits")
     rng = np.random.default_rng([layout.seed, d])
-    out = np.empty((n, layout.tables, layout.probes), np.int32)
+    out = np.empty((n, layout.tables, layout.probes), np.int64)
     top = min(4, width)
     choices = np.array(list(itertools.product(range(top), repeat=layout.hashes)))
     for t in range(layout.tables):
@@ -115,7 +119,7 @@ def _signed(layout: Layout):
                         part.column(1),
                         pa.array([v.tobytes() for v in x], pa.binary()),
                         pa.array([v.tobytes() for v in sig], pa.binary()),
-                        pa.array(list(sig), pa.list_(pa.int32())),
+                        pa.array(list(sig), pa.list_(pa.int64())),
                         pa.array(np.full(len(x), d, np.int32)),
                     ],
                     names=["cls", "copies", "vec", "sig", "codes", "dim"],
@@ -128,20 +132,30 @@ class _Local:
     """Union-find and link counts of what one task has met."""
 
     def __init__(self, n: int):
-        self.up, self.links = list(range(n)), np.zeros(n, np.int64)
+        self.up, self.links = np.arange(n), np.zeros(n, np.int64)
 
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        while True:
+            above = self.up[x]
+            if np.array_equal(above, x):
+                return x
+            x = above
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = self.root(x), self.root(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
+        """Only pairs that are not joined yet, each of its roots once, are gone through one by one."""
+        x, y = self.roots(a), self.roots(b)
+        new = x != y
+        if not new.any():
+            return
+        up = self.up
+        for low, high in np.unique(np.stack((np.minimum(x[new], y[new]), np.maximum(x[new], y[new]))), axis=1).T.tolist():
+            while up[low] != low:
+                low = up[low]
+            while up[high] != high:
+                high = up[high]
+            if low != high:
+                up[max(low, high)] = min(low, high)
+        self.up[a], self.up[b] = self.roots(a), self.roots(b)
 
 
 def first_meeting(a: np.ndarray, b: np.ndarray, table: int, code: int) -> np.ndarray:
@@ -154,7 +168,8 @@ def first_meeting(a: np.ndarray, b: np.ndarray, table: int, code: int) -> np.nda
     at_b = (b[:, :, :1] == a).any(axis=2)
     earlier = (at_a | at_b)[:, :table].any(axis=1)
     own_a, own_b = a[:, table, 0], b[:, table, 0]
-    least = np.minimum(np.where(at_a[:, table], own_a, np.iinfo(np.int32).max), np.where(at_b[:, table], own_b, np.iinfo(np.int32).max))
+    most = np.iinfo(np.int64).max
+    least = np.minimum(np.where(at_a[:, table], own_a, most), np.where(at_b[:, table], own_b, most))
     return ~earlier & (least == code)
 
 
@@ -194,13 +209,13 @@ def _match(layout: Layout, threshold: float, dtype: str):
                 continue
             x = np.frombuffer(b"".join(vec[at:to]), dtype).reshape(to - at, -1).astype(np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            s = np.frombuffer(b"".join(sig[at:to]), np.int32).reshape(to - at, layout.tables, layout.probes)
+            s = np.frombuffer(b"".join(sig[at:to]), np.int64).reshape(to - at, layout.tables, layout.probes)
             bucket(x, s, col["copies"][at:to], own[at:to], col["block"][at:to], local, at, col["table"][at], col["code"][at], col["left"][at], col["right"][at])
         cls = col["cls"]
         met = np.flatnonzero(local.links > 0)
         if not len(met):
             return None
-        roots = np.array([local.root(i) for i in met.tolist()])
+        roots = local.roots(met)
         return pa.RecordBatch.from_arrays([pa.array(cls[met]), pa.array(local.links[met]), pa.array(cls[roots])], names=["cls", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +262,7 @@ def class_links(distinct: DataFrame, threshold: float, layout: Layout) -> DataFr
     """Partial rows (cls, links, root) of all verified meetings."""
     dtype = "<f4" if "float" in distinct.schema["embedding"].dataType.simpleString() else "<f8"
     signed = stage(
-        distinct.select("cls", "copies", "embedding").mapInArrow(_signed(layout), "cls long, copies long, vec binary, sig binary, codes array<int>, dim int"),
+        distinct.select("cls", "copies", "embedding").mapInArrow(_signed(layout), "cls long, copies long, vec binary, sig binary, codes array<long>, dim int"),
         "near-signed",
     )
     place = F.posexplode("codes").alias("pos", "code")
@@ -269,20 +284,26 @@ def class_links(distinct: DataFrame, threshold: float, layout: Layout) -> DataFr
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, layout: Layout | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors."""
+    with scope(vectors.sparkSession):
+        known, total = _classes_known(vectors, id_col, vector_col, threshold, layout)
+    v = F.col(vector_col)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding"), usable(vector_col).alias("takes_part"))
+    linked = spread_join(rows.where("takes_part").select("vec_id", "embedding"), known, "embedding", "copies", total).select("vec_id", "n_links", "component_id")
+    alone = rows.where(~F.col("takes_part")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _classes_known(vectors: DataFrame, id_col: str, vector_col: str, threshold: float, layout: Layout | None) -> tuple[DataFrame, int]:
+    """(embedding, copies, n_links, component_id) of each class, and the number of rows that take part."""
     distinct = classes(vectors, id_col, vector_col)
-    layout = layout or Layout.of(distinct.count())
+    size = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    layout = layout or Layout.of(size["n"])
     met = stage(class_links(distinct, threshold, layout), "near-met")
-    named = stage(connected_components(met.select(F.col("root").alias("src"), F.col("cls").alias("dst"))).withColumnRenamed("node", "cls"), "near-components")
+    named = connected_components(met.select(F.col("root").alias("src"), F.col("cls").alias("dst"))).withColumnRenamed("node", "cls")
     firsts = stage(named.join(distinct.select("cls", "first"), "cls"), "near-members")
-    least = firsts.groupBy("component").agg(F.min("first").alias("least"))
-    component = firsts.select("cls", "component").join(least, "component").select("cls", "least")
+    least = stage(firsts.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("members")), "near-least")
+    component = spread_join(firsts.select("cls", "component"), least, "component", "members", firsts.count()).select("cls", "least")
     links = met.groupBy("cls").agg(F.sum("links").alias("links"))
-    known = stage(
-        distinct.join(links, "cls", "left")
-        .join(component, "cls", "left")
-        .select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "first").alias("component_id")),
-        "near-known",
-    )
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable(vector_col), F.col(vector_col)).alias("embedding"))
-    own = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return rows.join(known, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+    known = distinct.join(links, "cls", "left").join(component, "cls", "left")
+    known = known.select("embedding", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "first").alias("component_id"))
+    return stage(known, "near-known", keep=True), size["rows"]

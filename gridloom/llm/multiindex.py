@@ -4,20 +4,23 @@ Vectors are cut in two halves, each quantised by its own k-means codebook (fitte
 a bounded sample, ``sample`` rows with the smallest id hashes); a pair of centroids
 is a cell, and every vector is in one. Cells' sizes are counted over all rows. A query
 walks the grid of centroid pairs by growing sum of its two squared distances with a
-heap, until the cells passed hold ``share`` of all vectors (at least ``least``), and
-reranks their entries by exact distance in double precision.
+heap, until the cells passed hold ``share`` of all vectors, and reranks their entries
+by exact distance in double precision. The share is the same at every size.
 
-The index is dealt to shards by a hash of the id, so a cell that holds a third of all
-rows is spread over all shards; queries visit the shards in blocks, and a shard
-returns its ten best for each query. What is broadcast is bounded: two codebooks and
-the sizes of at most ``centroids`` squared cells.
+Each query is walked once. Neighbouring cells share a shard of about ``shard_rows``
+entries, and a cell that holds more (a third of all rows, say) is dealt over shards of
+its own; a query is sent, with the cells it asks for, to the shards that hold them and
+to no others. A task reads a shard's entries, then its queries batch by batch, and
+returns the k best of each; the best of those are ranked. Entries are repeated only
+once for every ``query_block`` queries. What is broadcast is bounded: two codebooks
+and numbers for at most ``centroids`` squared cells.
 
 Defined cases: null, zero or non-finite vectors and vectors of another length than
 most take no part, as queries or candidates; distances that tie go to the smaller
-id; repeated rows are candidates each; a query's own row is the one with its id, and
-rows repeating its id are left out with it; a query's repeated rows are asked once, and
-an id with unlike vectors has one list, of the rows nearest to any of them; null ids take no part; with fewer
-candidates than asked for, all are returned; an empty table gives an empty result.
+id; null ids take no part; with fewer candidates than asked for, all are returned; an
+empty table gives an empty result. A row is a candidate for all rows but itself, also
+for rows that repeat its id. Every row with a query's id is asked and has a list of its
+own, so a repeated query row gives its ranks as often as it stands in the table.
 """
 
 from __future__ import annotations
@@ -27,15 +30,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stage
+from gridloom.llm.common import scope, stage
 from gridloom.llm.crosspolytope import usable
 
-RESULT = "query_id long, vec_id long, score double"
+RESULT = "query_row long, query_id long, vec_id long, score double"
+DEALT = "shard int, block int, asks boolean, row long, vec_id long, cell int, cells binary, embedding array<double>"
+#: Rough distances that a task holds at once.
+ROUGH = 1 << 22
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -103,64 +108,152 @@ def _assign(index: MultiIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(index.cells(_matrix(b.column(1)))), b.column(1)], names=["vec_id", "cell", "embedding"])
+                cells = index.cells(_matrix(b.column(2)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells.astype(np.int32)), b.column(2)], names=["row", "vec_id", "cell", "embedding"])
 
     return run
 
 
-def _search(index: MultiIndex, enough: float, k: int):
-    cells = len(index.sizes)
+@dataclass
+class Shards:
+    """Which shards hold a cell: ``parts`` of them from ``first`` on."""
+
+    first: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, rows: int) -> Shards:
+        first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+        shard, held = 0, 0
+        for cell, n in enumerate(sizes.tolist()):
+            if held and held + n > rows:
+                shard, held = shard + 1, 0
+            first[cell], parts[cell] = shard, max(1, -(-n // rows))
+            held += n
+            if n > rows:
+                shard, held = shard + int(parts[cell]), 0
+        return cls(first, parts)
 
-    def run(key, entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
-        if entries.empty or queries.empty:
-            return empty
-        entries = entries.sort_values(["cell", "vec_id"], kind="stable")
-        cell, ids = entries["cell"].to_numpy(), entries["vec_id"].to_numpy()
-        x = np.stack(entries["embedding"].to_numpy()).astype(np.float64)
-        start = np.searchsorted(cell, np.arange(cells + 1))  # the shard's inverted lists
-        norms = (x * x).sum(1)
-        out = []
+    @property
+    def count(self) -> int:
+        return int((self.first + self.parts).max())
+
+
+def _dealt(names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
+    kinds = {"shard": pa.int32(), "block": pa.int32(), "asks": pa.bool_(), "row": pa.int64(), "vec_id": pa.int64(), "cell": pa.int32(), "cells": pa.binary(), "embedding": pa.list_(pa.float64())}
+    have, n = dict(zip(names, columns, strict=True)), len(columns[0])
+    return pa.RecordBatch.from_arrays([have[c].cast(t) if c in have else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
+
+
+def _deal_entries(shards: Shards):
+    """Entries with their shard; those of a cut cell take turns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for b in batches:
+            cell = b.column(2).to_numpy()
+            shard = shards.first[cell] + (at + np.arange(len(cell))) % shards.parts[cell]
+            at += len(cell)
+            yield _dealt(["shard", "asks", "row", "vec_id", "cell", "embedding"], [pa.array(shard), pa.array(np.zeros(len(cell), bool)), *b.columns])
+
+    return run
 
-        def nearest_rows(query: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            visited = np.zeros(cells, bool)
-            visited[index.traverse(q, enough)] = True
-            at = np.flatnonzero(np.repeat(visited, np.diff(start)))
-            at = at[ids[at] != query]
-            rough = norms[at] - 2 * (x[at] @ q)
-            if len(at) > 4 * k:  # a wide margin around the k best, then exactly
-                cut = np.partition(rough, 2 * k)[2 * k]
-                at = at[rough <= cut + 1e-9 * (1 + abs(cut))]
-            d = np.sqrt(((x[at] - q) ** 2).sum(1))
-            best = np.lexsort((ids[at], d))[:k]
-            return at[best], d[best]
-
-        for query, vectors in queries.groupby("vec_id")["embedding"]:
-            found = [nearest_rows(query, q) for q in np.unique(np.stack(vectors.to_numpy()).astype(np.float64), axis=0)]
-            at, d = (np.concatenate(a) for a in zip(*found, strict=True))
-            order = np.lexsort((d, at))  # a row that several of the id's vectors found counts once, at its least distance
-            order = order[np.append(True, np.diff(at[order]) > 0)] if len(at) else order
-            at, d = at[order], d[order]
-            best = np.lexsort((ids[at], d))[:k]
-            if len(best):
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][best], "score": d[best]}))
-        return pd.concat(out, ignore_index=True) if out else empty
+
+def _deal_queries(index: MultiIndex, shards: Shards, enough: float, blocks: int):
+    """A query's copies, one for each shard that holds a cell which its walk passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (row, q) in enumerate(zip(b.column(0).to_pylist(), _matrix(b.column(3)), strict=True)):
+                cells = np.sort(index.traverse(q, enough))
+                first, parts = shards.first[cells], shards.parts[cells]
+                held = np.repeat(first, parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                order = np.argsort(held, kind="stable")
+                held, asked = held[order], np.repeat(cells, parts)[order].astype("<i4")
+                cut = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+                n = len(cut)
+                same = pa.array(np.full(n, i))
+                yield _dealt(
+                    ["shard", "block", "asks", "row", "vec_id", "cells", "embedding"],
+                    [pa.array(held[cut]), pa.array(np.full(n, row % blocks)), pa.array(np.ones(n, bool)), pa.array(np.full(n, row)), b.column(1).take(same), pa.array([x.tobytes() for x in np.split(asked, cut[1:])], pa.binary()), b.column(3).take(same)],
+                )
+
+    return run
+
+
+class _Shard:
+    """Entries of one shard as inverted lists."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        entries = pa.Table.from_batches(parts)
+        order = np.lexsort((entries["vec_id"].to_numpy(), entries["cell"].to_numpy()))
+        self.cell, self.rows, self.ids = (entries[c].to_numpy()[order] for c in ("cell", "row", "vec_id"))
+        self.x = np.concatenate([_matrix(p.column("embedding")) for p in parts])[order]
+        self.norms = (self.x * self.x).sum(1)
+
+    def nearest(self, queries: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(row, id, entries' ids, distances) of each query's k best in the cells it asks for."""
+        q = _matrix(queries.column("embedding"))
+        step = max(1, ROUGH // max(1, len(self.ids)))
+        rows, ids, cells = (queries.column(c).to_pylist() for c in ("row", "vec_id", "cells"))
+        for start in range(0, len(q), step):
+            rough = self.norms[:, None] - 2 * self.x @ q[start : start + step].T
+            for j in range(rough.shape[1]):
+                i = start + j
+                asked = np.frombuffer(cells[i], "<i4")
+                lo, hi = np.searchsorted(self.cell, asked), np.searchsorted(self.cell, asked, "right")
+                at = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())
+                at = at[self.rows[at] != rows[i]]
+                if len(at) > 4 * k:  # a wide margin around the k best, then exactly
+                    near = rough[at, j]
+                    cut = np.partition(near, 2 * k)[2 * k]
+                    at = at[near <= cut + 1e-9 * (1 + abs(cut) + float(q[i] @ q[i]))]
+                d = np.sqrt(((self.x[at] - q[i]) ** 2).sum(1))
+                best = np.lexsort((self.ids[at], d))[:k]
+                yield rows[i], ids[i], self.ids[at[best]], d[best]
+
+
+def _search(k: int):
+    """Rows sorted by shard and block, entries before queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, shard = None, [], None
+        for b in batches:
+            place = np.stack((b.column("shard").to_numpy(), b.column("block").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)))
+            cuts = np.flatnonzero(np.append(True, (place[:, 1:] != place[:, :-1]).any(axis=0)))
+            for at, to in zip(cuts, np.append(cuts[1:], b.num_rows), strict=True):
+                if key != tuple(place[:2, at]):
+                    key, parts, shard = tuple(place[:2, at]), [], None
+                piece = b.slice(at, to - at)
+                if not place[2, at]:
+                    parts.append(piece)
+                    continue
+                if shard is None and parts:
+                    shard, parts = _Shard(parts), []
+                found = list(shard.nearest(piece, k)) if shard else []
+                sizes = [len(f[2]) for f in found]
+                if sum(sizes):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat([f[0] for f in found], sizes)), pa.array(np.repeat([f[1] for f in found], sizes)), pa.array(np.concatenate([f[2] for f in found])), pa.array(np.concatenate([f[3] for f in found]))],
+                        names=["query_row", "query_id", "vec_id", "score"],
+                    )
 
     return run
 
 
-def build(vectors: DataFrame, id_col: str, vector_col: str, centroids: int = 64, sample: int = 10_000) -> tuple[DataFrame, MultiIndex, int] | None:
-    """Staged (vec_id, cell, embedding) of every usable vector, the index, and their number."""
+def build(vectors: DataFrame, id_col: str, vector_col: str, centroids: int = 256, sample: int = 10_000) -> tuple[DataFrame, MultiIndex, int] | None:
+    """Staged (row, vec_id, cell, embedding) of every usable vector, the index, and their number."""
     own = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     dims = own.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not dims or dims[0]["d"] < 2:
         return None
     own = own.where(F.size("embedding") == dims[0]["d"])
-    rows = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    rows = own.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).collect()
     x = np.array([r["embedding"] for r in rows])
     half = x.shape[1] // 2
     index = MultiIndex(kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids, seed=6))
-    entries = stage(own.mapInArrow(_assign(index), "vec_id long, cell long, embedding array<double>"), "imi-entries")
+    numbered = own.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding")
+    entries = stage(numbered.mapInArrow(_assign(index), "row long, vec_id long, cell int, embedding array<double>"), "imi-entries")
     index.sizes = np.zeros(len(index.left) * len(index.right), np.int64)
     for r in entries.groupBy("cell").count().collect():  # at most centroids squared rows
         index.sizes[r["cell"]] = r["count"]
@@ -173,22 +266,26 @@ def search(
     vector_col: str = "embedding",
     every: int = 100,
     k: int = 10,
-    share: float = 0.45,
-    least: int = 1000,
+    share: float = 0.33,
     shard_rows: int = 250_000,
-    query_block: int = 2048,
+    query_block: int = 65_536,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
-    built = build(vectors, id_col, vector_col)
-    if built is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    entries, index, n = built
-    shards = max(2 * spark.sparkContext.defaultParallelism, -(-n // shard_rows))
-    asked = entries.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").distinct()
-    blocks = max(1, -(-asked.count() // query_block))
-    dealt = entries.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_search(index, max(least, share * n), k), RESULT)
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), "b.vec_id", "b.score")
+    with scope(spark):
+        built = build(vectors, id_col, vector_col)
+        if built is None:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        entries, index, n = built
+        tasks = 2 * spark.sparkContext.defaultParallelism
+        shards = Shards.of(index.sizes, min(shard_rows, max(1, -(-n // tasks))))
+        asked = entries.where(F.col("vec_id") % every == 0)
+        blocks = max(1, -(-asked.count() // query_block))
+        routed = asked.repartition(tasks, "row").mapInArrow(_deal_queries(index, shards, share * n, blocks), DEALT)
+        dealt = entries.mapInArrow(_deal_entries(shards), DEALT).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        keys = ("shard", "block")
+        met = dealt.select(*routed.columns).union(routed).repartition(min(shards.count * blocks, 20 * tasks), *keys).sortWithinPartitions(*keys, "asks")
+        found = met.mapInArrow(_search(k), RESULT)
+        rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id"))
+        best = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return stage(best, "imi-found", keep=True)

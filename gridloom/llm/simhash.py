@@ -24,7 +24,10 @@ zero and link like any other; a text with fewer words than a shingle is one shin
 null ids are ignored as a component's smallest id unless the whole component has
 none (then the component is null); repeated rows give repeated result rows; other
 columns, whatever their names, are not looked at; an empty table gives an empty
-result.
+result. A text of any length is hashed whole, CHUNK shingles at a time. A bit set in
+exactly half of the hashes is 0, and of equal ids the component's name is that id. A
+fingerprint that a large share of all rows holds (wordless texts, copies) is dealt
+back to its rows by ``spread_join``, which binds no key to one task.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import pieces, stage
+from gridloom.llm.common import pieces, scope, spread_join, stage
 from gridloom.llm.components import connected_components
 
 #: Shingle hashes handled at once, so that one huge document needs no huge array.
@@ -307,13 +310,12 @@ def link_fingerprints(distinct: DataFrame, budget: int = 3, large: int = LARGE)
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs; component_id is the group's smallest id."""
     rows = stage(fingerprint_table(docs, id_col, text_col, shingle), "simhash-rows")
-    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    linked = stage(connected_components(link_fingerprints(distinct, budget)).withColumnRenamed("node", "fp"), "simhash-linked")
-    members = stage(linked.join(distinct, "fp"), "simhash-members")
-    least = members.groupBy("component").agg(F.min("first").alias("least"))
-    named = members.select("fp", "component").join(least, "component").select("fp", "least")
-    groups = stage(
-        distinct.join(named, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")),
-        "simhash-groups",
-    )
-    return rows.join(groups, "fp").select("doc_id", "fp", "component_id")
+    with scope(docs.sparkSession):
+        distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "simhash-distinct")
+        linked = connected_components(link_fingerprints(distinct, budget)).withColumnRenamed("node", "fp")
+        members = stage(linked.join(distinct, "fp"), "simhash-members")
+        least = stage(members.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("members")), "simhash-least")
+        named = spread_join(members.select("fp", "component"), least, "component", "members", members.count()).select("fp", "least")
+        groups = distinct.join(named, "fp", "left").select("fp", "copies", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+        groups = stage(groups, "simhash-groups", keep=True)
+    return spread_join(rows, groups, "fp", "copies", rows.count()).select("doc_id", "fp", "component_id")

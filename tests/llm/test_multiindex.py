@@ -38,7 +38,7 @@ def test_exact_on_small_tables(spark):
     rows += [(1000, None), (1100, [0.0] * 6), (1200, [float("nan")] + [1.0] * 5), (1300, [1.0, None, 1, 1, 1, 1]), (None, [1.0] * 6), (1400, [float("inf")] * 6), (1500, [1.0, 2.0])]
     rows += [(251, rows[0][1]), (252, rows[0][1])]  # ties at distance zero
     got: dict = {}
-    for r in m.search(vectors(spark, rows)).collect():
+    for r in m.search(vectors(spark, rows), share=1.0).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
     expected = brute([r for r in rows if r[1] is None or len(r[1]) == 6])
     assert set(got) == set(expected) == {0, 100, 200}
@@ -47,22 +47,53 @@ def test_exact_on_small_tables(spark):
 
 
 def test_repeated_queries(spark):
+    """Every row is asked, and meets all rows but itself, also those that repeat its id."""
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(1, 60)]
     a, b = (rng.normal(size=6).astype(np.float32).tolist() for _ in range(2))
 
-    def asked(queries):
-        return [(r["vec_id"], r["score"]) for r in m.search(vectors(spark, rows + queries)).orderBy("rank").collect()]
+    def lists(queries):
+        every, out = [*rows, *queries], []
+        for n, (_, q) in enumerate(queries):
+            others = every[: len(rows) + n] + every[len(rows) + n + 1 :]
+            near = sorted((float(np.sqrt(((np.array(q) - np.array(v)) ** 2).sum())), i) for i, v in others)
+            out += [(0, k + 1, i, round(s, 9)) for k, (s, i) in enumerate(near[:10])]
+        return sorted(out)
 
-    assert asked([(0, a)] * 3) == [(i, s) for s, i in brute([*rows, (0, a)])[0]]
-    distance = lambda v, q: float(np.sqrt(((np.array(v) - np.array(q)) ** 2).sum()))
-    assert asked([(0, a), (0, b), (0, b)]) == [(i, s) for s, i in sorted((min(distance(v, a), distance(v, b)), i) for i, v in rows)[:10]]
+    for queries in ([(0, a)] * 3, [(0, a), (0, b), (0, b)]):
+        got = m.search(vectors(spark, rows + queries), share=1.0).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == lists(queries)
+
+
+def test_hot_cell_and_blocks(spark):
+    """A cell with a third of all rows is dealt over shards; queries go in several blocks."""
+    rng = np.random.default_rng(3)
+    same = rng.normal(size=6).astype(np.float32).tolist()
+    rows = [(i, same if i % 3 == 0 else rng.normal(size=6).astype(np.float32).tolist()) for i in range(900)]
+    got: dict = {}
+    for r in m.search(vectors(spark, rows), every=50, share=1.0, shard_rows=40, query_block=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    assert len(got) == 18
+    for q, mine in got.items():
+        x = np.array(rows[q][1])
+        near = sorted((float(np.sqrt(((x - np.array(v)) ** 2).sum())), i) for i, v in rows if i != q)[:10]
+        assert [(s, v) for _, s, v in sorted(mine)] == near
+
+
+def test_shards_hold_every_cell_once():
+    sizes = np.array([0, 3, 100, 0, 7, 8, 1, 40])
+    s = m.Shards.of(sizes, 10)
+    held = np.zeros(s.count)
+    for cell, n in enumerate(sizes):
+        for k in range(s.parts[cell]):
+            held[s.first[cell] + k] += n / s.parts[cell]
+    assert held.sum() == sizes.sum() and held.max() <= 10 and s.parts[2] == 10
 
 
 def test_few_and_none(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])]
-    assert [(r["rank"], r["vec_id"]) for r in m.search(vectors(spark, rows)).orderBy("rank").collect()] == [(1, 2), (2, 1)]
-    assert m.search(vectors(spark, rows)).count() == 2
+    assert [(r["rank"], r["vec_id"]) for r in m.search(vectors(spark, rows), share=1.0).orderBy("rank").collect()] == [(1, 2), (2, 1)]
+    assert m.search(vectors(spark, rows), share=1.0).count() == 2
     assert m.search(vectors(spark, [])).count() == 0 and m.search(vectors(spark, [(0, None)])).count() == 0
 
 
