@@ -1,22 +1,29 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Compiled from a model file: the normaliser (dummy prefix, white-space escape), a trie
-of the pieces with their negative scores as weights, and an arc for the bytes of each
-character that no piece covers. Encoding composes these with the input lazily, state
-by state, and takes the shortest path in the tropical semiring (min, +).
-
-For a model of the BPE kind the machine is composed with one more acceptor: two
-pieces may follow each other only if merging their joined characters, best pair
-first, gives back just these two. A sequence all of whose neighbours agree is the
-sequence that the merges produce, so the only path that is left is the BPE encoding,
-and ids equal those of the library. Unigram models need no such filter.
+Compiled from a model file are three machines over the tropical semiring (min, +):
+
+* the normaliser, a transducer of a few states whose arcs copy characters, write blanks
+  for spaces, put the dummy prefix in front and, if the model asks, squeeze spaces;
+* the pieces, a transducer with one state and an arc for each piece (its characters, its
+  id, its negative score), and arcs from each character that is no piece to the ids of its
+  bytes. The arcs are kept in a trie automaton that lists those which end at a position;
+* the neighbour filter, an acceptor of id sequences. For a model of the BPE kind its
+  states are the last ids, and an arc leads from a to b if merging the joined characters
+  of both, best pair first, gives back just these two. A sequence all of whose neighbours
+  agree is the one that the merges produce, so the paths it leaves are BPE encodings. A
+  unigram model's filter has one state and accepts everything.
+
+An input is composed with the three lazily, state by state: a state is a position with
+a filter state. ``shortest_path`` relaxes all their arcs in topological order, adding
+weights along a path and taking the least, for both kinds of model alike.
 
 No piece has a blank after another character, so a text falls into units at its
 blanks, whose paths are independent; a worker remembers units (bounded).
 
 Defined cases: null text is an empty text and has no ids; null ids are kept; repeated
-rows are encoded alike; extra columns are not looked at; an empty table gives an
-empty result.
+rows are encoded alike; a text of any length is encoded whole, unit by unit; of paths
+that cost the same the one with the longer last piece wins; extra columns are not looked
+at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +33,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -40,13 +48,56 @@ BLANK = "▁"
 REMEMBERED, VERDICTS = 1_000_000, 1_000_000
 #: Longer units are not remembered.
 LONGEST_UNIT = 64
-#: A position that no arc has reached yet.
-OPEN = -2
-#: Weight of a character that only its bytes can give; any path of pieces is cheaper.
-BYTE_WEIGHT = 1e6
-_UNITS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+#: What a character that is no piece costs beyond the dearest piece.
+BYTE_PENALTY = 10.0
+#: The filter state that no piece gives: the start, after bytes, and the only one of a filter that accepts everything.
+APART = -1
+_UNITS = re.compile(f"[ {BLANK}]*[^ {BLANK}]+|[ {BLANK}]+")
+_RUNS = re.compile("[ ]+|[^ ]+")
 _MACHINES: dict[str, Transducer] = {}
 
+#: States of the normaliser: nothing written yet, after a character, after spaces that are held back.
+BEGIN, INSIDE, HELD = range(3)
+
+
+@dataclass(frozen=True)
+class Arc:
+    """An arc of the normaliser: what it writes (None: the character read) and where it leads."""
+
+    output: str | None
+    next: int
+
+
+class Normaliser:
+    """A transducer over two classes of input, spaces and all other characters."""
+
+    def __init__(self, prefix: bool, squeeze: bool):
+        first = BLANK if prefix else ""
+        if squeeze:
+            #: (state, is a space) -> arc; spaces are written only before what follows them
+            self.arcs = {(BEGIN, True): Arc("", BEGIN), (INSIDE, True): Arc("", HELD), (HELD, True): Arc("", HELD), (BEGIN, False): Arc(None, INSIDE), (INSIDE, False): Arc(None, INSIDE), (HELD, False): Arc(None, INSIDE)}
+            self.before = {BEGIN: first, INSIDE: "", HELD: BLANK}
+        else:
+            self.arcs = {(s, space): Arc(BLANK if space else None, INSIDE) for s in (BEGIN, INSIDE) for space in (True, False)}
+            self.before = {BEGIN: first, INSIDE: ""}
+
+    def compose(self, text: str, state: int) -> tuple[str, int]:
+        """What the machine writes for a text from a state on, and the state it ends in.
+
+        A run of one class is read at once where its arc is a loop.
+        """
+        out = []
+        for run in _RUNS.findall(text):
+            space, at = run[0] == " ", 0
+            while at < len(run):
+                arc = self.arcs[state, space]
+                n = len(run) - at if arc.next == state else 1
+                if arc.output != "":
+                    out.append(self.before[state])
+                    out.append(run[at : at + n] if arc.output is None else arc.output * n)
+                state, at = arc.next, at + n
+        return "".join(out), state
+
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of a protocol buffer's fields."""
@@ -90,7 +141,7 @@ class Transducer:
             raise ValueError("only models with the identity normaliser are supported")
         self.merging = trainer.get(3, 1) == 2
         self.prefix = bool(normaliser.get(3, 1))
-        self.squeeze = bool(normaliser.get(4, 1))
+        self.normaliser = Normaliser(self.prefix, bool(normaliser.get(4, 1)))
         n = model.get_piece_size()
         special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
         self.names = [model.id_to_piece(i) for i in range(n)]
@@ -108,12 +159,14 @@ class Transducer:
         self.begin_only = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.follows: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
+        self.letters = {p for p in self.ids if len(p) == 1}
+        self.byte_weight = max((self.weights[i] for i in self.ids.values()), default=0.0) + BYTE_PENALTY
         self.kind, self.letter = ("<u2", "H") if n <= 1 << 16 else ("<u4", "I")
         #: Pieces that their own characters merge to; others are on no path.
         self.trie = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if not self.merging or len(p) == 1 or self._merge(p) == [p]:
-                self.trie.add_word(p, (i, len(p)))
+                self.trie.add_word(p, (i, len(p), i * n if self.merging else APART, self.weights[i]))
         self.trie.make_automaton()
 
     def _merge(self, text: str) -> list[str]:
@@ -145,81 +198,81 @@ class Transducer:
     def shortest_path(self, unit: str) -> list[int]:
         """Ids of the cheapest path over one normalised unit.
 
-        States are positions with the piece that ends there (-1: start or bytes), relaxed
-        in topological order; the trie gives the arcs that end at a position. Under the
-        neighbour filter a position has exactly one live state, the last piece of its
-        prefix' encoding, so its first admissible arc is its only one and weights need
-        not be compared; without the filter the least cost decides.
+        ``reached[j]`` is what is live at position j: (filter state times the number of
+        pieces, cost, what it came from, piece, position). Arcs into a position are relaxed after
+        all arcs into those before it. Either kind of filter leaves one live state at a position:
+        one that accepts everything has only one, and BPE's admits one path to any prefix (its
+        encoding), so the position is closed once that is found.
         """
-        size, wide, follows = len(unit), len(self.names), self.follows
-        last, back, done = [-1] + [OPEN] * size, [0] * (size + 1), 0
-        if not self.merging:
-            return self._least_cost(unit)
-        for end, (b, n) in self.trie.iter(unit):
-            while done < end:  # positions that no piece reaches: bytes
-                done += 1
-                if last[done] == OPEN:
-                    last[done], back[done] = -1, done - 1
-            j = end + 1
-            if last[j] != OPEN:
+        size, follows, merging = len(unit), self.follows, self.merging
+        reached: list[tuple | None] = [None] * (size + 1)
+        reached[0] = (APART, 0.0, None, APART, 0)
+        bare = not self.letters.issuperset(unit)  # some character is no piece
+        done = 0
+        for end, (b, n, state, weight) in self.trie.iter(unit):
+            if bare:
+                while done < end:
+                    done += 1
+                    self._relax_bytes(unit, reached, done)
+            target = reached[end + 1]
+            source = reached[end + 1 - n]
+            if source is None or (merging and target is not None):
                 continue
-            a = last[j - n]
-            if a >= 0:
-                ok = follows.get(a * wide + b)
-                if not (self.may_follow(a, b) if ok is None else ok):
+            if source[0] >= 0:  # the filter's arc by b
+                ok = follows.get(source[0] + b)
+                if not (self.may_follow(source[3], b) if ok is None else ok):
                     continue
-            last[j], back[j] = b, j - n
-        for j in range(done + 1, size + 1):
-            if last[j] == OPEN:
-                last[j], back[j] = -1, j - 1
-        return self._path(unit, last, back)
-
-    def _least_cost(self, unit: str) -> list[int]:
-        size, weights = len(unit), self.weights
-        cost, last, back = [0.0] + [np.inf] * size, [-1] * (size + 1), [0] * (size + 1)
-        arcs: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
-        for end, arc in self.trie.iter(unit):
-            arcs[end + 1].append(arc)
-        for j in range(1, size + 1):
-            cost[j], back[j] = cost[j - 1] + BYTE_WEIGHT, j - 1
-            for b, n in arcs[j]:
-                if cost[j - n] + weights[b] < cost[j]:
-                    cost[j], last[j], back[j] = cost[j - n] + weights[b], b, j - n
-        return self._path(unit, last, back)
-
-    def _path(self, unit: str, last: list[int], back: list[int]) -> list[int]:
+            cost = source[1] + weight
+            if target is None or cost < target[1]:
+                reached[end + 1] = (state, cost, source, b, end + 1)
+        while bare and done < size:
+            done += 1
+            self._relax_bytes(unit, reached, done)
+        return self._path(unit, reached[size])
+
+    def _relax_bytes(self, unit: str, reached: list[tuple | None], j: int) -> None:
+        """The arc of a character that is no piece."""
+        if unit[j - 1] not in self.letters and reached[j - 1] is not None:
+            cost = reached[j - 1][1] + self.byte_weight
+            if reached[j] is None or cost < reached[j][1]:
+                reached[j] = (APART, cost, reached[j - 1], APART, j)
+
+    def _path(self, unit: str, at: tuple | None) -> list[int]:
+        if at is None:
+            raise ValueError(f"no path for {unit!r}")
         out: list[int] = []
-        j = len(unit)
-        while j > 0:
-            if last[j] >= 0:
-                out.append(last[j])
+        while at[2] is not None:
+            if at[3] >= 0:
+                out.append(at[3])
             else:
-                out.extend(self.bytes[x] for x in reversed(unit[back[j] : j].encode("utf-8", "replace")))
-            j = back[j]
+                out.extend(self.bytes[x] for x in reversed(unit[at[4] - 1].encode("utf-8", "replace")))
+            at = at[2]
         out.reverse()
         return out
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        return ((BLANK if self.prefix else "") + text.replace(" ", BLANK)) if text else ""
+    def _unit(self, raw: str, state: int) -> bytes:
+        path = self.shortest_path(self.normaliser.compose(raw, state)[0])
+        return struct.pack(f"<{len(path)}{self.letter}", *path)
 
     def encode(self, text: str | None) -> np.ndarray:
         """All ids of a whole text."""
-        text = self.normalise(text or "")
-        units = _UNITS.findall(text) if self.begin_only else [text] if text else []
+        if not text:
+            return np.array([], dtype=self.kind)
+        if not self.begin_only:
+            return np.frombuffer(self._unit(text, BEGIN), dtype=self.kind)
+        units = _UNITS.findall(text)
         known = self.units
-        out: list[bytes] = []
-        for u in units:
+        out = [b""]
+        for u in units[1:]:
             ids = known.get(u)
             if ids is None:
-                path = self.shortest_path(u)
-                ids = struct.pack(f"<{len(path)}{self.letter}", *path)
+                ids = self._unit(u, INSIDE)
                 if len(known) >= REMEMBERED:
                     known.clear()
                 if len(u) <= LONGEST_UNIT:
                     known[u] = ids
             out.append(ids)
+        out[0] = self._unit(units[0], BEGIN)
         return np.frombuffer(b"".join(out), dtype=self.kind)
 
     def decode(self, ids: np.ndarray | list[int]) -> str:

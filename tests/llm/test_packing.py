@@ -15,40 +15,30 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab'st \n\t.  é漢1", max_size=40))
 def test_ids(reference, text):
-    assert np.frombuffer(packing.word_encoder(None).ids(text), "<u2").tolist() == reference(text)
+    assert packing.encoder(None).ids(text).tolist() == reference(text)
 
 
 def test_ids_of_real_texts(spark, sf_dir, reference):
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect():
-        assert np.frombuffer(packing.word_encoder(None).ids(r["text"]), "<u2").tolist() == reference(r["text"])
-
-
-@pytest.fixture(scope="module")
-def default_reference():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+        assert packing.encoder(None).ids(r["text"]).tolist() == reference(r["text"])
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", "'s", "é漢", "1", "word"]), max_size=12).map("".join))
-def test_ids_of_added_tokens(default_reference, text):
-    assert np.frombuffer(packing.word_encoder(None).ids(text), "<u2").tolist() == default_reference(text)
+def test_ids_of_added_tokens(reference, text):
+    assert packing.encoder(None).ids(text).tolist() == reference(text)
 
 
-def test_packed_added_token(docs_of, default_reference):
+def test_packed_added_token(docs_of, reference):
     texts = [(0, "hi <|endoftext|> there"), (1, "<|endoftext|>"), (2, "a  <|endoftext|><|endoftext|>b"), (3, "plain")]
-    assert default_reference(texts[0][1]) == [5303, 220, 50256, 612]
-    check(packing.pack(docs_of(texts)).collect(), {i: [*default_reference(t), 1] for i, t in texts})
+    assert reference(texts[0][1]) == [5303, 220, 50256, 612]
+    check(packing.pack(docs_of(texts)).collect(), {i: [*reference(t), 1] for i, t in texts})
 
 
 def check(pieces, ids, window=2048):
@@ -70,7 +60,7 @@ def check(pieces, ids, window=2048):
         for p in sorted(s, key=lambda p: p["offset"]):
             assert p["offset"] == at
             at += p["length"]
-        assert at <= window
+        assert at <= window and len(s) >= 1
         padding += 0 if at & (at - 1) == 0 else window - at
     assert padding == 0
 
@@ -115,7 +105,7 @@ def test_windows_take_the_nearest_unused():
 
 def test_seeds_ask_with_all_their_terms(docs_of):
     """Document 1 shares the 40 heaviest terms of document 0, document 2 its 200 others, which weigh more together."""
-    encoding = packing.word_encoder(None).encoding
+    encoding = packing.encoder(None).encoding
     words = [w for w in map(encoding.decode, ([i] for i in range(300, 2000))) if w[0] == " " and w[1:].isascii() and w[1:].islower() and len(encoding.encode(w)) == 1][:240]
     heavy, others = "".join(words[:40]), "".join(words[40:])
     got = packing.pack(docs_of([(0, heavy * 3 + others), (1, heavy), (2, others)]), window=421).collect()
@@ -127,3 +117,41 @@ def test_query(spark, sf_dir, reference):
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     check(queries()["op6_packing"](spark, sf_dir).collect(), {r["doc_id"]: [*reference(r["text"]), 1] for r in docs})
+
+
+def test_very_long_pieces(reference):
+    for text in ("a" * 20_000, " " * 20_000, "é" * 9_000, "ab " * 9_000, "\n" * 9_000):
+        assert packing.encoder(None).ids(text).tolist() == reference(text)
+
+
+def test_shards_bound_tokens_and_documents(docs_of, reference):
+    """Short texts, one text held by most rows and repeated rows without ids: shards stay near their size, nothing is lost."""
+    rows = [(i, f"tale {i} of the {['river', 'stone', 'forest'][i % 3]}") for i in range(120)] + [(500 + i, "the same copied words again and again") for i in range(200)] + [(None, "")] * 100
+    got = packing.pack(docs_of(rows), shard_tokens=1000).collect()
+    assert sum(p["length"] for p in got) == sum(len(reference(t)) + 1 for _, t in rows)
+    shards: dict = {}
+    for p in got:
+        shards.setdefault(p["sequence_id"] >> 32, []).append(p)
+    assert len(shards) > 8
+    assert max(sum(p["length"] + packing.DOCUMENT for p in s if p["start"] == 0) for s in shards.values()) <= 4 * 1000
+    check(got, {i: [*reference(t), 1] for i, t in rows if i is not None})
+
+
+def test_texts_that_share_heavy_terms_meet():
+    rng = np.random.default_rng(1)
+    idf = np.full(1 << 16, 2.0)
+    base = rng.integers(300, 5000, 200)
+    near = base.copy()
+    near[-5:] = rng.integers(300, 5000, 5)
+    heavy = np.concatenate((base, np.repeat(base[:3], (9, 6, 3))))
+    assert packing.route(heavy, idf, 200.0) == packing.route(np.concatenate((near, np.repeat(base[:3], (9, 6, 3)))), idf, 200.0)
+    assert packing.route(heavy, idf, 200.0) >> 32 == base[0]
+
+
+def test_whole_windows_stay_where_they_are(docs_of, reference):
+    rows = [(1, "one two three four " * 3000), (2, "x y " * 1000), (3, "short")]
+    got = packing.pack(docs_of(rows)).collect()
+    check(got, {i: [*reference(t), 1] for i, t in rows})
+    alone = [p for p in got if p["sequence_id"] >= packing.FULL_WINDOWS]
+    assert alone and all(p["length"] == 2048 and p["offset"] == 0 and p["start"] % 2048 == 0 for p in alone)
+    assert len({p["sequence_id"] for p in alone}) == len(alone)

@@ -62,7 +62,7 @@ def test_secrets_stage(stages):
 
 def test_packing_stage(stages):
     after = texts(stages["secrets"])
-    tokens = {d: len(packing.word_encoder(None).ids(t)) // 2 + 1 for d, t in after.items()}
+    tokens = {d: len(packing.encoder(None).ids(t)) + 1 for d, t in after.items()}
     packed: dict = {}
     for r in stages["packing"].collect():
         packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["length"]
