@@ -1,10 +1,16 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
-Records come in many layouts: a prompt and its completion, an instruction with an
-optional input, a list of messages with role and content or with from and value.
-A record's fingerprint is a hash of its sorted nested field paths. A declarative
-table maps fingerprints to the expressions that give the canonical turns, an array
-of (role, text); records whose fingerprint is not listed give null turns.
+Records come in many layouts: a prompt and its response, with or without a system text, an
+instruction with an optional input, a list of messages with role and content or with from
+and value. Each record's fingerprint is a hash of the sorted nested field paths that it
+holds, of all elements of its lists, as far as any layout knows them. A declarative table
+maps fingerprints to the expressions that give the canonical turns, an array of (role,
+text); records whose fingerprint is not listed give null turns. Fields that no layout knows
+(an id, a source) take no part, so they change nothing.
+
+``turns_of_json`` reads JSON records, ``turns_of_struct`` records of one wide type whose
+absent fields are null; both choose by the fingerprint of the row, not of the table.
+``conversations_to_records`` writes each conversation in the plainest layout that holds it.
 
 The template writes ``<|im_start|>role``, a newline, the text and ``<|im_end|>`` with
 a newline for each turn. Inside roles and texts ``&`` becomes ``&amp;`` and ``<|``
@@ -12,9 +18,10 @@ becomes ``&lt;|`` (in roles a newline becomes ``&#10;``), so no text can hold a
 and reading back undoes it exactly.
 
 Defined cases: null roles and texts are empty; turns that tie in their number are
-ordered by role, then text; repeated rows are repeated turns; rows without a
-conversation id form one conversation with a null id; extra columns are not looked
-at; an empty table gives an empty result.
+ordered by role, then text; repeated rows are repeated turns; texts of any length are
+formatted whole; rows without a conversation id form one conversation with a null id;
+a record's empty list has no turns; extra columns are not looked at; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -72,7 +79,12 @@ MAPPINGS = {
     ("messages[].content", "messages[].role"): lambda r: _messages(r["messages"], "role", "content"),
     ("conversations[].from", "conversations[].value"): lambda r: _messages(r["conversations"], "from", "value"),
     ("turns[].role", "turns[].text"): lambda r: F.transform(r["turns"], lambda m: _turn(m["role"], m["text"])),
+    ("messages[]",): lambda r: F.expr(f"cast(array() as {TURNS})"),
+    ("conversations[]",): lambda r: F.expr(f"cast(array() as {TURNS})"),
+    ("turns[]",): lambda r: F.expr(f"cast(array() as {TURNS})"),
 }
+#: Paths that any layout knows; a record's others take no part in its fingerprint.
+KNOWN = sorted({p for paths in MAPPINGS for p in paths})
 
 #: One type that can hold a JSON record of any listed layout.
 WIDE = (
@@ -81,38 +93,66 @@ WIDE = (
 )
 
 
-def json_paths(record: Column) -> Column:
-    """Sorted nested field paths of a JSON record, two levels deep, joined by newlines."""
-    top = F.array_sort(F.json_object_keys(record))
+def _joined(paths: Column) -> Column:
+    """A record's known field paths, sorted, as one text."""
+    known = F.array(*[F.lit(p) for p in KNOWN])
+    return F.array_join(F.array_sort(F.array_intersect(paths, known)), "\n")
 
-    def inner(key: Column) -> Column:
-        value = F.try_variant_get(F.try_parse_json(record), F.lit("$"), "map<string,variant>")[key]
-        text = F.to_json(value)
-        first = F.get_json_object(text, "$[0]")
-        return F.when(
-            text.startswith("["),
-            F.coalesce(F.transform(F.array_sort(F.json_object_keys(first)), lambda k: F.concat(key, F.lit("[]."), k)), F.array(F.concat(key, F.lit("[]")))),
-        ).otherwise(F.array(key))
 
-    return F.array_join(F.array_sort(F.flatten(F.transform(top, inner))), "\n")
+def _listed(record: Column, layout: Column) -> Column:
+    """Turns of a record by its fingerprint."""
+    turns = F.lit(None).cast(TURNS)
+    for paths, mapping in reversed(MAPPINGS.items()):
+        turns = F.when(layout == fingerprint_of(paths), mapping(record)).otherwise(turns)
+    return turns
+
+
+def json_paths(record: Column, depth: int = 3) -> Column:
+    """Nested field paths of a JSON record: of objects inside objects and of every element of a list, ``depth`` levels down."""
+    none = F.expr("cast(array() as array<string>)")
+
+    def under(value: Column, prefix: Column, left: int) -> Column:
+        keys = F.try_variant_get(value, F.lit("$"), "map<string,variant>")
+        items = F.try_variant_get(value, F.lit("$"), "array<variant>")
+        leaf = F.array(prefix)
+        if not left:
+            return leaf
+        inside = F.flatten(F.transform(F.map_keys(keys), lambda k: under(keys[k], F.concat(prefix, F.lit("."), k), left - 1)))
+        each = F.array_distinct(F.flatten(F.transform(items, lambda x: under(x, F.concat(prefix, F.lit("[]")), left - 1))))
+        # variants read as a map only if they are objects, as an array only if they are lists
+        return F.when(keys.isNotNull(), inside).when(items.isNotNull(), F.when(F.size(items) == 0, F.array(F.concat(prefix, F.lit("[]")))).otherwise(each)).otherwise(leaf)
+
+    top = F.try_variant_get(F.try_parse_json(record), F.lit("$"), "map<string,variant>")
+    return F.coalesce(F.flatten(F.transform(F.map_keys(top), lambda k: under(top[k], k, depth - 1))), none)
 
 
 def turns_of_json(df: DataFrame, record_col: str) -> DataFrame:
     """df with ``layout`` (the fingerprint of each JSON record) and ``turns`` (canonical, null for unlisted layouts)."""
     wide = F.from_json(F.col(record_col), WIDE)
-    with_layout = df.withColumn("layout", F.xxhash64(json_paths(F.col(record_col)))).withColumn("__r", wide)
-    turns = F.lit(None).cast(TURNS)
-    for paths, mapping in reversed(MAPPINGS.items()):
-        turns = F.when(F.col("layout") == fingerprint_of(paths), mapping(F.col("__r"))).otherwise(turns)
-    return with_layout.withColumn("turns", turns).drop("__r")
+    with_layout = df.withColumn("layout", F.xxhash64(_joined(json_paths(F.col(record_col))))).withColumn("__r", wide)
+    return with_layout.withColumn("turns", _listed(F.col("__r"), F.col("layout"))).drop("__r")
+
+
+def present_paths(value: Column, kind: T.DataType, prefix: str = "") -> Column:
+    """Nested field paths that a typed record holds: a field that is null is absent, and a list has the paths of all its elements."""
+    none = F.expr("cast(array() as array<string>)")
+    if isinstance(kind, T.StructType):
+        parts = [present_paths(value[f.name], f.dataType, f"{prefix}.{f.name}" if prefix else f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.array_distinct(F.flatten(F.array(*parts)))).otherwise(none)
+    if isinstance(kind, T.ArrayType):
+        inside = F.array_distinct(F.flatten(F.transform(value, lambda x: present_paths(x, kind.elementType, prefix + "[]"))))
+        return F.when(F.size(value) == 0, F.array(F.lit(prefix + "[]"))).when(value.isNotNull(), inside).otherwise(none)
+    return F.when(value.isNotNull(), F.array(F.lit(prefix))).otherwise(none)
 
 
 def turns_of_struct(df: DataFrame, record_col: str) -> DataFrame:
-    """The same for a struct column, whose layout is known before any row is read."""
-    paths = tuple(field_paths(df.schema[record_col].dataType))
-    mapping = next((m for p, m in MAPPINGS.items() if tuple(sorted(p)) == paths), None)
-    turns = mapping(F.col(record_col)) if mapping else F.lit(None).cast(TURNS)
-    return df.withColumn("layout", fingerprint_of(paths)).withColumn("turns", turns)
+    """The same for records of a struct type, in which the fields of a record's layout are those that are not null."""
+    record = F.col(record_col)
+    paths = present_paths(record, df.schema[record_col].dataType)
+    fields = {f.name for f in df.schema[record_col].dataType.fields}
+    wide = {f.name: f.dataType for f in T._parse_datatype_string(f"struct<{WIDE.replace(' string', ':string').replace(' array', ':array')}>").fields}
+    full = F.struct(*[(record[n] if n in fields else F.lit(None)).cast(t).alias(n) for n, t in wide.items()])
+    return df.withColumn("layout", F.xxhash64(_joined(paths))).withColumn("__r", full).withColumn("turns", _listed(F.col("__r"), F.col("layout"))).drop("__r")
 
 
 def escape(text: Column) -> Column:
@@ -148,10 +188,32 @@ def read_turns(formatted: Column) -> Column:
 
 
 def conversations_to_records(rows: DataFrame) -> DataFrame:
-    """(conv_id, record): rows by turn become one record of the turns layout."""
+    """(conv_id, record): rows by turn become one record in the plainest layout that holds them.
+
+    A question and its answer are a pair, with a system text before them a triple; other
+    talks of a user and an assistant are from and value, with a system text messages; any
+    other roles are kept as they are in turns.
+    """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    turns = F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["role"], t["text"]))
-    return rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.struct(turns.alias("turns")).alias("record"))
+    grouped = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("__t"))
+    t, roles = F.col("__t"), F.col("__roles")
+    speakers = {"assistant": "gpt", "user": "human"}
+    pair, triple = F.array(F.lit("user"), F.lit("assistant")), F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
+    only = lambda *names: F.size(F.array_except(roles, F.array(*[F.lit(n) for n in names]))) == 0
+    kind = F.when(roles == pair, "pair").when(roles == triple, "triple").when(only(*speakers), "speakers").when(only("system", *speakers), "messages").otherwise("turns")
+    said = F.create_map(*[F.lit(x) for kv in speakers.items() for x in kv])
+    text = lambda i: F.get(t, F.lit(i))["text"]
+    is_kind = lambda *names: F.col("__kind").isin(*names)
+    record = F.struct(
+        F.when(is_kind("pair"), text(0)).when(is_kind("triple"), text(1)).alias("prompt"),
+        F.when(is_kind("pair"), text(1)).when(is_kind("triple"), text(2)).alias("response"),
+        F.when(is_kind("triple"), text(0)).alias("system"),
+        F.when(is_kind("messages"), F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))).alias("messages"),
+        F.when(is_kind("speakers"), F.transform(t, lambda x: F.struct(said[x["role"]].alias("from"), x["text"].alias("value")))).alias("conversations"),
+        F.when(is_kind("turns"), F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))).alias("turns"),
+    )
+    known = grouped.withColumn("__roles", F.transform("__t", lambda x: x["role"])).withColumn("__kind", kind)
+    return known.select("conv_id", record.alias("record"))
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:

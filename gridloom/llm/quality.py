@@ -3,13 +3,17 @@
 Each document gives a short vector of statistics of its whole text (letter cases,
 symbols, word lengths, repetition, punctuation). Random Fourier features of the
 standardised vector approximate a Gaussian kernel. Ridge weights solve the normal
-equations, which partitions sum up (a fixed-size matrix each) and Spark adds.
-Scores of the learning rows are counted in a fixed number of bins, and pooling
-adjacent violators over the bins gives the calibrated score.
+equations, which partitions sum up (a fixed-size matrix each) and a tree of tasks adds.
+The sums are kept by ``FOLDS`` folds of the learning rows: a fold's rows are scored by the
+weights of the others, these scores are counted in a fixed number of bins, and pooling
+adjacent violators over the bins gives the calibration, which thus sees no row that its
+weights have seen. The final weights are those of all learning rows. The labelled
+rows, a few numbers each, are joined and staged once; every pass reads them.
 
 Defined cases: null text is an empty text; empty texts have all statistics zero and
-are scored like any other; null ids are kept and never learned from; repeated rows
-are scored alike; extra columns are not looked at; without any learning rows every
+are scored like any other; a text of any length is measured whole; null ids are kept
+and never learned from; repeated rows and all texts of equal statistics are scored
+alike, so scores tie; extra columns are not looked at; without any learning rows every
 score is 0.5; an empty table gives an empty result.
 """
 
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import crc_fold, pieces, stage, training_labels
+from gridloom.llm.common import crc_fold, pieces, scope, stage, training_labels
 
 #: Names of the document statistics, in order.
 STATISTICS = (
@@ -33,6 +37,8 @@ STATISTICS = (
     "word_spread", "distinct_words", "top_word", "top_line", "lines_repeated", "stops", "exclaims", "caps_words", "odd_ends", "bars", "squeeze", "vowels", "line_words",
 )
 BINS = 512
+#: Folds of the learning rows, each calibrated by the weights of the others.
+FOLDS = 3
 #: Bytes of each text that the compressibility statistic reads at a time; all of the text is read.
 SQUEEZED = 1 << 20
 
@@ -138,34 +144,51 @@ def pool_adjacent_violators(positive: np.ndarray, total: np.ndarray) -> np.ndarr
     out = np.full(len(total), 0.5)
     for k, (p, t, start) in enumerate(blocks):
         stop = blocks[k + 1][2] if k + 1 < len(blocks) else len(total)
-        out[0 if k == 0 else int(start) : int(stop)] = (p + 0.5 * (p / t)) / (t + 0.5)
+        out[0 if k == 0 else int(start) : int(stop)] = p / t
     return out
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for b in batches:
+        for raw in b.column(0).to_pylist():
+            v = np.frombuffer(raw)
+            total = v if total is None else total + v
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+
 def _summed(rows: DataFrame, part, size: int) -> np.ndarray:
-    """Sum over partitions of a vector that ``part`` makes of each batch (x matrix, labels)."""
+    """Sum of the vectors that ``part`` makes of each batch (x matrix, labels, folds); one vector reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in batches:
             if b.num_rows:
                 x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
-                total += part(x, b.column(1).to_numpy().astype(np.float64))
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
-
-    got = rows.select("x", F.col("label").cast("double").alias("y")).mapInArrow(run, "v array<double>")
-    # partitions' vectors are added pairwise by position, so one vector reaches the driver
-    summed = got.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(size)
-    for r in summed:
-        out[r["i"]] = r["v"]
-    return out
+                total += part(x, b.column(1).to_numpy().astype(np.float64), b.column(2).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    # staged rows are cut by size, so vectors are few beside the rows; a task of the second level adds about as many as there are such tasks
+    parts = rows.rdd.getNumPartitions()
+    summed = rows.select("x", "label", "fold").mapInArrow(run, "v binary")
+    if parts > 4:
+        summed = summed.repartition(max(1, round(parts**0.5))).mapInArrow(_added, "v binary")
+    got = summed.coalesce(1).mapInArrow(_added, "v binary").collect()
+    return np.frombuffer(got[0]["v"]) if got else np.zeros(size)
+
+
+def learning_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Staged (x, label, fold) of the labelled rows."""
+    known = rows.select("doc_id", "x").join(training_labels(labels, "quality"), "doc_id")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    return stage(known.select("x", F.col("label").cast("int").alias("label"), fold.alias("fold")), "quality-learning")
 
 
 def fit(rows: DataFrame, width: int = 256, bandwidth: float = 3.0, ridge: float = 1.0, seed: int = 7) -> FourierRidge | None:
-    """Fit on (x, label) rows, all of them; None if there are none."""
+    """Fit on staged (x, label, fold) rows, all of them; None if there are none."""
     d = len(STATISTICS)
-    moments = _summed(rows, lambda x, y: np.concatenate(([len(x)], x.sum(0), (x * x).sum(0))), 1 + 2 * d)
+    moments = _summed(rows, lambda x, y, fold: np.concatenate(([len(x)], x.sum(0), (x * x).sum(0))), 1 + 2 * d)
     n = moments[0]
     if not n:
         return None
@@ -176,18 +199,26 @@ def fit(rows: DataFrame, width: int = 256, bandwidth: float = 3.0, ridge: float
     model = FourierRidge(mean, scale, rng.normal(size=(d, width)) / bandwidth, rng.uniform(0, 2 * np.pi, width), np.zeros(width + 1), (0.0, 1.0), np.full(BINS, 0.5))
     k = width + 1
 
-    def normal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        f = model.features(x)
-        return np.concatenate(((f.T @ f).ravel(), f.T @ y))
+    def normal(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        f, out = model.features(x), []
+        for j in range(FOLDS):
+            mine = f[fold == j]
+            out += [(mine.T @ mine).ravel(), mine.T @ y[fold == j]]
+        return np.concatenate(out)
 
-    sums = _summed(rows, normal, k * k + k)
+    sums = _summed(rows, normal, FOLDS * (k * k + k)).reshape(FOLDS, -1)
     penalty = ridge * np.eye(k)
     penalty[-1, -1] = 1e-6
-    model.weights = np.linalg.solve(sums[: k * k].reshape(k, k) + penalty, sums[k * k :])
+
+    def solved(total: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(total[: k * k].reshape(k, k) + penalty, total[k * k :])
+
+    model.weights = solved(sums.sum(0))
     model.edges = (-0.5, 1.5)
+    others = np.stack([solved(sums.sum(0) - sums[j]) for j in range(FOLDS)])
 
-    def counted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        at = model.bins(model.raw(x))
+    def counted(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        at = model.bins((model.features(x) * others[fold]).sum(1))
         return np.concatenate((np.bincount(at, weights=y, minlength=BINS), np.bincount(at, minlength=BINS)))
 
     counts = _summed(rows, counted, 2 * BINS)
@@ -208,7 +239,8 @@ def _score(model: FourierRidge | None, x: int):
 
 def scored(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Staged rows (doc_id, .., x) with ``score`` in the place of ``x``, learned from their labels."""
-    model = fit(rows.select("doc_id", "x").join(training_labels(labels, "quality"), "doc_id").select("x", "label"))
+    with scope(rows.sparkSession):
+        model = fit(learning_rows(rows, labels))
     schema = T.StructType([*(f for f in rows.schema.fields if f.name != "x"), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_score(model, rows.columns.index("x")), schema)
 

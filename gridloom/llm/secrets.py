@@ -1,20 +1,21 @@
 """Secret scan: base patterns plus a randomness test battery, in DataFrame functions only.
 
 Base kinds (``assign``, ``access``, ``hex``) are found by pattern. Beyond them every
-long run of token characters that has a digit is a candidate. Its encoding is
+long run of token characters (with the signs that pad it) that has letters and digits, or
+letters of both cases, and is no ordinary word is a candidate. Its encoding is
 inferred (hex, base32, base64), its characters become symbol numbers of that
 alphabet, and three tests ask whether they look like independent uniform draws:
-chi-squared of four equal alphabet quarters, Wald-Wolfowitz runs about the
-alphabet's middle, and lag-1 serial correlation. Each gives a p-value under
+chi-squared of equal parts of the alphabet (four, eight from 28 characters on, sixteen
+from 64 on), Wald-Wolfowitz runs about the alphabet's middle, and lag-1 serial correlation. Each gives a p-value under
 "random"; the three are combined by Fisher's method into a score.
 
 Whether a score may pass is decided by false-discovery control by length. Ordinary
-words and numbers, also joined by signs, are decoys, scored by the same battery. For
+words and numbers, also joined by signs, are decoys, scored by the same battery, and so
+is a fixed list of ordinary names, so a corpus with few decoys of its own is judged, too. For
 each length class, the threshold is the lowest score at which the false passes that
 the decoys' passing rate predicts are at most ``alpha`` of all passes, counted over all
 documents; longer tokens, on which the tests have more power, earn lower thresholds.
-Too few decoys let nothing pass. Scores are
-counted in a fixed number of bins, so what is gathered does not grow with the
+Scores are counted in a fixed number of bins, so what is gathered does not grow with the
 corpus. Candidates that overlap a base span give way to it.
 
 Positions are code points, end exclusive. Splitting a text by a pattern and
@@ -22,8 +23,9 @@ extracting all its matches walk the same matches, so the lengths of both, summed
 alternately, give every match's place.
 
 Defined cases: null text is empty; empty and repeated rows give their own result
-rows; null ids are kept; extra columns are not looked at; an empty table gives an
-empty result.
+rows; a text of any length is scanned whole; spans of equal start are ordered by kind, and
+overlapping base spans of unlike kinds all stay; null ids are kept; extra columns are not
+looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,9 +42,11 @@ HEX = r"[0-9a-f]{16,}"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Ordinary tokens, the decoys: words and numbers, also joined by signs.
 WORDS = "^([a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+)([_/+-]+([a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+))*$"
+#: Words that the fixed decoys are joined of.
+ORDINARY = ("account", "backup", "channel", "default", "element", "folder", "group", "handler", "internal", "journal", "kernel", "listener", "message", "network", "option", "project", "request", "session", "timeout", "user", "version", "window")
 #: Length classes of the false-discovery control: a token belongs to the last one that it reaches.
 CLASSES = (20, 28, 40, 64)
 BINS = 64
@@ -154,15 +158,21 @@ def _sum(xs: Column, of=lambda x: x) -> Column:
 
 
 def chi_squared(symbols: Column, n: Column, k: Column) -> Column:
-    """p-value of equal use of the alphabet's four quarters (Wilson-Hilferty, three degrees of freedom)."""
+    """p-value of equal use of the alphabet's parts (Wilson-Hilferty)."""
+    parts = F.when(n >= 64, F.least(k, F.lit(16))).when(n >= 28, 8).otherwise(4).cast("int")
 
-    def term(q: int) -> Column:
-        count = F.size(F.filter(symbols, lambda s: F.floor(s * 4 / k) == q)).cast("double")
-        share = (F.ceil(k * (q + 1) / 4) - F.ceil(k * q / 4)) / k * n
+    def term(count: Column, q: Column, m: Column) -> Column:
+        share = (F.ceil(k * (q + 1) / m) - F.ceil(k * q / m)) / k * n
         return (count - share) * (count - share) / share
 
-    chi = term(0) + term(1) + term(2) + term(3)
-    return _survival((F.pow(chi / 3, F.lit(1 / 3)) - (1 - 2 / 27)) / F.sqrt(F.lit(2 / 27)))
+    def tail(m: Column) -> Column:
+        cells = F.transform(symbols, lambda s: F.floor(s * m / k).cast("int"))
+        numbers = F.sequence(F.lit(0), m - 1)
+        chi = let(cells, lambda c: _sum(F.transform(numbers, lambda q: term(F.size(F.filter(c, lambda x: x == q)).cast("double"), q, m))))
+        free = (m - 1).cast("double")
+        return _survival((F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
+
+    return let(parts, tail)
 
 
 def runs(symbols: Column, n: Column, k: Column) -> Column:
@@ -191,10 +201,11 @@ def serial(symbols: Column, n: Column) -> Column:
     return let(_sum(symbols) / n, lambda mean: let(F.transform(symbols, lambda s: s - mean), tail))
 
 
-def battery(token: Column) -> Column:
+def battery(given: Column) -> Column:
     """Fisher's combined log10 p-value of the three tests: 0 is most random."""
 
     def score(alphabet: Column) -> Column:
+        token = F.rtrim(given, F.lit("="))
         folded = F.when(F.length(alphabet) == 16, F.lower(token)).when(F.length(alphabet) == 64, F.translate(token, "-_", "+/")).otherwise(token)
         symbols = F.transform(F.regexp_extract_all(folded, F.lit("."), F.lit(0)), lambda c: F.call_function("instr", alphabet, c) - 1)
         return let(symbols, lambda s: let(F.size(s).cast("double"), lambda n: fisher(s, n, F.length(alphabet).cast("double"))))
@@ -204,7 +215,7 @@ def battery(token: Column) -> Column:
         # -2 sum ln p is chi-squared with six degrees of freedom, whose tail is closed
         return let(half, lambda h: (F.ln(1 + h + h * h / 2) - h) / F.ln(F.lit(10.0)))
 
-    return let(encoding(token), score)
+    return let(encoding(F.rtrim(given, F.lit("="))), score)
 
 
 def length_class(size: Column) -> Column:
@@ -219,48 +230,62 @@ def score_bin(score: Column) -> Column:
     return F.least(F.floor(F.greatest(-score, F.lit(0.0)) * 4), F.lit(BINS - 1)).cast("int")
 
 
+def judged(token: Column) -> list[Column]:
+    """Whether a token is a decoy, its alphabet's size, its length class and its score's bin."""
+    return [
+        token.rlike(WORDS).alias("decoy"),
+        F.length(encoding(F.rtrim(token, F.lit("=")))).alias("symbols"),
+        length_class(F.length(token)).alias("class"),
+        score_bin(battery(token)).alias("bin"),
+    ]
+
+
+def ordinary_names() -> list[str]:
+    """The fixed decoys: words of the list, joined by each sign or none, in each case, of every length class."""
+    n, out = len(ORDINARY), []
+    for i in range(n):
+        for sign in "-_/":
+            for words in (3, 4, 6, 9):
+                for step in (1, 3, 5):
+                    parts = [ORDINARY[(i + k * step) % n] for k in range(words)]
+                    number = [str(2000 + i)] if i % 2 else []
+                    out += [sign.join(parts + number), sign.join([p.capitalize() for p in parts] + number), sign.join([p.upper() for p in parts] + number), "".join(parts), "".join(parts).upper()]
+    return sorted({x for x in out if len(x) >= CLASSES[0]})
+
+
 def scanned(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the base columns and ``tokens``, the scored candidates that lie on no base span."""
     df = found(base_spans(df, text), F.col(text), CANDIDATE, "__c")
     free = F.filter("__c", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    digit = lambda c: c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]")
-    word = lambda c: c["value"].rlike(WORDS)
-    tokens = F.transform(
-        F.filter(free, lambda c: digit(c) | word(c)),
-        lambda c: F.struct(
-            c["start"].alias("start"),
-            c["end"].alias("end"),
-            word(c).alias("decoy"),
-            F.length(encoding(c["value"])).alias("symbols"),
-            length_class(c["end"] - c["start"]).alias("class"),
-            score_bin(battery(c["value"])).alias("bin"),
-        ),
-    )
+    two_kinds = lambda c: c["value"].rlike("[A-Za-z]") & (c["value"].rlike("[0-9]") | (c["value"].rlike("[a-z]") & c["value"].rlike("[A-Z]")))
+    tokens = F.transform(F.filter(free, lambda c: two_kinds(c) | c["value"].rlike(WORDS)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), *judged(c["value"])))
     return df.withColumn("tokens", tokens).drop("__c")
 
 
 def thresholds(rows: DataFrame, alpha: float = 0.05) -> dict[tuple[int, int], int]:
     """(length class, alphabet size) -> last bin that may pass, from counts over all rows.
 
-    A class is held against the decoys of its own and shorter classes, which pass more
-    easily; an alphabet with few decoys is held against those of all alphabets. At most
+    A class and alphabet is held against its own decoys, or if they are few against those of
+    all alphabets, or of shorter classes, too, which pass more easily. At most
     classes x alphabets x bins counts reach the driver.
     """
-    each = rows.select(F.explode("tokens").alias("t")).select("t.*")
+    names = F.explode(F.array(*[F.lit(x) for x in ordinary_names()])).alias("name")
+    fixed = rows.sparkSession.range(1).select(names).select(*judged(F.col("name")))
+    each = rows.select(F.explode("tokens").alias("t")).select("t.decoy", "t.symbols", "t.class", "t.bin").unionByName(fixed)
     counted = each.groupBy("class", "symbols", "bin").agg(F.sum(F.col("decoy").cast("long")).alias("decoys"), F.count("*").alias("all")).collect()
 
-    def decoys(cls: int, symbols: int | None, last: int) -> int:
-        return sum(r["decoys"] for r in counted if r["class"] <= cls and symbols in (None, r["symbols"]) and r["bin"] <= last)
+    def decoys(cls: int, shorter: bool, symbols: int | None, last: int) -> int:
+        return sum(r["decoys"] for r in counted if (r["class"] == cls or (shorter and r["class"] < cls)) and symbols in (None, r["symbols"]) and r["bin"] <= last)
 
     out: dict[tuple[int, int], int] = {}
     for cls, symbols in {(r["class"], r["symbols"]) for r in counted}:
-        own = symbols if decoys(cls, symbols, BINS) * alpha >= 1 else None
-        known = decoys(cls, own, BINS)
+        pool = next((p for p in ((False, symbols), (False, None)) if decoys(cls, *p, BINS) * alpha >= 1), (True, None))
+        known = decoys(cls, *pool, BINS)
         mine = [(r["bin"], r["all"] - r["decoys"]) for r in counted if (r["class"], r["symbols"]) == (cls, symbols)]
         targets = sum(n for _, n in mine)
         for last in range(LAST_BIN + 1):
             passing = sum(n for b, n in mine if b <= last)
-            if passing and targets * (decoys(cls, own, last) + 1) / (known + 1) <= alpha * passing:
+            if passing and targets * (decoys(cls, *pool, last) + 1) / (known + 1) <= alpha * passing:
                 out[cls, symbols] = last
     return out
 

@@ -5,27 +5,29 @@ gzip members, a response record for the first capture of a payload (that with th
 smallest page id) and revisit records for the others, and returns the archive's
 index run, sorted by URL key, timestamp and page id. An archive's name holds its
 task attempt, so an attempt that is lost or repeated leaves a file that no index
-row names.
+row names. Digests that a large share of all pages has (an error page, an empty one) are
+dealt row by row, so no payload is bound to one task.
 
 Index. Runs are cut into ranges of the key; a range's slices of all runs are merged
-by a loser tree, so concatenating the ranges gives every URL's captures in order.
-A range holds a bounded number of index rows, and a host with very many captures
+by a loser tree, so concatenating the ranges gives every URL's captures in order. An
+exchange may cut a run and promises no order, so a run's slice is put in order again
+before it enters the tree. A range holds a bounded number of index rows, and a host with very many captures
 is cut by time like any other range.
 
-Reading. Records are fetched through the merged index by archive, offset and
-length, and payloads are held against their digests.
+Reading. Records are fetched through the merged index, each archive's in order of their
+offsets, and payloads are held against their digests.
 
 Defined cases: null html is an empty payload; null URLs have an empty key; null page
 ids rank after all others and are never referred to; rows that repeat the smallest
 page id of a payload are all responses; payloads below ``min_bytes`` are all
-responses; an empty table gives an empty result.
+responses; captures of equal URL key and time are ordered by page id; a payload of any
+length is one record; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
@@ -40,8 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import pieces, shared_dir, stage
+from gridloom.llm.common import pieces, scratch_path, spread_join, stage
 
+#: Bytes of an archive that one task reads in a row.
+READ_BYTES = 64 << 20
+#: Index rows of a run; a task that writes more yields several runs.
+RUN_ROWS = 50_000
 INDEX = (
     "run string, urlkey string, ts long, page_id long, url string, record_type string, "
     "payload_digest string, payload_bytes long, refers_to long, file string, offset long, length long"
@@ -125,7 +131,7 @@ def _write(folder: str):
         context = TaskContext.get()
         name = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
         fs, path = pafs.FileSystem.from_uri(name)
-        rows, out, offset = [], None, 0
+        rows, out, offset, runs = [], None, 0, 0
         for b in pieces(batches, 256):
             if out is None and b.num_rows:
                 fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
@@ -135,12 +141,15 @@ def _write(folder: str):
                 member = compress(record(page, url, ts, payload, digest, refers))
                 out.write(member)
                 kind = "response" if refers is None else "revisit"
-                rows.append((name, url_key(url), ts, page, url, kind, digest, len(payload), refers, name, offset, len(member)))
+                rows.append((f"{name}#{runs}", url_key(url), ts, page, url, kind, digest, len(payload), refers, name, offset, len(member)))
                 offset += len(member)
+            if len(rows) >= RUN_ROWS:
+                yield _index_batch(sorted(rows, key=_index_key))
+                rows, runs = [], runs + 1
         if out is not None:
             out.close()
-            rows.sort(key=_index_key)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _INDEX_SCHEMA.types, strict=True)], schema=_INDEX_SCHEMA)
+        if rows:
+            yield _index_batch(sorted(rows, key=_index_key))
 
     return run
 
@@ -201,9 +210,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in pc.unique(b.column(0)).to_pylist():
             slices.setdefault(run, []).append(b.filter(pc.equal(b.column(0), run)))
 
-    def rows(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
-        for p in parts:
-            yield from zip(*(c.to_pylist() for c in p.columns), strict=True)
+    def rows(parts: list[pa.RecordBatch]) -> list[tuple]:
+        return sorted((r for p in parts for r in zip(*(c.to_pylist() for c in p.columns), strict=True)), key=_index_key)
 
     held: list[tuple] = []
     for row in LoserTree([rows(slices[r]) for r in sorted(slices)], _index_key):
@@ -250,9 +258,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _RECORD_SCHEMA.types, strict=True)], schema=_RECORD_SCHEMA)
 
 
-def write_archives(pages: DataFrame, first_second: int = 1_704_067_200, min_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, first_second: int = 1_704_067_200, min_bytes: int = 0, folder: str | None = None) -> DataFrame:
     """Write one record per row of pages (page_id, url, html) and return the staged index runs.
 
+    Archives go to ``folder``, by default to a scratch folder that goes with the session.
     A capture's timestamp is ``first_second`` plus its page id, as the table has no times.
     """
     spark = pages.sparkSession
@@ -263,10 +272,11 @@ def write_archives(pages: DataFrame, first_second: int = 1_704_067_200, min_byte
         F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"),
     )
     keyed = own.withColumn("digest", F.unhex(F.sha1("payload")))
-    first = stage(keyed.groupBy("digest").agg(F.min("page_id").alias("first")), "warc-first")
+    first = stage(keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")), "warc-first")
+    total = first.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
     refers = F.when((F.length("payload") >= min_bytes) & ((F.col("first") < F.col("page_id")) | (F.col("page_id").isNull() & F.col("first").isNotNull())), F.col("first"))
-    dealt = keyed.join(first, "digest").select("page_id", "url", "ts", "payload", refers.alias("refers_to"))
-    return stage(dealt.mapInArrow(_write(f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"), INDEX), "warc-runs")
+    dealt = spread_join(keyed, first, "digest", "copies", total).select("page_id", "url", "ts", "payload", refers.alias("refers_to"))
+    return stage(dealt.mapInArrow(_write(folder or scratch_path(spark, "warc")), INDEX), "warc-runs", keep=True)
 
 
 def merge_index(runs: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
@@ -276,10 +286,12 @@ def merge_index(runs: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """One row per index entry, from the archives."""
-    return index.select("urlkey", "ts", "file", "offset", "length").mapInArrow(_read, RECORDS)
+    """One row per index entry, from the archives, which are read from front to back."""
+    entries = index.select("urlkey", "ts", "file", "offset", "length")
+    part = F.floor(F.col("offset") / READ_BYTES)
+    return entries.repartition("file", part).sortWithinPartitions("file", "offset").mapInArrow(_read, RECORDS)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write pages, merge the index and read every record back through it."""
-    return read_records(merge_index(write_archives(pages, min_bytes=min_bytes)))
+    return read_records(stage(merge_index(write_archives(pages, min_bytes=min_bytes)), "warc-index"))

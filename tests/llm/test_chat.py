@@ -52,6 +52,11 @@ def test_layouts(spark):
         '{"messages":[{"role":"system","content":"s"},{"role":"user","content":"u"}]}': [("system", "s"), ("user", "u")],
         '{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":"g"}]}': [("user", "h"), ("assistant", "g")],
         '{"output":"o","instruction":"i"}': [("user", "i"), ("assistant", "o")],
+        '{"id":7,"source":"s","prompt":"p","response":"r","meta":{"a":[1,{"b":2}]}}': [("user", "p"), ("assistant", "r")],
+        '{"system":"s","prompt":"p","response":"r"}': [("system", "s"), ("user", "p"), ("assistant", "r")],
+        '{"messages":[]}': [],
+        '{"messages":[{"role":"user"},{"role":"assistant","content":"c","name":"n"}]}': [("user", ""), ("assistant", "c")],
+        '{"prompt":"p","response":"r","messages":[{"role":"user","content":"u"}]}': None,
         '{"unknown":1}': None,
         "not json": None,
     }
@@ -60,6 +65,33 @@ def test_layouts(spark):
     assert {k: v and [tuple(t) for t in v] for k, v in got.items() if k} == rows and got[None] is None
 
 
+ROLES = [["user", "assistant"], ["system", "user", "assistant"], ["user"], ["user", "assistant", "user"], ["system", "user", "assistant", "user"], ["tool", "User"], ["assistant", "system"]]
+
+
+def test_layouts_of_the_query(spark):
+    """Conversations become records of five layouts, told apart by their own fingerprints, and come back as they were."""
+    rows = [(c, k, role, f"{c} {role} {k}") for c, roles in enumerate(ROLES) for k, role in enumerate(roles)]
+    records = chat.conversations_to_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat.turns_of_struct(records, "record").collect()
+    assert len({r["layout"] for r in got}) == 5
+    assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in got} == {c: [(role, f"{c} {role} {k}") for k, role in enumerate(roles)] for c, roles in enumerate(ROLES)}
+    whole = chat.format_conversations(spark.read.parquet("/root/testdata/sf0.1/conversations.parquet"))
+    assert whole.select("layout").distinct().count() >= 4 and whole.where("turns is null").count() == 0
+
+
+def test_json_and_struct_agree(spark):
+    rows = [(c, k, role, f"{c} {role}") for c, roles in enumerate(ROLES) for k, role in enumerate(roles)]
+    records = chat.conversations_to_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    typed = {r["conv_id"]: (r["layout"], r["turns"]) for r in chat.turns_of_struct(records, "record").collect()}
+    json = {r["conv_id"]: (r["layout"], r["turns"]) for r in chat.turns_of_json(records.select("conv_id", F.to_json("record").alias("j")), "j").collect()}
+    assert typed == json
+
+
+def test_very_long_and_null(spark):
+    rows = [(1, 0, "user", "long <| & " * 300_000), (1, 1, "assistant", "b" * 2_000_000), (2, 0, None, None)]
+    assert run(spark, rows) == digests(rows)
+
+
 def test_field_paths(spark):
     df = spark.createDataFrame([], "r struct<b: array<struct<y:int,x:int>>, a: string>")
     assert chat.field_paths(df.schema["r"].dataType) == ["a", "b[].x", "b[].y"]

@@ -54,6 +54,47 @@ def test_against_all_pairs(spark, layout):
     assert sorted(r[:3] for r in got) == sorted(brute(rows)) and all(k == (i == m) for i, _, m, k in got)
 
 
+@pytest.mark.parametrize("width", [64, 384, 768, 1024, 1536])
+@pytest.mark.parametrize("layout", [c.Layout(6, 1, 3), c.Layout(8, 2, 3), c.Layout(14, 3, 6)])
+def test_pairs_near_the_threshold_meet(width, layout):
+    """Pairs at cosine 0.95 to 0.97 meet, in a bucket that exists, and their first meeting is counted once."""
+    rng = np.random.default_rng(width)
+    n = 120 if width > 64 else 1000
+    a = rng.normal(size=(n, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    u = rng.normal(size=(n, width))
+    u -= (u * a).sum(1, keepdims=True) * a
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9501, 0.97, (n, 1))
+    b = cosine * a + np.sqrt(1 - cosine**2) * u
+    p, q = c.codes(a, layout), c.codes(b, layout)
+    assert (p >= 0).all() and (q >= 0).all() and p.dtype == np.int64
+    counted = np.zeros(n, int)
+    for t in range(layout.tables):
+        for i in range(n):
+            for code in {p[i, t, 0], q[i, t, 0]}:
+                if code in p[i, t] and code in q[i, t]:
+                    counted[i] += c.first_meeting(p[i : i + 1], q[i : i + 1], t, code)[0]
+    assert counted.max() <= 1 and (counted == 0).sum() <= (1 if n > 500 else 0)
+
+
+@pytest.mark.parametrize("layout", [c.Layout(8, 2, 3), c.Layout(14, 3, 6)])
+def test_wide_vectors_against_all_pairs(spark, layout):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(25):
+        centre = rng.normal(size=768)
+        for _ in range(int(rng.integers(1, 5))):
+            rows.append((len(rows), (centre + rng.normal(size=768) * 0.15).astype(np.float32).tolist()))
+    assert sorted(r[:3] for r in run(spark, rows, layout=layout)) == sorted(brute(rows))
+
+
+def test_copies_of_a_third_of_all_rows(spark):
+    """A class that holds far more than its share is dealt back by broadcast."""
+    rows = groups(6, n=20) + [(1000 + i, [1.0] * 16) for i in range(300)] + [(5000 + i, None) for i in range(300)]
+    assert sorted(r[:3] for r in run(spark, rows)) == sorted(brute(rows))
+
+
 def test_large_buckets_are_cut(spark, monkeypatch):
     monkeypatch.setattr(c, "BLOCK", 16)
     rng = np.random.default_rng(2)

@@ -74,13 +74,28 @@ def test_defined_cases(spark, sf_dir, docs_of):
     docs = docs_of(rows)
     for name, step in corpus_pipeline.STAGES:
         out = step(spark, docs, sf_dir)
-        assert out.count() >= 0
+        if name == "packing":
+            assert sum(r["length"] for r in out.collect()) == sum(len(packing.encoder(None).ids(t or "")) + 1 for _, t in rows)
+        elif name == "near_dedup":
+            assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == [(0, "other words that have no id"), (0, "words without an id here"), (1, rows[0][1]), (2, "")]
+        else:  # calm texts, none of which is labelled, stay
+            assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted((i or 0, t or "") for i, t in rows), name
         empty = step(spark, docs.limit(0), sf_dir)
         assert empty.count() == 0, name
     near = corpus_pipeline.near_copies_out(spark, docs, sf_dir)
     assert sorted((r["doc_id"] or 0) for r in near.collect()) == [0, 0, 1, 2]
 
 
+def test_very_long_and_clashing(spark, sf_dir, docs_of):
+    """A very long text passes all stages; a secret in it goes, nothing else does."""
+    calm = "The river runs past old houses and a quiet mill, and people walk along it in the evening. "
+    docs = docs_of([(1, calm * 4000 + "password=abcdefgh12345678 " + calm), (2, calm + "another one")])
+    for _, step in corpus_pipeline.STAGES[:4]:
+        docs = step(spark, docs, sf_dir)
+    kept = texts(docs)
+    assert kept[1] == calm * 4000 + "[SECRET] " + calm
+
+
 def test_run(spark, sf_dir, stages):
     got = corpus_pipeline.run(spark, sf_dir)
     assert np.isclose(got.count(), stages["packing"].count()) and toxicity and secrets

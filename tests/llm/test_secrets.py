@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -65,6 +66,78 @@ def test_battery_scores(spark):
     assert s["r"] > -3 > s["w"] and s["u"] < -8
 
 
+def survival(z):
+    return 1 / (1 + math.exp(min(max(1.5976 * z + 0.07056 * z**3, -500), 500)))
+
+
+def brute_bin(token):
+    """The battery in plain Python."""
+    token = token.rstrip("=")
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for pattern, alphabet in (("[0-9a-fA-F]+", digits + "abcdef"), ("[A-Z2-7]+", upper + "234567"), ("[0-9a-z_-]+", digits + lower + "_-"), ("[0-9A-Z_-]+", digits + upper + "_-"), (".*", upper + lower + digits + "+/")):
+        if re.fullmatch(pattern, token):
+            break
+    k = len(alphabet)
+    token = token.lower() if k == 16 else token.replace("-", "+").replace("_", "/") if k == 64 else token
+    x = [alphabet.index(c) for c in token]
+    n = len(x)
+    parts = min(k, 16) if n >= 64 else 8 if n >= 28 else 4
+    chi = 0.0
+    for q in range(parts):
+        share = (math.ceil(k * (q + 1) / parts) - math.ceil(k * q / parts)) / k * n
+        chi += (sum(s * parts // k == q for s in x) - share) ** 2 / share
+    ps = [survival(((chi / (parts - 1)) ** (1 / 3) - (1 - 2 / (9 * (parts - 1)))) / math.sqrt(2 / (9 * (parts - 1))))]
+    sides = [2 * s >= k for s in x]
+    both = 2 * sum(sides) * (n - sum(sides))
+    var = both * (both - n) / (n * n * (n - 1))
+    flips = sum(a != b for a, b in zip(sides, sides[1:]))
+    ps.append(min(2 * survival(abs((flips - both / n) / math.sqrt(var))), 1) if var > 0 else 1e-12)
+    d = [s - sum(x) / n for s in x]
+    square = sum(y * y for y in d)
+    ps.append(min(2 * survival(abs((sum(a * b for a, b in zip(d, d[1:])) / square + 1 / n) * math.sqrt(n))), 1) if square > 0 else 1e-12)
+    h = sum(-math.log(max(p, 1e-30)) for p in ps)
+    score = (math.log(1 + h + h * h / 2) - h) / math.log(10)
+    return min(math.floor(max(-score, 0) * 4), secrets.BINS - 1)
+
+
+def test_battery_against_plain_python(spark):
+    rng = random.Random(8)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789_-", "ABCabc012+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    tokens = ["".join(rng.choices(rng.choice(alphabets), k=rng.choice([20, 27, 39, 40, 63, 64, 90]))) + "=" * rng.randint(0, 2) for _ in range(150)] + secrets.ordinary_names()
+    df = spark.createDataFrame([(x,) for x in tokens], "token string").select("token", secrets.score_bin(secrets.battery(F.col("token"))).alias("bin"))
+    for r in df.collect():
+        assert abs(r["bin"] - brute_bin(r["token"])) <= 1, r  # a score on a bin's edge may fall to either side
+    assert sum(r["bin"] == brute_bin(r["token"]) for r in df.collect()) >= 0.98 * len(tokens)
+
+
+def test_fixed_decoys_are_words():
+    names = secrets.ordinary_names()
+    assert len(names) > 150 and all(re.fullmatch(secrets.WORDS, x) for x in names)
+    assert all(any(len(x) >= least for x in names) for least in secrets.CLASSES)
+
+
+def test_precision_and_recall_in_a_small_corpus(docs_of):
+    """Few documents, few decoys of their own: planted keys of several encodings among ordinary names."""
+    rng = random.Random(5)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    kinds = [(b64, 43, "="), (b64[:52], 40, ""), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32, ""), (b64[26:62], 36, "")]
+    names = ["getAccountSettingsFromServer", "2024-01-15_backup_folder_3", "https/www/example/path/index2", "user_profile_image_small_02", "INTERNAL_SERVER_ERROR_500", "ThisIsAnOrdinaryClassName"]
+    rows, planted = [], {}
+    for i in range(120):
+        text = f"ordinary words and {names[i % len(names)]} in line {i} "
+        if i % 3 == 0:
+            alphabet, size, pad = kinds[i // 3 % len(kinds)]
+            key = "".join(rng.choices(alphabet, k=size)) + pad
+            planted[i] = f"random:{len(text)}:{len(text) + len(key)}"
+            text += key + " end"
+        rows.append((i, text))
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("random")] for r in scan(docs_of(rows)).collect()}
+    hits = sum(planted[i] in got[i] for i in planted)
+    named = sum(map(len, got.values()))
+    # the three tests tell little about short tokens; what is named must be right
+    assert hits >= 0.6 * len(planted) and hits >= 0.95 * named, (hits, len(planted), named)
+
+
 def test_prefix_sums(spark):
     df = spark.createDataFrame([([1, 2, 3, 4, 5],), ([],), ([7],)], "xs array<int>")
     got = [r["p"] for r in df.select(secrets.prefix_sums(F.col("xs"), 2).alias("p")).collect()]
@@ -76,6 +149,11 @@ def test_redaction(spark):
     assert [r["r"] for r in df.select(secrets.redact(F.col("t"), F.col("s")).alias("r")).collect()] == ["ab\U0001f600[SECRET]yz", "[SECRET]", "none", "ab[SECRET]cd[SECRET]"]
 
 
+def test_very_long_text(docs_of):
+    text = "plain words of a long text. " * 60_000 + " deadbeefdeadbeef " + "x" * 300_000
+    assert scan(docs_of([(1, text)])).first()["base"] == base(text)
+
+
 def test_empty_table(docs_of):
     assert scan(docs_of([])).count() == 0
 

@@ -9,6 +9,22 @@ def test_folding():
     assert t.fold(None) == t.fold("") == " "
 
 
+def test_disguises():
+    for text in ("i.d.i.o.t", "i d i o t", "i-d-i-o-t", "i_d_i_o_t", "id\u200biot", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d", "iiidiooot", "1d!0t", "I\u00adDIOT"):
+        assert t.fold(f"you {text}, go") == " you idiot go ", text
+    assert t.fold("e.g. a b c") == " e g a b c " and t.fold("x-ray") == " x ray "
+
+
+def test_exceptions_in_long_texts_take_linear_time():
+    import time
+
+    lexicon = t.Lexicon({t.fold("scum"): 3.0})
+    start = time.perf_counter()
+    assert lexicon.features("pond scum " * 100_000) == (0, 0, 0)
+    assert lexicon.features("pond scum " * 100_000 + "you scum")[1] == __import__("pytest").approx(np.log1p(3.0))
+    assert time.perf_counter() - start < 30
+
+
 def naive(lexicon, text):
     folded, best = t.fold(text), {}
     cover = [(i, i + len(p)) for p in map(t.fold, lexicon.exceptions) for i in range(len(folded)) if folded.startswith(p, i)]
@@ -44,3 +60,11 @@ def test_defined_cases(docs_of, labels_of):
     assert t.toxicity_scores(docs_of([]), labels).count() == 0
     small = t.toxicity_scores(docs_of(rows), labels, sample=50).collect()
     assert len(small) == len(rows)
+
+
+def test_repeated_ids_teach_once(docs_of, labels_of):
+    from gridloom.llm.toxicity import labelled_sample
+
+    docs = docs_of([(1, "b text")] * 50 + [(1, "a text"), (2, None)])
+    got = labelled_sample(docs, labels_of([(1, 1, 1), (2, 1, 0), (3, 1, 0)]), "toxic", 10).collect()
+    assert sorted((r["folded"], r["label"]) for r in got if r["label"]) == [(" a text ", 1)] and len(got) == 2

@@ -78,3 +78,20 @@ def test_query(spark, sf_dir):
 
     rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     assert sorted(collect(queries()["op2_warc"](spark, sf_dir)), key=lambda r: r[:3]) == expected(rows)
+
+
+def test_one_digest_on_nearly_all_rows(spark):
+    rows = [(i, f"http://h{i % 9}.org/{i}", "error page" if i % 100 else f"page {i}") for i in range(1, 700)]
+    assert sorted(collect(warc.archive(pages(spark, rows))), key=lambda r: r[:3]) == expected(rows)
+
+
+def test_runs_cut_into_pieces_are_merged_in_order(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RUN_ROWS", 7)
+    rows = [(i, f"http://host{i % 3}.org/p{i % 7}", f"body {i}") for i in range(120)]
+    index = warc.write_archives(pages(spark, rows)).collect()
+    import pyarrow as pa
+
+    table = pa.Table.from_pylist([r.asDict() for r in index], schema=warc._INDEX_SCHEMA)
+    backwards = table.take(list(range(len(index) - 1, -1, -1))).to_batches(max_chunksize=5)
+    got = [(r["urlkey"], r["ts"], r["page_id"]) for b in warc._merge(iter(backwards)) for r in b.to_pylist()]
+    assert got == sorted(got) and len(got) == 120
