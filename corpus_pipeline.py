@@ -1,4 +1,10 @@
-"""Corpus preparation: five stages, each written as Parquet and read again as the next one's documents."""
+"""Corpus preparation: five stages, each written as Parquet and read again as the next one's documents.
+
+Defined cases of every stage: null text counts as empty and stays null where the stage keeps texts; null
+ids are kept; empty texts are judged like any other; texts of any length are read whole; extra columns are
+dropped, whatever their names; an empty table gives an empty result. Rows that repeat an id and text are one in
+the near-duplicate stage and are judged alike by the others; ties go to the smaller id, then source.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import packing, quality, secrets, simhash, toxicity
-from gridloom.llm.common import read_table, shipped, stage
+from gridloom.llm.common import read_table, scope, shipped, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 @shipped
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon calls toxic go."""
+    """Documents that the lexicon calls toxic (a score of 0.5 or more) go, all others stay as they are."""
     own = docs.select(*COLUMNS)
     lexicon = toxicity.lexicon_of(own, read_table(spark, sf_dir, "labels"))
     return toxicity.scored(own, lexicon).where(F.col("score") < 0.5).select(*COLUMNS)
@@ -21,7 +27,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shipped
 def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects (a score below 0.3) go, all others stay as they are."""
     rows = stage(quality.measured(docs.select(*COLUMNS)), "pipeline-measured")
     return quality.scored(rows, read_table(spark, sf_dir, "labels")).where(F.col("score") >= 0.3).select(*COLUMNS)
 
@@ -41,7 +47,7 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def _first_of_repeats(rows: DataFrame) -> DataFrame:
-    repeats = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
+    repeats = Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")
     return rows.withColumn("nth", F.row_number().over(repeats)).where("nth = 1").select(*COLUMNS)
 
 
@@ -59,7 +65,7 @@ def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shipped
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows over all documents that are left."""
+    """Token windows over all documents that are left: one row per piece."""
     return packing.pack(docs)
 
 
@@ -78,5 +84,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with scope(spark):  # what the stage itself has written goes once its rows are there
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return docs
