@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Most clusters whose centres are sent to every task.
+MOST_CLUSTERS = 10_000
+
+
 def mse(y: Column, p: Column) -> Column:
     return F.avg((y - p) * (y - p))
 
@@ -77,6 +81,8 @@ def silhouette(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """
     square = sum((F.col(c) * F.col(c) for c in columns[1:]), F.col(columns[0]) * F.col(columns[0]))
     stats = df.groupBy(F.col(label).alias("__c")).agg(F.count("*").alias("__n"), F.avg(square).alias("__q"), *[F.avg(c).alias(f"__m{i}") for i, c in enumerate(columns)])
+    if stats.count() > MOST_CLUSTERS:
+        raise ValueError("too many clusters to hold beside every row")
     clusters = stats.agg(F.collect_list(F.struct(*stats.columns)).alias("__all"))  # one entry a cluster
     joined = df.join(F.broadcast(clusters))
 

@@ -16,8 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import elementwise as E
+from gridloom.functions.quantiles import order_statistics
 from gridloom.operators.order import with_position
+from gridloom.sources.scratch import staged
 
+#: Most cells that may be collected for algebra or a list on the driver.
+DRIVER_CELLS = 4_000_000
 #: Cells along an axis that one window partition of a scan holds.
 SCAN_BLOCK = 1 << 16
 
@@ -137,6 +141,11 @@ class NDArray:
     def size(self) -> int:
         return prod(self.shape)
 
+    @property
+    def strides(self) -> tuple[int, ...]:
+        """Row-major cells between neighbours along each axis."""
+        return tuple(prod(self.shape[k + 1 :]) for k in range(self.ndim))
+
     @property
     def empty(self) -> bool:
         return self.size == 0 or not self.shape
@@ -156,7 +165,9 @@ class NDArray:
         return reduce(lambda acc, k: acc * self.shape[k] + F.col(_i(k)), range(1, self.ndim), F.col("i0"))
 
     def to_list(self) -> list:
-        """The whole array on the driver; for small ones."""
+        """The whole array on the driver; of at most DRIVER_CELLS cells."""
+        if self.size > DRIVER_CELLS:
+            raise ValueError(f"an array of {self.size} cells is too large for the driver")
         flat = [r[1] for r in sorted(self.df.select(self.flat().alias("f"), "v").collect())]
 
         def fold(xs: list, dims: Sequence[int]) -> list:
@@ -336,12 +347,28 @@ class NDArray:
         return self.reduce(F.stddev_samp, axis)
 
     def median(self, axis=None):
-        return self.reduce(F.median, axis)
+        return self._quantile(0.5, axis)
+
+    def _quantile(self, share: float, axis):
+        """Values between the two middle ranks, by line. An aggregate's state holds at most the cells
+        along the axis; where these are many, ranks are counted by ranges or taken from one sort.
+        """
+        length = self.size if axis is None or self.ndim == 1 else self.shape[self._axis(axis)]
+        if length <= SCAN_BLOCK:
+            return self.reduce(lambda v: F.percentile(v, F.lit(share)), axis)
+        if length == self.size:
+            got = order_statistics(self.df, {"v": F.col("v")}, [share])["v"][0]
+            return self.df.sparkSession.range(1).select(F.lit(got).cast("double").alias("v"))
+        ranked, _ = self._ranked(self._axis(axis))
+        at = share * (length - 1)
+        low, part = int(at), at - int(at)
+        weight = F.when(F.col("rank") == low, 1 - part).when(F.col("rank") == low + 1, part)
+        return NDArray(ranked.where(F.col("rank").isin(low, low + 1)).withColumn("v", F.col("v") * weight), self.shape).sum(axis)
 
     def percentile(self, p: float, axis=None):
         if not 0 <= p <= 100:
             raise ValueError("percentile must be within 0 and 100")
-        return self.reduce(lambda v: F.percentile(v, F.lit(p / 100)), axis)
+        return self._quantile(p / 100, axis)
 
     def any(self, axis=None):
         return self.reduce(lambda v: F.bool_or(v != 0), axis)
@@ -590,9 +617,9 @@ class NDArray:
         return self.is_square() and self.df.where((F.col("i0") != F.col("i1")) & (F.col("v") != 0)).isEmpty()
 
     def optimize_layout(self) -> NDArray:
-        """Cells in row-major ranges, cached: what later positional work reads in order."""
+        """Cells in row-major ranges, written so: what later positional work reads in order."""
         keys = [_i(k) for k in range(self.ndim)]
-        return NDArray(self.df.repartitionByRange(*keys).sortWithinPartitions(*keys).persist(), self.shape)
+        return NDArray(staged(self.df.repartitionByRange(*keys).sortWithinPartitions(*keys), "array"), self.shape)
 
 
 class _Placed:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions import stats
+from gridloom.functions.quantiles import order_statistics
 from gridloom.operators.order import first_rows, row_range, with_position
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "outer": "outer", "full": "outer", "left_semi": "left_semi", "left_anti": "left_anti", "cross": "cross"}
@@ -71,8 +72,19 @@ class Frame:
     def info(self) -> str:
         return f"rows: {self.rows()}\ncolumns: {self.cols()}\n" + "\n".join(f"  {f.name}: {f.dataType.simpleString()}" for f in self.df.schema.fields)
 
-    def describe(self) -> DataFrame:
-        return self.df.select(*self.columns).summary("count", "mean", "stddev", "min", "25%", "50%", "75%", "max")
+    def describe(self, columns: Sequence[str] | None = None) -> DataFrame:
+        """(column, count, mean, stddev, min, q25, q50, q75, max) of each numeric column; quartiles are exact."""
+        names = list(columns or self._numeric())
+        self._known(*names)
+        present = {c: stats.present(c, self.df.schema[c].dataType).cast("double") for c in names}
+        quarters = order_statistics(self.df, present, (0.25, 0.5, 0.75))
+        measures = {"count": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
+        row = self.df.agg(*[f(present[c]).alias(f"{m}{i}") for i, c in enumerate(names) for m, f in measures.items()])
+        parts = [
+            F.struct(F.lit(c).alias("column"), *[F.col(f"{m}{i}").alias(m) for m in ("count", "mean", "stddev", "min")], *[F.lit(q).cast("double").alias(n) for n, q in zip(("q25", "q50", "q75"), quarters[c], strict=True)], F.col(f"max{i}").alias("max"))
+            for i, c in enumerate(names)
+        ]
+        return row.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
 
     def _known(self, *names: str) -> None:
         unknown = [n for n in names if n not in self.df.columns]
@@ -158,6 +170,15 @@ class Frame:
         """Rows where a Column predicate holds; it reaches the scan."""
         return self._with(self.df.where(predicate(self) if callable(predicate) else predicate))
 
+    def filter_rows(self, keep: Callable) -> Frame:
+        """Rows that an opaque function keeps: a batch (pandas frame) in, a boolean for each row out."""
+
+        def run(batches):
+            for b in batches:
+                yield b[keep(b)]
+
+        return self._with(self.df.mapInPandas(run, self.df.schema))
+
     def head(self, n: int = 5) -> Frame:
         return self._with(first_rows(self.df, n, self._order()))
 
@@ -194,12 +215,16 @@ class Frame:
         """Gaps filled linearly in the order of a whole-number column; ends stay missing.
 
         The nearest known values are looked up within blocks of the order column, and across
-        blocks by one row each, so no window spans the table.
+        blocks by one row each, so no window spans the table. Blocks are as wide as ``block`` rows
+        on average, so sparse order columns do not make more of them.
         """
         self._known(by, *names)
-        df = self.df.withColumn("__b", F.floor(F.col(by) / block))
-        w = Window.partitionBy("__b").orderBy(by)
-        back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        ends = self.df.agg(F.count("*").alias("n"), F.min(by).alias("a"), F.max(by).alias("b")).first()
+        width = max(1, -(-((ends["b"] or 0) - (ends["a"] or 0) + 1) * block // max(ends["n"], 1)))
+        df = self.df.withColumn("__b", F.floor(F.col(by) / width))
+        # a frame that starts at the block's edge grows row by row; one that ends there would be read anew for each row
+        back = Window.partitionBy("__b").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        ahead = Window.partitionBy("__b").orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0)
         for c in names:
             known = stats.present(c, self.df.schema[c].dataType)
             point = F.when(known.isNotNull(), F.struct(F.col(by).cast("double").alias("x"), known.cast("double").alias("y")))
@@ -208,7 +233,7 @@ class Frame:
             ends = ends.select("__b", F.last("last", True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("__p"), F.first("first", True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("__n"))
             df = df.join(ends, "__b", "left")
             lo = F.coalesce(F.last(point, True).over(back), F.col("__p"))
-            hi = F.coalesce(F.first(point, True).over(ahead), F.col("__n"))
+            hi = F.coalesce(F.last(point, True).over(ahead), F.col("__n"))
             df = df.withColumn("__lo", lo).withColumn("__hi", hi)
             x = F.col(by).cast("double")
             line = F.col("__lo.y") + (F.col("__hi.y") - F.col("__lo.y")) * (x - F.col("__lo.x")) / F.when(F.col("__hi.x") > F.col("__lo.x"), F.col("__hi.x") - F.col("__lo.x"))
@@ -259,8 +284,11 @@ class Frame:
     def stat(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
         """One row with a NaN-skipping statistic of each numeric column."""
         f = stats.STATISTICS[name]
-        chosen = columns or self._numeric()
+        chosen = list(columns or self._numeric())
         self._known(*chosen)
+        if name == "median":  # counted by ranges: an exact median as an aggregate holds all distinct values
+            got = order_statistics(self.df, {c: stats.present(c, self.df.schema[c].dataType) for c in chosen}, [0.5])
+            return self.df.sparkSession.range(1).select(*[F.lit(got[c][0] or 0.0).cast("double").alias(c) for c in chosen])
         return self.df.agg(*[f(stats.present(c, self.df.schema[c].dataType)).alias(c) for c in chosen])
 
     def mean(self, columns=None) -> DataFrame:
@@ -293,6 +321,23 @@ class Frame:
         names = columns or [c for c in self._numeric() if c != key]
         return self.df.groupBy(key).agg(*[agg(F.col(c)).alias(c) for c in names])
 
+    def group_apply(self, key: str, f: Callable, columns: Sequence[str] | None = None) -> DataFrame:
+        """An opaque function of the values (a pandas series) of each other numeric column, by group.
+
+        A group's values come to one task; an aggregate that Spark knows belongs into ``group_by``.
+        """
+        self._known(key)
+        names = list(columns or [c for c in self._numeric() if c != key])
+        self._known(*names)
+        schema = T.StructType([self.df.schema[key], *[T.StructField(c, T.DoubleType()) for c in names]])
+
+        def run(k, rows):
+            import pandas as pd
+
+            return pd.DataFrame([[k[0], *[float(f(rows[c])) for c in names]]], columns=[key, *names])
+
+        return self.df.select(key, *names).groupBy(key).applyInPandas(run, schema)
+
     def pivot(self, index: str, columns: str, values: str, names: Sequence[object] | None = None) -> DataFrame:
         """Long to wide; a repeated (index, column) pair raises."""
         self._known(index, columns, values)
@@ -319,10 +364,21 @@ class Frame:
     # scaling and encoding
 
     def normalize(self, columns: Sequence[str], method: str = "minmax") -> Frame:
-        """Columns to [0, 1]; a constant column becomes 0. The bounds are one broadcast row."""
-        if method != "minmax":
+        """Columns to [0, 1] (minmax), less their mean by their deviation (zscore), or by their greatest size (max).
+
+        A constant column becomes 0. What is needed of a column is one broadcast row.
+        """
+        if method not in ("minmax", "zscore", "max"):
             raise ValueError(f"unknown method: {method}")
         self._known(*columns)
+        if method == "zscore":
+            return self.standardize(columns)
+        if method == "max":
+            row = self.df.agg(*[F.max(F.abs(stats.present(c, self.df.schema[c].dataType))).alias(f"__most_{c}") for c in columns])
+            out = self.df.join(F.broadcast(row))
+            for c in columns:
+                out = out.withColumn(c, F.when(F.col(f"__most_{c}") == 0, F.lit(0.0)).otherwise(F.col(c) / F.col(f"__most_{c}")))
+            return self._with(out.drop(*row.columns))
         row = self.df.agg(*[g(stats.present(c, self.df.schema[c].dataType)).alias(f"__{n}_{c}") for c in columns for n, g in (("lo", F.min), ("hi", F.max))])
         out = self.df.join(F.broadcast(row))
         for c in columns:

@@ -12,12 +12,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.array import NDArray
+from gridloom.operators.array import DRIVER_CELLS, NDArray
 
 #: Pivots below this are taken as zero.
 TINY = 1e-10
-#: Most cells that may be collected for algebra on the driver.
-DRIVER_CELLS = 4_000_000
 
 
 def to_numpy(a: NDArray) -> np.ndarray:
@@ -71,6 +69,25 @@ def gram(df: DataFrame, columns: Sequence[str], target: str | None = None) -> np
     return out
 
 
+def centred_gram(df: DataFrame, columns: Sequence[str], target: str) -> tuple[np.ndarray, np.ndarray]:
+    """Means of (columns, target) and sums of products less them, from one stable aggregate.
+
+    Rows with a missing value anywhere are left out of all sums.
+    """
+    names = [*columns, target]
+    whole = F.lit(True)
+    for c in names:
+        whole = whole & F.col(c).isNotNull()
+    cols = [F.when(whole, F.col(c).cast("double")) for c in names]
+    d = len(names)
+    row = df.agg(F.count(cols[0]).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.covar_pop(cols[i], cols[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)]).first()
+    out = np.zeros((d, d))
+    for i in range(d):
+        for j in range(i, d):
+            out[i, j] = out[j, i] = (row[f"s{i}_{j}"] or 0.0) * row["n"]
+    return np.array([row[f"m{i}"] or 0.0 for i in range(d)]), out
+
+
 def covariance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(i0, i1, v): sample covariances of the columns, from one aggregate."""
     d = len(columns)

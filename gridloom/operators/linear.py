@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import metrics
 from gridloom.functions.elementwise import sigmoid
-from gridloom.operators.linalg import gram, solve_checked
+from gridloom.operators.linalg import centred_gram, gram, solve_checked
 
 
 @dataclass
@@ -42,14 +42,14 @@ class LinearRegression(_Linear):
     """Least squares with an intercept by the normal equations; a singular system raises."""
 
     def fit(self, df: DataFrame) -> LinearRegression:
-        return self._solve(gram(df, self.columns, self.target), 0.0)
-
-    def _solve(self, g: np.ndarray, alpha: float):
-        d = len(self.columns) + 1
-        penalty = alpha * np.eye(d)
-        penalty[0, 0] = 0.0
-        w = solve_checked(g[:d, :d] + penalty, g[:d, d])
-        self.intercept, self.coef = float(w[0]), w[1:]
+        return self._solve(df, 0.0)
+
+    def _solve(self, df: DataFrame, alpha: float):
+        """Centred sums keep digits that a large offset would cancel; the intercept follows from the means."""
+        means, g = centred_gram(df, self.columns, self.target)
+        d = len(self.columns)
+        self.coef = solve_checked(g[:d, :d] + alpha * np.eye(d), g[:d, d])
+        self.intercept = float(means[d] - means[:d] @ self.coef)
         return self
 
 
@@ -62,7 +62,7 @@ class Ridge(LinearRegression):
     def fit(self, df: DataFrame) -> Ridge:
         if self.alpha < 0:
             raise ValueError("alpha must not be negative")
-        return self._solve(gram(df, self.columns, self.target), self.alpha)
+        return self._solve(df, self.alpha)
 
 
 @dataclass

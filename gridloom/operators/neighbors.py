@@ -1,7 +1,7 @@
 """k nearest neighbours: queries against training rows, block by block.
 
-Training rows are cut into blocks by a hash and every query visits every block, so
-the unit of work is a pair of blocks whatever the sizes; within it the nearest k are
+Training rows and queries are both cut into blocks by a hash and every pair of blocks is
+a unit of work, so no side's size is bound to one task; within it the nearest k are
 kept before anything is shuffled on (the window's rank limit is pushed below it).
 """
 
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import metrics
 
-BLOCK_ROWS = 50_000
+#: Training rows and queries of a block.
+BLOCK_ROWS, BLOCK_QUERIES = 5_000, 20_000
 
 
 @dataclass
@@ -39,11 +40,14 @@ class _Neighbors:
         if self.train is None:
             raise RuntimeError("fit the model first")
         n = self.blocks
-        train = self.train.withColumn("__b", F.pmod(F.xxhash64("__t"), F.lit(n)))
-        asked = df.select(F.col(self.key).alias("__q"), *[F.col(c).cast("double").alias(f"__q{i}") for i, c in enumerate(self.columns)]).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+        m = max(1, -(-df.count() // BLOCK_QUERIES))
+        every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+        train = self.train.withColumn("__b", F.pmod(F.xxhash64("__t"), F.lit(n))).withColumn("__a", every(m))
+        asked = df.select(F.col(self.key).alias("__q"), *[F.col(c).cast("double").alias(f"__q{i}") for i, c in enumerate(self.columns)])
+        asked = asked.withColumn("__a", F.pmod(F.xxhash64("__q", F.lit(1)), F.lit(m))).withColumn("__b", every(n))
         parts = [(F.col(f"__q{i}") - F.col(f"__x{i}")) for i in range(len(self.columns))]
         d = sum((p * p for p in parts[1:]), parts[0] * parts[0])
-        near = asked.join(train, "__b").select("__q", "__t", "__y", d.alias("__d"))
+        near = asked.join(train, ["__b", "__a"]).select("__q", "__t", "__y", d.alias("__d"))
         w = Window.partitionBy("__q").orderBy("__d", "__t")
         return near.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= self.k)
 

@@ -33,19 +33,22 @@ class GradientDescent:
 
 @dataclass
 class StochasticGradientDescent:
-    """Passes over batches of rows; a batch is the rows whose key falls into its residue class."""
+    """Passes over batches of about ``batch_size`` rows; a batch is the rows whose key falls into its residue class."""
 
     lr: float = 0.01
     max_iter: int = 100
-    batches: int = 32
+    batch_size: int = 32
     tol: float = 1e-6
 
     def minimize(self, data: DataFrame, key: str, gradient: Callable[[DataFrame, np.ndarray], np.ndarray], start: Sequence[float]) -> np.ndarray:
+        if self.batch_size < 1:
+            raise ValueError("a batch needs a row")
         x = np.array(start, float)
+        batches = max(1, -(-data.count() // self.batch_size))
         for _ in range(self.max_iter):
             before = x.copy()
-            for b in range(self.batches):
-                x = x - self.lr * np.asarray(gradient(data.where(F.pmod(F.col(key), F.lit(self.batches)) == b), x), float)
+            for b in range(batches):
+                x = x - self.lr * np.asarray(gradient(data.where(F.pmod(F.col(key), F.lit(batches)) == b), x), float)
             if np.linalg.norm(x - before) < self.tol:
                 break
         return x

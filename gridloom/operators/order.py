@@ -3,7 +3,8 @@
 Rows of a Spark table have no order, so every positional operator names key columns
 that order them totally. Positions are given without a one-task window: rows are
 range-partitioned and sorted by the keys, and each partition's offset is the number
-of rows before it (one count per partition reaches the driver).
+of rows before it (one count per partition reaches the driver). The placed rows are
+written once, so positions stay the same whatever is lost or asked for again.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.sources.scratch import staged
+
 #: Largest result that a top-k plan (one heap per task) is used for; beyond it positions are used.
 TOP_ROWS = 100_000
 
@@ -25,8 +28,7 @@ def with_position(df: DataFrame, keys: Sequence[str | Column], name: str = "_rid
     """df with ``name``: 0, 1, 2 ... in the order of keys, computed in parallel."""
     keys = as_columns(keys)
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
-    # both uses must see one partitioning; sorted partitions that do not fit in memory stay on disk
-    placed = placed.persist()
+    placed = staged(placed, "placed")  # both uses must see one partitioning
     part = F.shiftright("__at", 33)
     counts = dict(placed.groupBy(part.alias("p")).count().collect())
     before, offsets = 0, {}
@@ -41,8 +43,12 @@ def with_position(df: DataFrame, keys: Sequence[str | Column], name: str = "_rid
 
 
 def first_rows(df: DataFrame, n: int, keys: Sequence[str | Column], last: bool = False) -> DataFrame:
-    """The first (or last) n rows by keys, as one top-k plan."""
+    """The first (or last) n rows by keys: one top-k plan for few, positions for many."""
     cols = as_columns(keys)
+    if n > TOP_ROWS:
+        if last:
+            cols = [c.desc_nulls_last() for c in cols]
+        return with_position(df, cols, "__pos").where(F.col("__pos") < n).drop("__pos")
     if last:
         cols = [c.desc_nulls_last() for c in cols]
     return df.orderBy(*cols).limit(n)

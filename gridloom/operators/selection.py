@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 
 def split_point(key: str | Sequence[str], seed: int = 0) -> Column:
-    """A number in [0, 1) for each key, spread evenly and the same on every run."""
+    """A number in [0, 1) for each key, spread evenly and the same on every run: the first 32 bits of an MD5."""
     keys = [key] if isinstance(key, str) else list(key)
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    spelled = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(spelled), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def train_test_split(df: DataFrame, key: str | Sequence[str], test_size: float = 0.2, seed: int = 0) -> tuple[DataFrame, DataFrame]:

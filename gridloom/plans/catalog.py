@@ -21,6 +21,8 @@ from gridloom.operators.optim import Adam, GradientDescent, StochasticGradientDe
 from gridloom.operators.order import with_position
 from gridloom.operators.preprocessing import MinMaxScaler, OneHotEncoder, StandardScaler, normalize_rows, polynomial_features
 from gridloom.operators.selection import cross_val_score, fold, select_k_best, train_test_split
+from gridloom.sources import files
+from gridloom.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -52,8 +54,9 @@ def rounded(df: DataFrame, n: int = 4) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = LINES
-    df = table(spark, sf_dir, "lineitem").select(*cols).where(F.col("l_discount") > 0.05)
-    return rounded(df.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("mean", F.avg), ("stddev", F.stddev_samp), ("median", F.median))]))
+    f = Frame(table(spark, sf_dir, "lineitem").select(*cols)).filter(F.col("l_discount") > 0.05)
+    parts = [f.stat(n, cols).select(*[F.col(c).alias(f"{n}_{c}") for c in cols]) for n in ("mean", "stddev", "median")]
+    return rounded(parts[0].join(parts[1]).join(F.broadcast(parts[2])))  # three one-row tables
 
 
 query(
@@ -243,19 +246,19 @@ def _customers(spark, sf_dir) -> Frame:
     return Frame(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal", "c_nationkey"), ["key"])
 
 
-def _some_orders(spark, sf_dir) -> Frame:
-    return Frame(table(spark, sf_dir, "orders").where(F.col("o_custkey") % 3 != 0).select(F.col("o_custkey").alias("key"), "o_orderkey", F.col("o_totalprice").alias("c_acctbal")), ["o_orderkey"])
+def _priced_orders(spark, sf_dir) -> Frame:
+    return Frame(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", F.col("o_totalprice").alias("c_acctbal")), ["o_orderkey"])
 
 
 _L = "(SELECT c_custkey AS key, c_acctbal, c_nationkey FROM customer)"
-_R = "(SELECT o_custkey AS key, o_orderkey, o_totalprice AS c_acctbal FROM orders WHERE o_custkey % 3 <> 0)"
+_R = "(SELECT o_custkey AS key, o_orderkey, o_totalprice AS c_acctbal FROM orders)"
 for _how, _kind in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
     query(f"SELECT key, l.c_acctbal AS c_acctbal_x, c_nationkey, o_orderkey, r.c_acctbal AS c_acctbal_y FROM {_L} l {_kind} {_R} r USING (key)", f"merge_{_how}")(
-        lambda spark, sf_dir, how=_how: _customers(spark, sf_dir).merge(_some_orders(spark, sf_dir), "key", how).df
+        lambda spark, sf_dir, how=_how: _customers(spark, sf_dir).merge(_priced_orders(spark, sf_dir), "key", how).df
     )
 for _how, _not in (("left_semi", ""), ("left_anti", "NOT ")):
     query(f"SELECT * FROM {_L} l WHERE {_not}EXISTS (SELECT 1 FROM {_R} r WHERE r.key = l.key)", f"merge_{_how}")(
-        lambda spark, sf_dir, how=_how: _customers(spark, sf_dir).merge(_some_orders(spark, sf_dir), "key", how).df.select("key", "c_acctbal_x" if how == "inner" else F.col("c_acctbal_x").alias("c_acctbal"), "c_nationkey")
+        lambda spark, sf_dir, how=_how: _customers(spark, sf_dir).merge(_priced_orders(spark, sf_dir), "key", how).df.select("key", "c_acctbal_x" if how == "inner" else F.col("c_acctbal_x").alias("c_acctbal"), "c_nationkey")
     )
 
 
@@ -265,6 +268,19 @@ def join_left(spark, sf_dir):
     return Frame(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")).join(some, "s_nationkey", "n_nationkey", "left").df
 
 
+_UNLIKE = "SELECT s_suppkey, s_nationkey, n_nationkey, n_name FROM supplier {} JOIN (SELECT n_nationkey + 5 AS n_nationkey, n_name FROM nation) ON s_nationkey = n_nationkey"
+for _how, _kind in (("inner", ""), ("right", "RIGHT"), ("outer", "FULL")):
+    query(_UNLIKE.format(_kind), f"join_{_how}")(lambda spark, sf_dir, how=_how: _unlike(spark, sf_dir, how))
+for _how, _not in (("left_semi", ""), ("left_anti", "NOT ")):
+    query(f"SELECT s_suppkey, s_nationkey FROM supplier WHERE {_not}EXISTS (SELECT 1 FROM nation WHERE n_nationkey + 5 = s_nationkey)", f"join_{_how}")(lambda spark, sf_dir, how=_how: _unlike(spark, sf_dir, how))
+
+
+def _unlike(spark, sf_dir, how: str) -> DataFrame:
+    """Suppliers and nations under moved keys, so either side has rows without a partner."""
+    moved = Frame(table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 5).alias("n_nationkey"), "n_name"))
+    return Frame(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")).join(moved, "s_nationkey", "n_nationkey", how).df
+
+
 @query("SELECT r_regionkey AS key, r_name AS name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation")
 def concat_rows(spark, sf_dir):
     r = Frame(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")))
@@ -299,9 +315,110 @@ def one_hot_frame(spark, sf_dir):
     return orders(spark, sf_dir).select(["o_orderkey", "o_orderstatus"]).one_hot_encode("o_orderstatus").df
 
 
-@query()
+@query("SELECT p_partkey, round(p_retailprice / (max(abs(p_retailprice)) OVER ()), 6) AS p_retailprice FROM part")
+def normalize_columns_max(spark, sf_dir):
+    return rounded(parts(spark, sf_dir).select(["p_partkey", "p_retailprice"]).normalize(["p_retailprice"], "max").df, 6)
+
+
+@query("SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER (), 6) AS p_retailprice FROM part")
+def normalize_columns_zscore(spark, sf_dir):
+    return rounded(parts(spark, sf_dir).select(["p_partkey", "p_retailprice"]).normalize(["p_retailprice"], "zscore").df, 6)
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev, min({c})::DOUBLE AS min, round(quantile_cont({c}, 0.25), 4)::DOUBLE AS q25, round(quantile_cont({c}, 0.5), 4)::DOUBLE AS q50, round(quantile_cont({c}, 0.75), 4)::DOUBLE AS q75, max({c})::DOUBLE AS max FROM lineitem" for c in LINES))
 def describe(spark, sf_dir):
-    return parts(spark, sf_dir).select(["p_size", "p_retailprice"]).describe()
+    return rounded(lines(spark, sf_dir).describe(LINES))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity * l_discount > 2")
+def filter_rows(spark, sf_dir):
+    f = lines(spark, sf_dir).select(["l_orderkey", "l_linenumber", "l_quantity", "l_discount"]).filter_rows(lambda b: b["l_quantity"].astype(float) * b["l_discount"].astype(float) > 2)
+    return f.remove_column("l_discount").df
+
+
+@query("SELECT o_orderpriority, round(max(o_totalprice) - min(o_totalprice), 2) AS o_totalprice FROM orders GROUP BY 1")
+def group_apply(spark, sf_dir):
+    return rounded(orders(spark, sf_dir).group_apply("o_orderpriority", lambda v: v.max() - v.min(), ["o_totalprice"]), 2)
+
+
+# construction, metadata and access
+
+
+@query("SELECT NULL::DOUBLE AS a, NULL::DOUBLE AS b WHERE false")
+def empty_frame(spark, sf_dir):
+    return Frame.empty(spark, ["a", "b"]).df
+
+
+@query("SELECT 0::BIGINT AS rows, 0 AS cols")
+def zero_rows(spark, sf_dir):
+    f = Frame.empty(spark)
+    return spark.createDataFrame([f.shape()], "rows long, cols int")
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 1.5::DOUBLE, 4::DOUBLE), (1, 2.5, 5), (2, -3, 6)) t(_rid, a, b)")
+def frame_of_columns(spark, sf_dir):
+    return Frame.from_columns(spark, {"a": [1.5, 2.5, -3], "b": [4, 5, 6]}).df
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 2, 2) AS twice FROM orders")
+def column_access(spark, sf_dir):
+    f = orders(spark, sf_dir)
+    return rounded(f.df.select(f["o_orderkey"], (f["o_totalprice"] * 2).alias("twice")), 2)
+
+
+@query("SELECT count(*) AS rows, 5 AS cols, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderpriority' AS columns FROM orders")
+def frame_shape(spark, sf_dir):
+    f = orders(spark, sf_dir)
+    return spark.createDataFrame([(*f.shape(), ",".join(f.columns))], "rows long, cols int, columns string")
+
+
+@query("SELECT 'rows: ' || count(*) || chr(10) || 'columns: 2' || chr(10) || '  r_regionkey: bigint' || chr(10) || '  r_name: string' AS info FROM region")
+def frame_info(spark, sf_dir):
+    df = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name")
+    return spark.createDataFrame([(Frame(df, ["r_regionkey"]).info(),)], "info string")
+
+
+# sources and sinks: whole tables written and read back
+
+
+_ROUND = "l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag"
+
+
+def _some_columns(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(*_ROUND.split(", "))
+
+
+@query(f"SELECT {_ROUND} FROM lineitem")
+def csv_round_trip(spark, sf_dir):
+    df, path = _some_columns(spark, sf_dir), scratch_path(spark, "csv")
+    files.write_csv(df, path)
+    return files.read_csv(spark, path, df.schema)
+
+
+@query(f"SELECT {_ROUND} FROM lineitem")
+def json_round_trip(spark, sf_dir):
+    df, path = _some_columns(spark, sf_dir), scratch_path(spark, "json")
+    files.write_json(df, path)
+    return files.read_json(spark, path, df.schema)
+
+
+@query(f"SELECT {_ROUND} FROM lineitem")
+def parquet_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "parquet")
+    files.write_parquet(_some_columns(spark, sf_dir), path)
+    return files.read_parquet(spark, path)
+
+
+_CELLS = "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderkey, o_custkey, o_totalprice FROM orders"
+
+
+@query(f"WITH o AS ({_CELLS}) SELECT i AS i0, 0::BIGINT AS i1, o_orderkey::DOUBLE AS v FROM o UNION ALL SELECT i, 1, o_custkey::DOUBLE FROM o UNION ALL SELECT i, 2, round(o_totalprice::DOUBLE, 4) FROM o")
+def matrix_file(spark, sf_dir):
+    """Orders as lines of numbers, in order, and the array that is read from them."""
+    path = scratch_path(spark, "matrix")
+    df = table(spark, sf_dir, "orders")
+    files.write_matrix(df, ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderkey"], path)
+    return cells(files.read_matrix(spark, path))
 
 
 # arrays: a vector and a square array from nation, a tall one from supplier
@@ -344,7 +461,24 @@ array_query("array_zeros_ones_full", "SELECT i AS i0, 2.5::DOUBLE AS v FROM rang
 array_query("array_eye", "SELECT i AS i0, j AS i1, (i = j)::INT::DOUBLE AS v FROM range(12) a(i), range(12) b(j)", lambda s, d: NDArray.eye(s, 12))
 array_query("array_arange", "SELECT i AS i0, round(5 - i / 2, 4)::DOUBLE AS v FROM range(20) t(i)", lambda s, d: NDArray.arange(s, 5, -5, -0.5))
 array_query("array_linspace", "SELECT i AS i0, round(-1 + i * 3.0 / 24, 4) AS v FROM range(25) t(i)", lambda s, d: NDArray.linspace(s, -1, 2, 25))
-array_query("array_random", None, lambda s, d: NDArray.random(s, (50, 4), -1, 1, seed=3))
+
+
+@query("SELECT 5000::BIGINT AS cells, true AS inside, true AS spread, true AS whole")
+def array_random(spark, sf_dir):
+    """What can be said of random cells: their number, their ends, an even spread, and whole numbers where asked."""
+    real, whole = NDArray.random(spark, (50, 100), -1, 1, seed=3).df, NDArray.random(spark, (50, 100), 1, 6, seed=4, integer=True).df
+    a = real.agg(F.count("v").alias("cells"), ((F.min("v") >= -1) & (F.max("v") < 1)).alias("inside"), ((F.abs(F.avg("v")) < 0.1) & (F.abs(F.stddev("v") - 0.577) < 0.05)).alias("spread"))
+    b = whole.agg(((F.min("v") == 1) & (F.max("v") == 6) & (F.countDistinct("v") == 6) & (F.max(F.abs(F.col("v") - F.round("v"))) == 0)).alias("whole"))
+    return a.join(b)  # two one-row tables
+
+
+array_query("array_unary", f"WITH {A} SELECT i0, i1, -v AS v FROM a", lambda s, d: +(-square(s, d)))
+array_query("array_copy", f"WITH {A} SELECT i0, i1, v + 1 AS v FROM a", lambda s, d: NDArray(square(s, d).df, (25, 25)).fill(1) + square(s, d))
+array_query("array_offsets", f"WITH {A} SELECT i0, i1, i0 * 25 + i1 AS v FROM a", lambda s, d: (lambda a: a.df.select("i0", "i1", a.flat().alias("v")))(square(s, d)))
+query("SELECT 3 AS ndim, count(*) * 50 AS size, count(*) || ',25,2' AS shape, '50,2,1' AS strides, false AS empty, 57::BIGINT AS place FROM nation", "array_shape")(
+    lambda s, d: (lambda a: s.createDataFrame([(a.ndim, a.size, ",".join(map(str, a.shape)), ",".join(map(str, a.strides)), a.empty, a.offset((1, 3, 1)))], "ndim int, size long, shape string, strides string, empty boolean, place long"))(NDArray.zeros(s, (table(s, d, "nation").count(), 25, 2)))
+)
+query(f"WITH {X} SELECT '[' || string_agg(printf('%g', v), ', ' ORDER BY i0) || ']' AS shown FROM x", "array_print")(lambda s, d: s.createDataFrame([(str(vector(s, d)),)], "shown string"))
 array_query("array_diag", f"WITH {X} SELECT p.i AS i0, q.i AS i1, coalesce(x.v, 0) AS v FROM range(27) p(i) CROSS JOIN range(27) q(i) LEFT JOIN x ON x.i0 = p.i AND q.i = p.i + 2", lambda s, d: NDArray.diag(vector(s, d), 2))
 array_query("array_fill", f"WITH {A} SELECT i0, i1, 7.0::DOUBLE AS v FROM a", lambda s, d: square(s, d).fill(7))
 array_query("array_as_type", f"WITH {M} SELECT i0, i1, trunc(v)::INT AS v FROM m", lambda s, d: tall(s, d).as_type("int"))
@@ -460,7 +594,33 @@ def eigen_values(spark, sf_dir):
     return rounded(spark.createDataFrame([tuple(map(float, values))], "first double, second double"), 6)
 
 
-@query()
+@query(f"WITH t AS ({_C2}) SELECT round(1000 * ((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b)), 6) AS first, round(abs(b) / sqrt(b * b + pow((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) - a, 2)), 4) AS x, round(abs((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) - a) / sqrt(b * b + pow((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) - a, 2)), 4) AS y FROM t")
+def eigen_vector(spark, sf_dir):
+    values, vectors = linalg.eigen(_cov2(spark, sf_dir))
+    return rounded(rounded(spark.createDataFrame([(float(values[0]), *map(float, abs(vectors[:, 0])))], "first double, x double, y double"), 6).select("first", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")), 6)
+
+
+_GRAM2 = "SELECT sum(s_acctbal * s_acctbal) AS a, sum(s_acctbal * s_nationkey) AS b, sum(s_nationkey * s_nationkey)::DOUBLE AS c FROM supplier"
+
+
+@query(f"WITH t AS ({_GRAM2}) SELECT round(sqrt((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b)), 2) AS first, round((a * c - b * b) / ((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b)), 1) AS second_squared, 2 AS rank FROM t")
+def svd_values(spark, sf_dir):
+    """Singular values of suppliers' balances and nations; a third column that is twice another adds no rank."""
+    s = with_position(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey", (F.col("s_nationkey") * 2).alias("t")), ["s_suppkey"], "row")
+    n = s.count()
+    _, sigma, _ = linalg.svd(NDArray.of_columns(s, "row", ["s_acctbal", "s_nationkey"], n))
+    return spark.createDataFrame([(round(float(sigma[0]), 2), round(float(sigma[1] ** 2), 1), linalg.rank(NDArray.of_columns(s, "row", ["s_acctbal", "s_nationkey", "t"], n)))], "first double, second_squared double, rank int")
+
+
+@query(f"WITH t AS ({_GRAM2}) SELECT round(b / a, 8) AS low, round(a / 1e6, 4) AS u00, round(b / 1e6, 4) AS u01, round(c - b * b / a, 2) AS u11 FROM t")
+def lu_factors(spark, sf_dir):
+    """Factors of the Gram matrix of balances and nations, whose first row is the pivot."""
+    g = linalg.gram(table(spark, sf_dir, "supplier"), ["s_acctbal", "s_nationkey"])[1:, 1:]
+    low, up, _ = (linalg.to_numpy(x) for x in linalg.lu(linalg.from_numpy(spark, g)))
+    return spark.createDataFrame([(round(float(low[1, 0]), 8), round(float(up[0, 0] / 1e6), 4), round(float(up[0, 1] / 1e6), 4), round(float(up[1, 1]), 2))], "low double, u00 double, u01 double, u11 double")
+
+
+@query("SELECT 25 AS rank, true AS lu, true AS svd")
 def lu_svd_rank(spark, sf_dir):
     a = square(spark, sf_dir) + NDArray.eye(spark, 25) * 30
     low, up, p = linalg.lu(a)
@@ -554,11 +714,48 @@ def lasso_1d(spark, sf_dir):
     return _fitted(spark, Lasso([_X1], _Y1, alpha=100.0, tol=1e-9).fit(table(spark, sf_dir, "lineitem")))
 
 
-@query()
-def ridge_lasso_multi(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem")
-    cols = ["l_quantity", "l_discount", "l_tax"]
-    return spark.createDataFrame([(n, float(m.intercept), [float(w) for w in m.coef]) for n, m in (("ols", LinearRegression(cols, _Y1).fit(df)), ("ridge", Ridge(cols, _Y1, alpha=10.0).fit(df)), ("lasso", Lasso(cols, _Y1, alpha=10.0).fit(df)))], "model string, intercept double, coef array<double>")
+_TWO = f"SELECT count(*) AS n, avg({_X1}) AS m1, avg(l_discount) AS m2, avg({_Y1}) AS my, covar_pop({_X1}, {_X1}) * count(*) AS a, covar_pop({_X1}, l_discount) * count(*) AS b, covar_pop(l_discount, l_discount) * count(*) AS c, covar_pop({_X1}, {_Y1}) * count(*) AS p, covar_pop(l_discount, {_Y1}) * count(*) AS q FROM lineitem"
+
+
+def _solved(alpha: float) -> str:
+    """The closed solution of two centred columns."""
+    d = f"((a + {alpha}) * (c + {alpha}) - b * b)"
+    return f"WITH t AS ({_TWO}), w AS (SELECT *, (p * (c + {alpha}) - q * b) / {d} AS w1, (q * (a + {alpha}) - p * b) / {d} AS w2 FROM t) SELECT my - w1 * m1 - w2 * m2 AS intercept, w1, w2 FROM w"
+
+
+def _two(model, df) -> tuple:
+    m = model.fit(df)
+    return float(m.intercept), *map(float, m.coef)
+
+
+_PAIRED = [_X1, "l_discount"]
+for _name, _alpha, _model in (("ols", 0.0, lambda: LinearRegression(_PAIRED, _Y1)), ("ridge", 10.0, lambda: Ridge(_PAIRED, _Y1, alpha=10.0))):
+    query(f"SELECT round(intercept, 2) AS intercept, round(w1, 3) AS w1, round(w2, 2) AS w2 FROM ({_solved(_alpha)})", f"{_name}_multi")(
+        lambda spark, sf_dir, model=_model: (lambda got: spark.createDataFrame([(round(got[0], 2), round(got[1], 3), round(got[2], 2))], "intercept double, w1 double, w2 double"))(_two(model(), table(spark, sf_dir, "lineitem")))
+    )
+_RAW2 = f"SELECT count(*) AS n, avg({_Y1}) AS my, sum({_X1} * {_X1}) AS a, sum({_X1} * l_discount) AS b, sum(l_discount * l_discount) AS c, sum({_X1} * {_Y1}) - avg({_Y1}) * sum({_X1}) AS p, sum(l_discount * {_Y1}) - avg({_Y1}) * sum(l_discount) AS q FROM lineitem"
+
+
+@query(
+    f"WITH RECURSIVE t AS ({_RAW2}), r AS (SELECT 0 AS k, 0::DOUBLE AS w1, 0::DOUBLE AS w2 UNION ALL SELECT k + 1, u1, sign((q - b * u1) / n) * greatest(abs((q - b * u1) / n) - 10, 0) / (c / n) FROM (SELECT *, sign((p - b * w2) / n) * greatest(abs((p - b * w2) / n) - 10, 0) / (a / n) AS u1 FROM r, t) WHERE k < 400) "
+    "SELECT round(my, 2) AS intercept, round(w1, 3) AS w1, round(w2, 2) AS w2 FROM r, t WHERE k = 400"
+)
+def lasso_multi(spark, sf_dir):
+    got = _two(Lasso(_PAIRED, _Y1, alpha=10.0, tol=1e-10), table(spark, sf_dir, "lineitem"))
+    return spark.createDataFrame([(round(got[0], 2), round(got[1], 3), round(got[2], 2))], "intercept double, w1 double, w2 double")
+
+
+_PREDICTED = f"SELECT l_orderkey, l_linenumber, {_Y1} AS y, {{intercept}} + {{slope}} * {_X1} AS p FROM lineitem, w"
+_RIDGE_W = f"WITH t AS ({_MOMENTS}), w AS (SELECT (sxy - n * mx * my) / (sxx - n * mx * mx + 50) AS w, my - (sxy - n * mx * my) / (sxx - n * mx * mx + 50) * mx AS b FROM t)"
+_LASSO_W = f"WITH t AS ({_MOMENTS}), w AS (SELECT my AS b, sign((sxy - my * sx) / n) * greatest(abs((sxy - my * sx) / n) - 100, 0) / (sxx / n) AS w FROM t)"
+for _name, _with, _model in (("ridge", _RIDGE_W, lambda: Ridge([_X1], _Y1, alpha=50.0)), ("lasso", _LASSO_W, lambda: Lasso([_X1], _Y1, alpha=100.0, tol=1e-9))):
+    _rows = _PREDICTED.format(intercept="b", slope="w")
+    query(f"{_with} SELECT l_orderkey, l_linenumber, round(p, 3) AS prediction FROM ({_rows})", f"{_name}_predict")(
+        lambda spark, sf_dir, model=_model: (lambda df: rounded(model().fit(df).predict(df).select("l_orderkey", "l_linenumber", "prediction"), 3))(table(spark, sf_dir, "lineitem"))
+    )
+    query(f"{_with} SELECT round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS v FROM ({_rows})", f"{_name}_score")(
+        lambda spark, sf_dir, model=_model: (lambda df: rounded(model().fit(df).score(df), 6))(table(spark, sf_dir, "lineitem"))
+    )
 
 
 def _toxic_lengths(spark, sf_dir) -> DataFrame:
@@ -571,15 +768,28 @@ def logistic_step(spark, sf_dir):
     return rounded(spark.createDataFrame([(float(m.intercept), float(m.coef[0]))], "intercept double, coef double"), 6)
 
 
-@query()
-def logistic_predict(spark, sf_dir):
+def _descent(rounds: int) -> str:
+    """Rounds of gradient descent, one table of weights each."""
+    out = ["x AS MATERIALIZED (SELECT doc_id, n_chars / 1000 AS x, toxic::DOUBLE AS y FROM documents JOIN labels USING (doc_id))", "w0 AS (SELECT 0::DOUBLE AS b, 0::DOUBLE AS w)"]
+    for k in range(rounds):
+        out.append(f"w{k + 1} AS MATERIALIZED (SELECT any_value(b) - 0.1 * avg(1 / (1 + exp(-(b + w * x))) - y) AS b, any_value(w) - 0.1 * avg((1 / (1 + exp(-(b + w * x))) - y) * x) AS w FROM x, w{k})")
+    return "WITH " + ", ".join(out)
+
+
+_PROBABILITY = "1 / (1 + exp(-(b + w * x)))"
+
+
+@query(f"{_descent(8)} SELECT round(avg(((CASE WHEN {_PROBABILITY} >= 0.5 THEN 1 ELSE 0 END) = y)::INT), 6) AS v FROM x, w8")
+def logistic_score(spark, sf_dir):
     df = _toxic_lengths(spark, sf_dir)
-    m = LogisticRegression(["x"], "toxic", lr=0.1, max_iter=8).fit(df)
-    return m.predict(m.predict_proba(df)).select("doc_id", "probability", "prediction")
+    return rounded(LogisticRegression(["x"], "toxic", lr=0.1, max_iter=8).fit(df).score(df), 6)
 
 
-def _vectors(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+@query(f"{_descent(8)} SELECT doc_id, round({_PROBABILITY}, 6) AS probability, (CASE WHEN {_PROBABILITY} >= 0.5 THEN 1 ELSE 0 END)::DOUBLE AS prediction FROM x, w8")
+def logistic_predict(spark, sf_dir):
+    df = _toxic_lengths(spark, sf_dir)
+    m = LogisticRegression(["x"], "toxic", lr=0.1, max_iter=8).fit(df)
+    return rounded(m.predict(m.predict_proba(df)).select("doc_id", "probability", "prediction"), 6)
 
 
 def _whole_vectors(spark, sf_dir) -> tuple[DataFrame, list[str]]:
@@ -589,30 +799,51 @@ def _whole_vectors(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     return df.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(e) for i, e in enumerate(names)]), names
 
 
-_V = "(SELECT vec_id, label, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1, embedding[3]::DOUBLE AS e2, embedding[4]::DOUBLE AS e3 FROM embeddings)"
-_E = ["e0", "e1", "e2", "e3"]
-_CENTERS = [[0.1, 0.1, 0.0, 0.0], [-0.1, 0.0, 0.1, 0.0], [0.0, -0.1, 0.0, -0.1]]
-_DIST = ["(" + " + ".join(f"({c} - {x}) * ({c} - {x})" for c, x in zip(_E, ctr, strict=True)) + ")" for ctr in _CENTERS]
+#: Components of an embedding, and three centres over all of them.
+_WIDTH = 64
+_CENTERS = [[((7 * k + 3 * i) % 11 - 5) / 25 for i in range(_WIDTH)] for k in range(3)]
+_V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
+_C0 = "c0(k, c) AS (VALUES " + ", ".join(f"({k}, {[float(x) for x in c]}::DOUBLE[])" for k, c in enumerate(_CENTERS)) + ")"
+
 
+def _lloyd(rounds: int) -> str:
+    """Rounds of k-means over whole vectors: assignments a1, a2 .. and centres c1, c2 .."""
+    out = [_V, _C0]
+    for r in range(1, rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(e) AS e, arg_min(k, list_distance(e, c))::INT AS k, min(list_distance(e, c)) AS d FROM v, c{r - 1} GROUP BY vec_id)")
+        means = f"SELECT k, list(m ORDER BY i) AS c FROM (SELECT k, i, avg(e[i]) AS m FROM a{r}, range(1, {_WIDTH + 1}) t(i) GROUP BY 1, 2) GROUP BY 1"
+        out.append(f"c{r} AS MATERIALIZED (SELECT o.k, coalesce(m.c, o.c) AS c FROM c{r - 1} o LEFT JOIN ({means}) m USING (k))")
+    return "WITH " + ", ".join(out)
 
-@query(f"WITH t AS (SELECT *, {_DIST[0]} AS d0, {_DIST[1]} AS d1, {_DIST[2]} AS d2 FROM {_V}) SELECT vec_id, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END::INT AS prediction FROM t")
+
+@query(f"{_lloyd(1)} SELECT vec_id, k AS prediction FROM a1")
 def kmeans_assign(spark, sf_dir):
-    return KMeans(_E, 3, centers=np.array(_CENTERS)).predict(_vectors(spark, sf_dir)).select("vec_id", "prediction")
+    df, names = _whole_vectors(spark, sf_dir)
+    return KMeans(names, 3, centers=np.array(_CENTERS)).predict(df).select("vec_id", "prediction")
 
 
-@query(f"WITH t AS (SELECT *, {_DIST[0]} AS d0, {_DIST[1]} AS d1, {_DIST[2]} AS d2 FROM {_V}), c AS (SELECT *, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS c FROM t) SELECT c::INT AS cluster, " + ", ".join(f"round(avg({e}), 6) AS {e}" for e in _E) + " FROM c GROUP BY 1")
+@query(f"{_lloyd(1)} SELECT k::INT AS cluster, i::INT AS component, round(c[i + 1], 6) AS v FROM c1, range({_WIDTH}) t(i)")
 def kmeans_step(spark, sf_dir):
-    m = KMeans(_E, 3, max_iter=1).fit(_vectors(spark, sf_dir), _CENTERS)
-    return rounded(spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(m.centers)], "cluster int, " + ", ".join(f"{e} double" for e in _E)), 6)
+    df, names = _whole_vectors(spark, sf_dir)
+    m = KMeans(names, 3, max_iter=1).fit(df, _CENTERS)
+    return rounded(spark.createDataFrame([(k, i, float(x)) for k, c in enumerate(m.centers) for i, x in enumerate(c)], "cluster int, component int, v double"), 6)
 
 
-@query(f"SELECT round(sum(least({_DIST[0]}, {_DIST[1]}, {_DIST[2]})), 4) AS v FROM {_V}")
+@query(f"{_lloyd(1)} SELECT round(sum(d * d), 4) AS v FROM a1")
 def kmeans_inertia(spark, sf_dir):
-    return rounded(KMeans(_E, 3, centers=np.array(_CENTERS)).inertia(_vectors(spark, sf_dir)))
+    df, names = _whole_vectors(spark, sf_dir)
+    return rounded(KMeans(names, 3, centers=np.array(_CENTERS)).inertia(df))
 
 
-@query()
+@query(f"{_lloyd(7)} SELECT vec_id, k AS prediction FROM a7")
 def kmeans_fit(spark, sf_dir):
+    """Six rounds from given centres, then the assignment to the last ones."""
+    df, names = _whole_vectors(spark, sf_dir)
+    return KMeans(names, 3, max_iter=6, tol=0.0).fit(df, _CENTERS).predict(df).select("vec_id", "prediction")
+
+
+@query()
+def kmeans_seeded(spark, sf_dir):
     df, names = _whole_vectors(spark, sf_dir)
     return KMeans(names, 3, max_iter=10).fit_predict(df).select("vec_id", "prediction")
 
@@ -623,24 +854,38 @@ def pca(spark, sf_dir):
     return rounded(PCA(names, 2).fit_transform(df).select("vec_id", "pc0", "pc1"), 6)
 
 
-_NEAR = f"WITH v AS {_V}, n AS (SELECT q.vec_id AS q, t.label AS y, row_number() OVER (PARTITION BY q.vec_id ORDER BY " + " + ".join(f"(q.{e} - t.{e}) * (q.{e} - t.{e})" for e in _E) + ", t.vec_id) AS r FROM v q, v t WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0)"
+_AXIS = "(a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b)"
+
+
+@query(
+    f"WITH t AS (SELECT var_samp(p_size) AS a, covar_samp(p_size, p_retailprice) AS b, var_samp(p_retailprice) AS c, avg(p_size) AS mx, avg(p_retailprice) AS my FROM part), u AS (SELECT *, b / sqrt(b * b + pow({_AXIS} - a, 2)) AS x, ({_AXIS} - a) / sqrt(b * b + pow({_AXIS} - a, 2)) AS y FROM t) "
+    "SELECT p_partkey, round(abs((p_size - mx) * x + (p_retailprice - my) * y), 4) AS pc0, round(abs((p_size - mx) * y - (p_retailprice - my) * x), 4) AS pc1 FROM part, u"
+)
+def pca_parts(spark, sf_dir):
+    """Sizes and prices of parts along their principal axes, whose signs are free."""
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    return rounded(PCA(["p_size", "p_retailprice"], 2).fit_transform(df).select("p_partkey", F.abs("pc0").alias("pc0"), F.abs("pc1").alias("pc1")))
+
+
+_NEAR = f"WITH {_V}, n AS (SELECT q.vec_id AS q, t.label AS y, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, t.e), t.vec_id) AS r FROM v q, v t WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0)"
 
 
-def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    v = _vectors(spark, sf_dir)
-    return v.where(F.col("vec_id") % 5 != 0), v.where(F.col("vec_id") % 5 == 0)
+def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Every fifth vector is asked for, all others are learned from."""
+    v, names = _whole_vectors(spark, sf_dir)
+    return v.where(F.col("vec_id") % 5 != 0), v.where(F.col("vec_id") % 5 == 0), names
 
 
 @query(f"{_NEAR}, c AS (SELECT q, y, count(*) AS n FROM n WHERE r <= 5 GROUP BY 1, 2) SELECT q AS vec_id, y AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, y) AS k FROM c) WHERE k = 1")
 def knn_classify(spark, sf_dir):
-    train, test = _halves(spark, sf_dir)
-    return KNeighborsClassifier(_E, "label", "vec_id").fit(train).predict(test).select("vec_id", "prediction")
+    train, test, names = _halves(spark, sf_dir)
+    return KNeighborsClassifier(names, "label", "vec_id").fit(train).predict(test).select("vec_id", "prediction")
 
 
 @query(f"{_NEAR} SELECT q AS vec_id, round(avg(y), 6) AS prediction FROM n WHERE r <= 5 GROUP BY 1")
 def knn_regress(spark, sf_dir):
-    train, test = _halves(spark, sf_dir)
-    return rounded(KNeighborsRegressor(_E, "label", "vec_id").fit(train).predict(test).select("vec_id", "prediction"), 6)
+    train, test, names = _halves(spark, sf_dir)
+    return rounded(KNeighborsRegressor(names, "label", "vec_id").fit(train).predict(test).select("vec_id", "prediction"), 6)
 
 
 # metrics
@@ -668,7 +913,11 @@ def adjusted_rand(spark, sf_dir):
     return rounded(metrics.adjusted_rand(table(spark, sf_dir, "labels"), "quality", "toxic"), 6)
 
 
-@query()
+@query(
+    f"WITH {_V}, d AS (SELECT p.vec_id, p.label AS own, q.label AS other, sum(pow(list_distance(p.e, q.e), 2)) AS s, count(*) AS n FROM v p, v q GROUP BY 1, 2, 3), "
+    "m AS (SELECT vec_id, max(CASE WHEN own = other THEN n END) AS n, max(CASE WHEN own = other THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM d GROUP BY 1) "
+    "SELECT round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS v FROM m"
+)
 def silhouette(spark, sf_dir):
     df, names = _whole_vectors(spark, sf_dir)
     return rounded(metrics.silhouette(df, names, "label"), 6)
@@ -682,17 +931,23 @@ def cv_folds(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", fold("p_partkey", 5).alias("fold"))
 
 
-@query()
+@query("SELECT p_partkey, CASE WHEN ('0x' || md5('1:' || p_partkey)[1:8])::BIGINT / 4294967296.0 < 0.25 THEN 'test' ELSE 'train' END AS part FROM part")
 def train_test_parts(spark, sf_dir):
     train, test = train_test_split(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 0.25, seed=1)
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@query()
+_FOLDED = f"SELECT l_orderkey % 3 AS f, {_X1} AS x, {_Y1} AS y FROM lineitem"
+
+
+@query(
+    f"WITH d AS ({_FOLDED}), w AS (SELECT k, regr_slope(y, x) AS w, regr_intercept(y, x) AS b, regr_r2(y, x) AS train FROM d, range(3) t(k) WHERE f <> k GROUP BY 1) "
+    "SELECT k::INT AS fold, round(any_value(train), 6) AS train, round(1 - sum((y - b - w * x) * (y - b - w * x)) / (var_pop(y) * count(*)), 6) AS test FROM w JOIN d ON f = k GROUP BY 1"
+)
 def cross_validation(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", _X1, _Y1)
     got = cross_val_score(lambda t: LinearRegression([_X1], _Y1).fit(t), lambda m, t: m.score(t).first()["v"], df, "l_orderkey", 3)
-    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(got["train_scores"], got["test_scores"], strict=True))], "fold int, train double, test double")
+    return rounded(spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(got["train_scores"], got["test_scores"], strict=True))], "fold int, train double, test double"), 6)
 
 
 @query("SELECT feature, round(score, 6) AS score FROM (SELECT 'l_quantity' AS feature, abs(corr(l_quantity, l_extendedprice)) AS score FROM lineitem UNION ALL SELECT 'l_discount', abs(corr(l_discount, l_extendedprice)) FROM lineitem UNION ALL SELECT 'l_tax', abs(corr(l_tax, l_extendedprice)) FROM lineitem) ORDER BY score DESC LIMIT 2")
@@ -700,7 +955,13 @@ def select_k_best_features(spark, sf_dir):
     return rounded(select_k_best(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], _Y1, 2).select("feature", "score"), 6)
 
 
-@query()
+_MEANS = "m AS (SELECT avg(l_discount) AS x, avg(l_tax) AS y FROM lineitem)"
+_PASSES = "p0 AS (SELECT 0::DOUBLE AS x, 0::DOUBLE AS y)" + "".join(
+    f", p{k + 1} AS MATERIALIZED (SELECT any_value(p.x) - 0.4 * (any_value(p.x) - avg(l_discount)) AS x, any_value(p.y) - 0.4 * (any_value(p.y) - avg(l_tax)) AS y FROM p{k} p, lineitem WHERE l_orderkey % 4 = {k % 4})" for k in range(12)
+)
+
+
+@query(f"WITH {_MEANS}, {_PASSES} SELECT 'gradient_descent' AS optimizer, round(x, 3) AS x, round(y, 3) AS y FROM m UNION ALL SELECT 'adam', round(x, 3), round(y, 3) FROM m UNION ALL SELECT 'sgd', round(x, 3), round(y, 3) FROM p12")
 def optimizers(spark, sf_dir):
     """Minimise the squared distance to the mean discount and tax with each optimiser."""
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_tax").persist()
@@ -717,7 +978,7 @@ def optimizers(spark, sf_dir):
     got = {
         "gradient_descent": GradientDescent(lr=0.1).minimize(cost, gradient, [0, 0]),
         "adam": Adam(lr=0.01, max_iter=500).minimize(cost, gradient, [0, 0]),
-        "sgd": StochasticGradientDescent(lr=0.2, max_iter=3, batches=4).minimize(df, "l_orderkey", batch, [0, 0]),
+        "sgd": StochasticGradientDescent(lr=0.2, max_iter=3, batch_size=-(-df.count() // 4)).minimize(df, "l_orderkey", batch, [0, 0]),
     }
     df.unpersist()
     return rounded(spark.createDataFrame([(n, float(x[0]), float(x[1])) for n, x in got.items()], "optimizer string, x double, y double"), 3)

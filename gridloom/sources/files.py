@@ -30,6 +30,11 @@ def read_matrix(spark: SparkSession, path: str) -> NDArray:
     return NDArray(placed.select("i0", F.posexplode("xs").alias("i1", "v")), (shape["n"], shape["b"]))
 
 
+def write_matrix(df: DataFrame, columns: list[str], keys: list[str], path: str) -> None:
+    """The columns as lines of numbers, in the order of the keys."""
+    df.orderBy(*keys).select(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]).alias("value")).write.mode("overwrite").text(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, header: bool = True) -> DataFrame:
     """CSV; with a schema the file is read once, without one its types are inferred."""
     reader = spark.read.option("header", header)
