@@ -121,4 +121,4 @@ def test_selection_and_optimisers(spark):
     assert np.allclose(GradientDescent(lr=0.1).minimize(cost, grad, [0, 0]), goal, atol=1e-3)
     assert np.allclose(Adam(lr=0.05, max_iter=2000).minimize(cost, grad, [0, 0]), goal, atol=1e-2)
     step = lambda part, x: np.array([2 * (x[0] - part.agg(F.avg("x")).first()[0])])
-    assert StochasticGradientDescent(lr=0.4, max_iter=8, batch_size=50).minimize(df, "id", step, [0])[0] == pytest.approx(99.5, abs=1)
+    assert StochasticGradientDescent(lr=0.4, max_iter=8, batch_size=100).minimize(df, "id", step, [0])[0] == pytest.approx(99.5, abs=1)
