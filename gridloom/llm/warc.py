@@ -289,7 +289,10 @@ def read_records(index: DataFrame) -> DataFrame:
     """One row per index entry, from the archives, which are read from front to back."""
     entries = index.select("urlkey", "ts", "file", "offset", "length")
     part = F.floor(F.col("offset") / READ_BYTES)
-    return entries.repartition("file", part).sortWithinPartitions("file", "offset").mapInArrow(_read, RECORDS)
+    # an explicit number: entries are small beside their records, and would be coalesced into few tasks
+    size = entries.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // READ_BYTES))
+    return entries.repartition(tasks, "file", part).sortWithinPartitions("file", "offset").mapInArrow(_read, RECORDS)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
