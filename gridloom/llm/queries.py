@@ -145,11 +145,95 @@ FROM embeddings e JOIN least l ON l.vec_id = e.vec_id LEFT JOIN counted c ON c.s
 """
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.runs import periodic_runs, planted, run_digests
+
+    docs = read_table(spark, sf_dir, "documents")
+    return run_digests(periodic_runs(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.rules import quality_rules
+
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    return quality_rules(read_table(spark, sf_dir, "documents")).select("doc_id", *columns)
+
+
+#: Runs in SQL: stretches of words that equal the word q places on, less those that a shorter period explains.
+RUNS_SQL = """
+WITH ids AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words, coalesce(doc_id::VARCHAR, '') AS spelled FROM documents
+), crc AS (
+  SELECT *, len(words) AS n, xor(list_reduce([4294967295::BIGINT] || flatten([[ascii(spelled[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR i IN range(1, length(spelled) + 1)]),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS h FROM ids
+), part AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM crc),
+period AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM part),
+word AS (
+  SELECT r, i, CASE WHEN h % 10 = 0 AND i >= a THEN words[1 + a + (i - a) % p] ELSE words[1 + i] END AS w
+  FROM (SELECT *, unnest(range(n)) AS i FROM period)
+), same AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM word x JOIN word y ON x.r = y.r AND x.w = y.w AND x.i < y.i
+), stretch AS (
+  SELECT r, q, min(i) AS first, count(*) + q AS size
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same) GROUP BY r, q, island HAVING count(*) >= q
+), run AS (
+  SELECT * FROM stretch s WHERE size >= 12 AND NOT EXISTS (
+    SELECT 1 FROM stretch t WHERE t.r = s.r AND t.q < s.q AND s.q % t.q = 0 AND t.first <= s.first AND t.first + t.size >= s.first + s.size)
+), listed AS (
+  SELECT r, count(*) AS n_runs, string_agg(first || ',' || size || ',' || q || chr(10), '' ORDER BY first, q) AS spelled,
+    min({'size': -size, 'first': first, 'q': q}) AS longest FROM run GROUP BY r
+), left_over AS (
+  SELECT r, string_agg(w, ' ' ORDER BY i) AS text FROM word WHERE NOT EXISTS (
+    SELECT 1 FROM run WHERE run.r = word.r AND word.i >= run.first + run.q AND word.i < run.first + run.size) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, longest.first::BIGINT AS "start", -longest.size::BIGINT AS length, longest.q::BIGINT AS period,
+  (-1000 * longest.size // longest.q)::BIGINT AS exponent_milli, sha256(coalesce(listed.spelled, '')) AS runs_sha256, sha256(coalesce(left_over.text, '')) AS collapsed_sha256
+FROM period LEFT JOIN listed USING (r) LEFT JOIN left_over USING (r)
+"""
+
+
+def rules_sql() -> str:
+    """Measures and the rule table in SQL."""
+    from gridloom.llm.rules import ENDS, RULES, STOP_WORDS, SYMBOLS, WINDOW
+
+    space = "\\x20\\x09-\\x0D"
+    tests = []
+    for r in RULES:
+        whole = "1" if r.whole == "one" else r.whole
+        low = f"1000 * {r.part} < {r.least} * {whole}"
+        tests.append(f"CASE WHEN {low}" + ("" if r.most is None else f" OR (1000 * {r.part} > {r.most} * {whole} AND {whole} > 0)") + f" THEN '{r.name}' END")
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return f"""
+WITH ids AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{space}]+') AS ws,
+    [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^{space}]')] AS ls FROM documents
+), windows AS (
+  SELECT r, i, array_to_string(ws[i : i + {WINDOW - 1}], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM ids)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1
+), repeated AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM again, (SELECT unnest(range({WINDOW})) AS k) GROUP BY r
+), m AS (
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines,
+    len([x FOR x IN ws IF rtrim(lower(x), '{ENDS}') IN ({stop})]) AS n_stop_words,
+    len([x FOR x IN ws IF regexp_matches(x, '\\p{{L}}')]) AS n_letter_words,
+    len([x FOR x IN ws IF regexp_matches(x, '\\p{{Lu}}') AND NOT regexp_matches(x, '\\p{{Ll}}')]) AS n_capital_words,
+    len([x FOR x IN ls IF regexp_matches(x, '^[{space}]*[-*•]')]) AS n_bullet_lines,
+    len([x FOR x IN ls IF regexp_matches(x, '([.][.][.]|…)[{space}]*$')]) AS n_ellipsis_lines
+  FROM ids LEFT JOIN repeated USING (r)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, concat_ws(',', {', '.join(tests)}) AS failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM judged
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_secrets, op2_warc, op3_quality, op4_toxicity, op5_multiindex, op6_packing, op7_crosspolytope, op8_sentencepiece, op9_simhash, op10_chat)
+    all_ = (op1_secrets, op2_warc, op3_quality, op4_toxicity, op5_multiindex, op6_packing, op7_crosspolytope, op8_sentencepiece, op9_simhash, op10_chat, op11_runs, op13_rules)
     return {f.__name__: shipped(f) for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The records, the links and the chat digests; the other seven are held against brute force in tests/llm."""
-    return {"op2_warc": WARC_SQL, "op7_crosspolytope": NEAR_SQL, "op10_chat": CHAT_SQL}
+    """The records, links, chat digests, runs and rules; the other seven are held against brute force in tests/llm."""
+    return {"op2_warc": WARC_SQL, "op7_crosspolytope": NEAR_SQL, "op10_chat": CHAT_SQL, "op11_runs": RUNS_SQL, "op13_rules": rules_sql()}
