@@ -152,6 +152,12 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))))
 
 
+def op12_heaplloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.heaplloyd import vector_codes
+
+    return vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.rules import quality_rules
 
@@ -192,6 +198,38 @@ FROM period LEFT JOIN listed USING (r) LEFT JOIN left_over USING (r)
 """
 
 
+def codes_sql(rounds: int = 2) -> str:
+    """Codebooks in SQL, for vectors of one length that 16 divides: whole numbers held as doubles, distances from inner products."""
+
+    def assigned(k: int) -> str:
+        return f"""a{k} AS (
+  SELECT r, p, least.c AS c, least.d AS d, v FROM (
+    SELECT x.r, x.p, x.v, min({{'d': x.vv - 2 * list_inner_product(x.v, b.v) + list_inner_product(b.v, b.v), 'c': b.c}}) AS least
+    FROM part x JOIN b{k} b ON x.p = b.p GROUP BY x.r, x.p, x.v)
+)"""
+
+    steps = [assigned(0)]
+    for k in range(rounds):
+        steps.append(f"""s{k} AS (
+  SELECT p, c, list(m ORDER BY j) AS v FROM (SELECT p, c, j, floor(sum(x) / count(*)) AS m FROM (SELECT p, c, unnest(v) AS x, unnest(range(len(v))) AS j FROM a{k}) GROUP BY p, c, j) GROUP BY p, c
+), b{k + 1} AS (SELECT b.p, b.c, coalesce(s.v, b.v) AS v FROM b{k} b LEFT JOIN s{k} s ON s.p = b.p AND s.c = b.c)""")
+        steps.append(assigned(k + 1))
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), part AS (
+  SELECT r, p, v, list_inner_product(v, v) AS vv
+  FROM (SELECT r, p, e[p * len(e) // 16 + 1 : (p + 1) * len(e) // 16] AS v FROM (SELECT *, unnest(range(16)) AS p FROM kept))
+), b0 AS (SELECT p, r - 1 AS c, v FROM part WHERE r <= 64),
+{", ".join(steps)},
+book AS (
+  SELECT sha256(string_agg(x::BIGINT, ',' ORDER BY p, c, j)) AS digest FROM (SELECT p, c, unnest(v) AS x, unnest(range(len(v))) AS j FROM b{rounds})
+), coded AS (SELECT r, string_agg(printf('%02x', c), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256 FROM kept JOIN coded USING (r), book
+"""
+
+
 def rules_sql() -> str:
     """Measures and the rule table in SQL."""
     from gridloom.llm.rules import ENDS, RULES, STOP_WORDS, SYMBOLS, WINDOW
@@ -230,10 +268,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_line
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_secrets, op2_warc, op3_quality, op4_toxicity, op5_multiindex, op6_packing, op7_crosspolytope, op8_sentencepiece, op9_simhash, op10_chat, op11_runs, op13_rules)
+    all_ = (op1_secrets, op2_warc, op3_quality, op4_toxicity, op5_multiindex, op6_packing, op7_crosspolytope, op8_sentencepiece, op9_simhash, op10_chat, op11_runs, op12_heaplloyd, op13_rules)
     return {f.__name__: shipped(f) for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The records, links, chat digests, runs and rules; the other seven are held against brute force in tests/llm."""
-    return {"op2_warc": WARC_SQL, "op7_crosspolytope": NEAR_SQL, "op10_chat": CHAT_SQL, "op11_runs": RUNS_SQL, "op13_rules": rules_sql()}
+    """The records, links, chat digests, runs, vector codes and rules; the other seven are held against brute force in tests/llm."""
+    return {"op2_warc": WARC_SQL, "op7_crosspolytope": NEAR_SQL, "op10_chat": CHAT_SQL, "op11_runs": RUNS_SQL, "op12_heaplloyd": codes_sql(), "op13_rules": rules_sql()}
