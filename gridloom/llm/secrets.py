@@ -43,8 +43,8 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-#: Ordinary tokens, the decoys: words and numbers, also joined by signs.
-WORDS = "^([a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+)([_/+-]+([a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+))*$"
+#: Ordinary tokens, the decoys: words and numbers, also joined by signs. No pattern repeats a group: Java matches those by recursion.
+WORD, SIGNS = "^([a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+)$", "[_/+-]+"
 #: Words that the fixed decoys are joined of.
 ORDINARY = ("account", "backup", "channel", "default", "element", "folder", "group", "handler", "internal", "journal", "kernel", "listener", "message", "network", "option", "project", "request", "session", "timeout", "user", "version", "window")
 #: Length classes of the false-discovery control: a token belongs to the last one that it reaches.
@@ -230,10 +230,15 @@ def score_bin(score: Column) -> Column:
     return F.least(F.floor(F.greatest(-score, F.lit(0.0)) * 4), F.lit(BINS - 1)).cast("int")
 
 
+def ordinary(token: Column) -> Column:
+    """Whether a token is words and numbers joined by signs, which neither begin nor end it."""
+    return F.forall(F.split(token, SIGNS, -1), lambda part: part.rlike(WORD))
+
+
 def judged(token: Column) -> list[Column]:
     """Whether a token is a decoy, its alphabet's size, its length class and its score's bin."""
     return [
-        token.rlike(WORDS).alias("decoy"),
+        ordinary(token).alias("decoy"),
         F.length(encoding(F.rtrim(token, F.lit("=")))).alias("symbols"),
         length_class(F.length(token)).alias("class"),
         score_bin(battery(token)).alias("bin"),
@@ -258,7 +263,7 @@ def scanned(df: DataFrame, text: str = "text") -> DataFrame:
     df = found(base_spans(df, text), F.col(text), CANDIDATE, "__c")
     free = F.filter("__c", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     two_kinds = lambda c: c["value"].rlike("[A-Za-z]") & (c["value"].rlike("[0-9]") | (c["value"].rlike("[a-z]") & c["value"].rlike("[A-Z]")))
-    tokens = F.transform(F.filter(free, lambda c: two_kinds(c) | c["value"].rlike(WORDS)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), *judged(c["value"])))
+    tokens = F.transform(F.filter(free, lambda c: two_kinds(c) | ordinary(c["value"])), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), *judged(c["value"])))
     return df.withColumn("tokens", tokens).drop("__c")
 
 
