@@ -29,6 +29,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,6 +53,8 @@ ROUTED = 3
 LARGE_SHARDS, FULL_WINDOWS = 1 << 28, 1 << 62
 #: Longest list of large routes that is broadcast (16 bytes a row); beyond it the list is joined by shuffling.
 BROADCAST_ROWS = 50_000
+#: Runs of blanks that tiktoken encodes; texts with longer ones take the slower library.
+LONG_BLANKS = 100_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -63,13 +66,17 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Byte-level BPE of a ``tokenizers`` file, encoded by tiktoken."""
+    """Byte-level BPE of a ``tokenizers`` file, encoded by tiktoken; texts with very long blanks by ``tokenizers`` itself.
+
+    tiktoken's pattern backtracks over white space and gives up on runs of about a million characters.
+    """
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
         import tiktoken
 
-        with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        self.path, self.library = path or public_tokenizers.path("byte_bpe_50k.json"), None
+        with open(self.path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_letters()
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -84,6 +91,12 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         """All ids of a whole text."""
+        if len(text) > LONG_BLANKS and max(map(len, re.findall(r"\s+", text)), default=0) > LONG_BLANKS:
+            if self.library is None:
+                import tokenizers
+
+                self.library = tokenizers.Tokenizer.from_file(self.path)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2")
         return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u2")
 
 

@@ -155,3 +155,16 @@ def test_whole_windows_stay_where_they_are(docs_of, reference):
     alone = [p for p in got if p["sequence_id"] >= packing.FULL_WINDOWS]
     assert alone and all(p["length"] == 2048 and p["offset"] == 0 and p["start"] % 2048 == 0 for p in alone)
     assert len({p["sequence_id"] for p in alone}) == len(alone)
+
+
+@pytest.mark.parametrize("blanks", [" " * 3_000_000, "\n" * 3_000_000, " \n" * 1_500_000, "\t \r\n" * 600_000, "\u00a0" * 1_100_000, " " * 100_001])
+@pytest.mark.parametrize("around", ["{}", "a{}b", "it's {}<|endoftext|> end"])
+def test_very_long_blanks(reference, blanks, around):
+    text = around.format(blanks)
+    assert packing.encoder(None).ids(text).tolist() == reference(text)
+
+
+def test_very_long_blanks_are_packed(docs_of, reference):
+    text = "one" + " " * 1_200_000 + "two"
+    pieces = packing.pack(docs_of([(1, text), (2, "short")])).collect()
+    assert sum(p["length"] for p in pieces if p["doc_id"] == 1) == len(reference(text)) + 1
