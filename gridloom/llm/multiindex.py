@@ -5,18 +5,18 @@ a bounded sample, ``sample`` rows with the smallest id hashes); a pair of centro
 is a cell, and every vector is in one. Cells' sizes are counted over all rows. A query
 walks the grid of centroid pairs by growing sum of its two squared distances with a
 heap, until the cells passed hold ``share`` of all vectors, and reranks their entries
-by exact distance in double precision. The share is the same at every size.
+by exact distance in double precision. The share is the same at every size; below that many in all, the walk goes on to
+``least`` vectors, so small tables are searched whole. Vectors of each length have an index of their own.
 
 Each query is walked once. Neighbouring cells share a shard of about ``shard_rows``
 entries, and a cell that holds more (a third of all rows, say) is dealt over shards of
 its own; a query is sent, with the cells it asks for, to the shards that hold them and
 to no others. A task reads a shard's entries, then its queries batch by batch, and
-returns the k best of each; the best of those are ranked. Entries are repeated only
-once for every ``query_block`` queries. What is broadcast is bounded: two codebooks
-and numbers for at most ``centroids`` squared cells.
+returns the k best of each; the best of those are ranked. Entries move once, whatever the number of
+queries. What is broadcast is bounded: two codebooks and numbers for at most ``centroids`` squared cells.
 
-Defined cases: null, zero or non-finite vectors and vectors of another length than
-most take no part, as queries or candidates; distances that tie go to the smaller
+Defined cases: null, empty, zero or non-finite vectors take no part, as queries or candidates; vectors of unlike
+lengths have no distance, so each is searched among those of its own; distances that tie go to the smaller
 id; null ids take no part; with fewer candidates than asked for, all are returned; an
 empty table gives an empty result. A row is a candidate for all rows but itself, also
 for rows that repeat its id. Every row with a query's id is asked and has a list of its
@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import scope, stage
+from gridloom.llm.common import scope, ship, stage
 from gridloom.llm.crosspolytope import usable
 
 RESULT = "query_row long, query_id long, vec_id long, score double"
-DEALT = "shard int, block int, asks boolean, row long, vec_id long, cell int, cells binary, embedding array<double>"
+DEALT = "shard int, asks boolean, row long, vec_id long, cell int, cells binary, embedding array<double>"
 #: Rough distances that a task holds at once.
 ROUGH = 1 << 22
 
@@ -140,7 +140,7 @@ class Shards:
 
 
 def _dealt(names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
-    kinds = {"shard": pa.int32(), "block": pa.int32(), "asks": pa.bool_(), "row": pa.int64(), "vec_id": pa.int64(), "cell": pa.int32(), "cells": pa.binary(), "embedding": pa.list_(pa.float64())}
+    kinds = {"shard": pa.int32(), "asks": pa.bool_(), "row": pa.int64(), "vec_id": pa.int64(), "cell": pa.int32(), "cells": pa.binary(), "embedding": pa.list_(pa.float64())}
     have, n = dict(zip(names, columns, strict=True)), len(columns[0])
     return pa.RecordBatch.from_arrays([have[c].cast(t) if c in have else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
 
@@ -159,7 +159,7 @@ def _deal_entries(shards: Shards):
     return run
 
 
-def _deal_queries(index: MultiIndex, shards: Shards, enough: float, blocks: int):
+def _deal_queries(index: MultiIndex, shards: Shards, enough: float):
     """A query's copies, one for each shard that holds a cell which its walk passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +174,8 @@ def _deal_queries(index: MultiIndex, shards: Shards, enough: float, blocks: int)
                 n = len(cut)
                 same = pa.array(np.full(n, i))
                 yield _dealt(
-                    ["shard", "block", "asks", "row", "vec_id", "cells", "embedding"],
-                    [pa.array(held[cut]), pa.array(np.full(n, row % blocks)), pa.array(np.ones(n, bool)), pa.array(np.full(n, row)), b.column(1).take(same), pa.array([x.tobytes() for x in np.split(asked, cut[1:])], pa.binary()), b.column(3).take(same)],
+                    ["shard", "asks", "row", "vec_id", "cells", "embedding"],
+                    [pa.array(held[cut]), pa.array(np.ones(n, bool)), pa.array(np.full(n, row)), b.column(1).take(same), pa.array([x.tobytes() for x in np.split(asked, cut[1:])], pa.binary()), b.column(3).take(same)],
                 )
 
     return run
@@ -214,18 +214,18 @@ class _Shard:
 
 
 def _search(k: int):
-    """Rows sorted by shard and block, entries before queries."""
+    """Rows sorted by shard, entries before queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, shard = None, [], None
         for b in batches:
-            place = np.stack((b.column("shard").to_numpy(), b.column("block").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)))
+            place = np.stack((b.column("shard").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)))
             cuts = np.flatnonzero(np.append(True, (place[:, 1:] != place[:, :-1]).any(axis=0)))
             for at, to in zip(cuts, np.append(cuts[1:], b.num_rows), strict=True):
-                if key != tuple(place[:2, at]):
-                    key, parts, shard = tuple(place[:2, at]), [], None
+                if key != place[0, at]:
+                    key, parts, shard = place[0, at], [], None
                 piece = b.slice(at, to - at)
-                if not place[2, at]:
+                if not place[1, at]:
                     parts.append(piece)
                     continue
                 if shard is None and parts:
@@ -241,13 +241,14 @@ def _search(k: int):
     return run
 
 
-def build(vectors: DataFrame, id_col: str, vector_col: str, centroids: int = 256, sample: int = 10_000) -> tuple[DataFrame, MultiIndex, int] | None:
-    """Staged (row, vec_id, cell, embedding) of every usable vector, the index, and their number."""
-    own = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    dims = own.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not dims or dims[0]["d"] < 2:
-        return None
-    own = own.where(F.size("embedding") == dims[0]["d"])
+def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(vec_id, embedding) of every vector that takes part."""
+    return vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+
+
+def build(own: DataFrame, centroids: int = 256, sample: int = 10_000) -> tuple[DataFrame, MultiIndex]:
+    """Staged (row, vec_id, cell, embedding) of vectors of one length, and the index."""
+    own = own.withColumn("embedding", F.when(F.size("embedding") == 1, F.array_append("embedding", F.lit(0.0))).otherwise(F.col("embedding")))  # two halves
     rows = own.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).collect()
     x = np.array([r["embedding"] for r in rows])
     half = x.shape[1] // 2
@@ -257,7 +258,21 @@ def build(vectors: DataFrame, id_col: str, vector_col: str, centroids: int = 256
     index.sizes = np.zeros(len(index.left) * len(index.right), np.int64)
     for r in entries.groupBy("cell").count().collect():  # at most centroids squared rows
         index.sizes[r["cell"]] = r["count"]
-    return entries, index, int(index.sizes.sum())
+    return entries, index
+
+
+def _search_length(own: DataFrame, every: int, k: int, share: float, least: int, shard_rows: int) -> DataFrame:
+    entries, index = build(own)
+    n = int(index.sizes.sum())
+    tasks = 2 * own.sparkSession.sparkContext.defaultParallelism
+    shards = Shards.of(index.sizes, min(shard_rows, max(1, -(-n // tasks))))
+    asked = entries.where(F.col("vec_id") % every == 0)
+    routed = asked.repartition(tasks, "row").mapInArrow(_deal_queries(index, shards, max(share * n, least, k + 1)), DEALT)
+    dealt = entries.mapInArrow(_deal_entries(shards), DEALT)
+    met = dealt.union(routed).repartition(min(shards.count, 20 * tasks), "shard").sortWithinPartitions("shard", "asks")
+    found = met.mapInArrow(_search(k), RESULT)
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search(
@@ -267,25 +282,15 @@ def search(
     every: int = 100,
     k: int = 10,
     share: float = 0.33,
+    least: int = 500,
     shard_rows: int = 250_000,
-    query_block: int = 65_536,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
+    ship(spark)
+    own = usable_vectors(vectors, id_col, vector_col)
     with scope(spark):
-        built = build(vectors, id_col, vector_col)
-        if built is None:
-            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        entries, index, n = built
-        tasks = 2 * spark.sparkContext.defaultParallelism
-        shards = Shards.of(index.sizes, min(shard_rows, max(1, -(-n // tasks))))
-        asked = entries.where(F.col("vec_id") % every == 0)
-        blocks = max(1, -(-asked.count() // query_block))
-        routed = asked.repartition(tasks, "row").mapInArrow(_deal_queries(index, shards, share * n, blocks), DEALT)
-        dealt = entries.mapInArrow(_deal_entries(shards), DEALT).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        keys = ("shard", "block")
-        met = dealt.select(*routed.columns).union(routed).repartition(min(shards.count * blocks, 20 * tasks), *keys).sortWithinPartitions(*keys, "asks")
-        found = met.mapInArrow(_search(k), RESULT)
-        rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id"))
-        best = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        for r in own.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect():
+            best = best.unionByName(_search_length(own.where(F.size("embedding") == r["d"]), every, k, share, least, shard_rows))
         return stage(best, "imi-found", keep=True)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -27,7 +28,7 @@ def brute(rows, k=10):
     out = {}
     for q, x in ok:
         if q % 100 == 0:
-            near = sorted((float(np.sqrt(((x - y) ** 2).sum())), i) for i, y in ok if i != q)
+            near = sorted((float(np.sqrt(((x - y) ** 2).sum())), i) for i, y in ok if i != q and len(x) == len(y))
             out[q] = near[:k]
     return out
 
@@ -40,7 +41,7 @@ def test_exact_on_small_tables(spark):
     got: dict = {}
     for r in m.search(vectors(spark, rows), share=1.0).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
-    expected = brute([r for r in rows if r[1] is None or len(r[1]) == 6])
+    expected = {q: near for q, near in brute(rows).items() if near}
     assert set(got) == set(expected) == {0, 100, 200}
     for q, near in expected.items():
         assert [(s, v) for _, s, v in sorted(got[q])] == near and [k for k, _, _ in sorted(got[q])] == list(range(1, 11))
@@ -65,13 +66,13 @@ def test_repeated_queries(spark):
         assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == lists(queries)
 
 
-def test_hot_cell_and_blocks(spark):
-    """A cell with a third of all rows is dealt over shards; queries go in several blocks."""
+def test_hot_cell(spark):
+    """A cell with a third of all rows is dealt over shards."""
     rng = np.random.default_rng(3)
     same = rng.normal(size=6).astype(np.float32).tolist()
     rows = [(i, same if i % 3 == 0 else rng.normal(size=6).astype(np.float32).tolist()) for i in range(900)]
     got: dict = {}
-    for r in m.search(vectors(spark, rows), every=50, share=1.0, shard_rows=40, query_block=5).collect():
+    for r in m.search(vectors(spark, rows), every=50, share=1.0, shard_rows=40).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
     assert len(got) == 18
     for q, mine in got.items():
@@ -90,11 +91,33 @@ def test_shards_hold_every_cell_once():
     assert held.sum() == sizes.sum() and held.max() <= 10 and s.parts[2] == 10
 
 
-def test_few_and_none(spark):
-    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])]
-    assert [(r["rank"], r["vec_id"]) for r in m.search(vectors(spark, rows), share=1.0).orderBy("rank").collect()] == [(1, 2), (2, 1)]
-    assert m.search(vectors(spark, rows), share=1.0).count() == 2
+def lists(found):
+    got: dict = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    return {q: [(s, v) for _, s, v in sorted(near)] for q, near in got.items()}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 11, 12, 20, 31, 60, 250])
+def test_small_tables_are_searched_whole(spark, n):
+    """At the default share: ten neighbours, or all candidates if they are fewer."""
+    rng = np.random.default_rng(n)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(n)]
+    expected = {q: near for q, near in brute(rows).items() if near}
+    assert lists(m.search(vectors(spark, rows))) == expected and all(len(near) == min(10, n - 1) for near in expected.values())
+
+
+def test_every_length_takes_part(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=(6, 6, 4, 1)[i % 4]).astype(np.float32).tolist()) for i in range(404)]
+    rows += [(500, [1.0] * 9), (600, []), (800, [2.0] * 4)]
+    expected = {q: near for q, near in brute(rows).items() if near}
+    assert lists(m.search(vectors(spark, rows))) == expected and {0, 100, 200, 300, 400, 800} == set(expected)
+
+
+def test_none(spark):
     assert m.search(vectors(spark, [])).count() == 0 and m.search(vectors(spark, [(0, None)])).count() == 0
+    assert m.search(vectors(spark, [(0, [1.0, 2.0])])).count() == 0
 
 
 def test_recall(spark):
