@@ -1,4 +1,4 @@
-"""Principal components from the covariance of the columns: one aggregate, then a small eigenproblem."""
+"""Principal components from the covariance of the columns: one scan that sums d x d moments by task, then a small eigenproblem."""
 
 from __future__ import annotations
 
@@ -9,12 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.linalg import gram, signed
+from gridloom.operators.blocks import moments
+from gridloom.operators.linalg import signed
 
 
 @dataclass
 class PCA:
-    """Components are unit rows, the largest entry of each positive."""
+    """Components are unit rows, the largest entry of each positive. Rows with a missing value are left out of the fit."""
 
     columns: Sequence[str]
     n: int = 2
@@ -27,14 +28,10 @@ class PCA:
         d = len(self.columns)
         if not 1 <= self.n <= d:
             raise ValueError("the number of components must lie between 1 and the number of columns")
-        centre = np.array(df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(self.columns)]).first(), float)
-        shifted = df.select(*[(F.col(c) - float(m)).alias(c) for c, m in zip(self.columns, centre, strict=True)])
-        g = gram(shifted, self.columns)
-        rows = g[0, 0]
+        rows, centre, about = moments(df, self.columns)
         if rows < 2:
             raise ValueError("two rows are needed")
-        left = g[0, 1:] / rows  # what rounding leaves of the means
-        cov = (g[1:, 1:] - rows * np.outer(left, left)) / (rows - 1)
+        cov = about / (rows - 1)
         values, vectors = np.linalg.eigh(cov)
         order = np.argsort(-values, kind="stable")[: self.n]
         self.mean, self.components = centre, signed(vectors[:, order]).T
