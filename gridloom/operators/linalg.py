@@ -1,6 +1,6 @@
-"""Linear algebra: contractions run as joins and aggregates, small dense algebra on the driver.
+"""Linear algebra: products by tiles, singular values by triangles of partitions, small dense algebra on the driver.
 
-Anything proportional to the number of rows is one Spark aggregate; d x d results
+Anything proportional to the number of rows stays in Spark; d x d results
 (Gram, covariance, inverse) are collected, with their size checked first.
 """
 
@@ -12,8 +12,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators import tsqr
 from gridloom.operators.array import DRIVER_CELLS, NDArray
+from gridloom.operators.blocks import Vectors, moments
+from gridloom.operators.tiles import Tiles
 
+#: Columns up to which sums of products are plain SQL sums.
+SUMS_IN_SQL = 12
 #: Pivots below this are taken as zero.
 TINY = 1e-10
 
@@ -38,13 +43,10 @@ def _square(a: NDArray) -> np.ndarray:
 
 
 def matmul(a: NDArray, b: NDArray) -> NDArray:
-    """Contraction over the inner index: an equi-join and a sum with partial aggregation."""
+    """Contraction over the inner index, by dense tiles: cells move once into tiles, and tiles are what meets."""
     if a.ndim != 2 or b.ndim != 2 or a.shape[1] != b.shape[0]:
         raise ValueError("inner dimensions differ")
-    left = a.df.select(F.col("i0"), F.col("i1").alias("k"), F.col("v").alias("a"))
-    right = b.df.select(F.col("i0").alias("k"), F.col("i1"), F.col("v").alias("b"))
-    out = left.join(right, "k").groupBy("i0", "i1").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
-    return NDArray(out, (a.shape[0], b.shape[1]))
+    return Tiles.of_array(a).matmul(Tiles.of_array(b)).to_array()
 
 
 def dot(a: NDArray, b: NDArray):
@@ -57,8 +59,18 @@ def dot(a: NDArray, b: NDArray):
 
 
 def gram(df: DataFrame, columns: Sequence[str], target: str | None = None) -> np.ndarray:
-    """Sums of products of (1, columns, target): one aggregate over any number of rows, one row to the driver."""
+    """Sums of products of (1, columns, target): one scan of any number of rows, d x d numbers to the driver.
+
+    Few columns are one SQL aggregate; many are summed by Arrow batches, one d x d block a task, added in two levels.
+    There rows with a missing value are left out, and products are taken about the means first.
+    """
     names = [*columns, *([target] if target else [])]
+    if len(names) > SUMS_IN_SQL:
+        n, mean, about = moments(df, names)
+        one = np.concatenate(([1.0], mean))
+        out = n * np.outer(one, one)
+        out[1:, 1:] += about
+        return out
     cols = [F.lit(1.0), *[F.col(c).cast("double") for c in names]]
     d = len(cols)
     sums = df.agg(*[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)]).first()
@@ -165,24 +177,37 @@ def signed(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.where(vectors[at, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
 
 
-def svd(a: NDArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Thin U, singular values and transposed V."""
+def _as_rows(a: NDArray) -> tuple[DataFrame, Vectors]:
+    """(i0, x) of an array: a row's cells, which are at most ``MOST_COLUMNS``, as one array."""
+    if a.shape[1] > tsqr.MOST_COLUMNS:
+        raise ValueError(f"an array with both sides over {tsqr.MOST_COLUMNS} has no triangle that one task can hold")
+    cells = F.sort_array(F.collect_list(F.struct("i1", F.col("v").cast("double").alias("v"))))
+    return a.df.groupBy("i0").agg(F.transform(cells, lambda c: c["v"]).alias("x")), Vectors("x", a.shape[1])
+
+
+def svd(a: NDArray) -> tuple[NDArray, np.ndarray, NDArray]:
+    """Thin U, singular values and transposed V, by the triangles of partitions.
+
+    The longer side's vectors stay a distributed array. The shorter side's vectors have their largest component positive;
+    the others' are zero where the singular value is no more than rounding.
+    """
     if a.ndim != 2:
         raise ValueError("a 2-D array is needed")
-    u, s, vt = np.linalg.svd(to_numpy(a), full_matrices=False)
-    turned = signed(vt.T)
-    flips = np.sign((turned * vt.T).sum(axis=0))
-    return u * flips, s, turned.T
+    if a.shape[0] < a.shape[1]:
+        v, s, ut = svd(a.transpose())
+        return ut.transpose(), s, v.transpose()
+    rows, vectors = _as_rows(a)
+    left, s, vt = tsqr.svd(rows, vectors)
+    return NDArray(tsqr.exploded(left, "i0", "u"), a.shape), s, from_numpy(a.df.sparkSession, vt)
 
 
 def rank(a: NDArray) -> int:
-    """Number of singular values that are not tiny; tall arrays are reduced to their Gram matrix first."""
+    """Number of singular values above rounding."""
     if a.ndim != 2:
         raise ValueError("a 2-D array is needed")
-    if a.size <= DRIVER_CELLS:
-        return int(np.linalg.matrix_rank(to_numpy(a)))
-    small = matmul(a.transpose(), a) if a.shape[0] >= a.shape[1] else matmul(a, a.transpose())
-    return int(np.linalg.matrix_rank(to_numpy(small), hermitian=True))
+    if a.shape[0] < a.shape[1]:
+        return rank(a.transpose())
+    return tsqr.rank(*_as_rows(a), a.shape[0])
 
 
 def convolve(a: NDArray, kernel: Sequence[Sequence[float]], mode: str = "full") -> NDArray:
