@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gridloom.operators.blocks import folded, vector, whole
 
 #: Most clusters whose centres are sent to every task.
 MOST_CLUSTERS = 10_000
@@ -76,25 +79,48 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 def silhouette(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """One row with the mean silhouette by squared Euclidean distance as ``v``.
 
-    Mean squared distances to a cluster follow from its size, centre and mean squared
-    norm, so there is one small aggregate and no pairs of rows. A cluster of one scores 0.
+    Mean squared distances to a cluster follow from its size, centre and mean squared distance to it, so two scans add up
+    small blocks of numbers and no pairs of rows are made. A cluster of one scores 0. Rows with a missing
+    value or label are left out; no rows give null.
     """
-    square = sum((F.col(c) * F.col(c) for c in columns[1:]), F.col(columns[0]) * F.col(columns[0]))
-    stats = df.groupBy(F.col(label).alias("__c")).agg(F.count("*").alias("__n"), F.avg(square).alias("__q"), *[F.avg(c).alias(f"__m{i}") for i, c in enumerate(columns)])
-    if stats.count() > MOST_CLUSTERS:
+    own = df.where(whole(columns) & F.col(label).isNotNull()).select(F.col(label).alias("__c"), vector(columns).alias("__x"))
+    names = own.select("__c").distinct().limit(MOST_CLUSTERS + 1).collect()
+    if len(names) > MOST_CLUSTERS:
         raise ValueError("too many clusters to hold beside every row")
-    clusters = stats.agg(F.collect_list(F.struct(*stats.columns)).alias("__all"))  # one entry a cluster
-    joined = df.join(F.broadcast(clusters))
-
-    def distance(s: Column) -> Column:
-        inner = sum((F.col(c) * s[f"__m{i}"] for i, c in enumerate(columns[1:], 1)), F.col(columns[0]) * s["__m0"])
-        return square + s["__q"] - 2 * inner
-
-    own = F.element_at(F.filter("__all", lambda s: s["__c"] == F.col(label)), 1)
-    others = F.filter("__all", lambda s: s["__c"] != F.col(label))
-    n = own["__n"]
-    a = distance(own) * n / F.when(n > 1, n - 1)
-    b = F.array_min(F.transform(others, distance))
-    width = F.greatest(a, b)
-    s = F.when((n == 1) | (width == 0), F.lit(0.0)).otherwise((b - a) / F.when(width != 0, width))
-    return joined.select(s.alias("s")).agg(F.avg("s").alias("v"))
+    spark = df.sparkSession
+    if not names:
+        return spark.createDataFrame([(None,)], "v double")
+    numbers = spark.createDataFrame([(r["__c"], float(i)) for i, r in enumerate(names)], T.StructType([own.schema["__c"], T.StructField("__i", T.DoubleType())]))
+    rows = own.join(F.broadcast(numbers), "__c").select(F.concat(F.array("__i"), "__x").alias("x"))  # at most MOST_CLUSTERS numbers
+    k, d = len(names), len(columns)
+
+    def sums(s: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+        """Sizes, sums and squared norms by cluster."""
+        at = x[:, 0].astype(int)
+        out = np.zeros((k, d + 2))
+        np.add.at(out[:, 1:-1], at, x[:, 1:])
+        out[:, 0] = np.bincount(at, minlength=k)
+        out[:, -1] = np.bincount(at, (x[:, 1:] ** 2).sum(axis=1), k)
+        return out.ravel() if s is None else s + out.ravel()
+
+    add = lambda a, b: a + b
+    got = folded(rows, F.col("x"), d + 1, sums, add).reshape(k, d + 2)
+    n, centre = got[:, 0], got[:, 1:-1] / got[:, :1]
+    spread = np.maximum(got[:, -1] / n - (centre**2).sum(axis=1), 0)  # mean squared distance to the centre
+
+    def widths(s: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+        at, here = x[:, 0].astype(int), np.arange(len(x))
+        far = np.empty((len(x), k))
+        for c in range(k):
+            far[:, c] = ((x[:, 1:] - centre[c]) ** 2).sum(axis=1) + spread[c]
+        a = far[here, at] * n[at] / np.maximum(n[at] - 1, 1)
+        far[here, at] = np.inf
+        b = far.min(axis=1)
+        width = np.maximum(a, b)
+        scored = (n[at] > 1) & (width > 0)
+        each = np.where(scored & np.isfinite(b), (b - a) / np.where(scored, width, 1), 0.0)
+        out = np.array([each.sum(), float(len(x))])
+        return out if s is None else s + out
+
+    total = folded(rows, F.col("x"), d + 1, widths, add)
+    return spark.createDataFrame([(float(total[0] / total[1]),)], "v double")
