@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import elementwise as E
 from gridloom.functions import metrics
-from gridloom.operators import linalg
+from gridloom.operators import linalg, tsqr
 from gridloom.operators.array import NDArray, correlation
 from gridloom.operators.cluster import KMeans
 from gridloom.operators.decomposition import PCA
@@ -21,6 +21,7 @@ from gridloom.operators.optim import Adam, GradientDescent, StochasticGradientDe
 from gridloom.operators.order import with_position
 from gridloom.operators.preprocessing import MinMaxScaler, OneHotEncoder, StandardScaler, normalize_rows, polynomial_features
 from gridloom.operators.selection import cross_val_score, fold, select_k_best, train_test_split
+from gridloom.operators.tiles import Tiles
 from gridloom.sources import files
 from gridloom.sources.scratch import scratch_path
 
@@ -562,6 +563,36 @@ array_query("optimize_layout", f"WITH {A} SELECT i0, i1, v FROM a", lambda s, d:
 # linear algebra
 
 array_query("matmul", f"WITH {M} SELECT p.i1 AS i0, q.i1, round(sum(p.v * q.v), 2) AS v FROM m p JOIN m q ON p.i0 = q.i0 GROUP BY 1, 2", lambda s, d: linalg.matmul(tall(s, d).transpose(), tall(s, d)), 2)
+_FACTORS = f"""WITH g AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT {i} AS p, {j} AS q, sum({LINES[i]} * {LINES[j]}) AS s FROM lineitem" for i in range(4) for j in range(4))})),
+w AS (SELECT k, unnest(range(64)) AS j, unnest(e) AS v FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, embedding::DOUBLE[] AS e FROM embeddings QUALIFY k < 4))"""
+
+
+@query(f"{_FACTORS} SELECT a.j AS i0, b.j AS i1, round(sum(a.v * s * b.v) / 1e9, 4) AS v FROM g JOIN w a ON a.k = p JOIN w b ON b.k = q GROUP BY 1, 2")
+def tiled_products(spark, sf_dir):
+    """Line items (rows x 4) times four embeddings (4 x 64), and the Gram matrix of that: two products by tiles."""
+    lines_ = with_position(table(spark, sf_dir, "lineitem").select(*LINE_KEYS, *LINES), LINE_KEYS, "row")
+    v, names = _whole_vectors(spark, sf_dir)
+    few = with_position(v.orderBy("vec_id").limit(4), ["vec_id"], "row")
+    wide = Tiles.of_rows(lines_, "row", LINES, lines_.count()).matmul(Tiles.of_rows(few, "row", names, 4))
+    return rounded(wide.transpose().matmul(wide).to_array().df.withColumn("v", F.col("v") / 1e9), 4)
+
+
+_SPREAD = "sqrt((a - c) * (a - c) / 4 + b * b)"
+
+
+@query(
+    "WITH t AS (SELECT sum(p_size * p_size)::DOUBLE AS a, sum(p_size * p_retailprice) AS b, sum(p_retailprice * p_retailprice) AS c FROM part), "
+    f"u AS (SELECT (a + c) / 2 + {_SPREAD} AS p, (a * c - b * b) / ((a + c) / 2 + {_SPREAD}) AS q, b, a FROM t), "
+    "w AS (SELECT p, q, b / sqrt(b * b + (p - a) * (p - a)) AS x, (p - a) / sqrt(b * b + (p - a) * (p - a)) AS y FROM u) "
+    "SELECT p_partkey, round((p_size * x + p_retailprice * y) / sqrt(p), 6) AS u0, round((p_size * y - p_retailprice * x) / sqrt(q), 6) AS u1 FROM part, w"
+)
+def left_vectors_parts(spark, sf_dir):
+    """Left singular vectors of parts' sizes and prices: the triangle of all rows, then one pass."""
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    u, _, _ = tsqr.svd(df, ["p_size", "p_retailprice"])
+    return rounded(u.select("p_partkey", F.col("u")[0].alias("u0"), F.col("u")[1].alias("u1")), 6)
+
+
 array_query("dot", f"WITH {X} SELECT sum(v * v) AS v FROM x", lambda s, d: linalg.dot(vector(s, d), vector(s, d)))
 array_query("convolve_same", f"WITH {A}, k AS (SELECT * FROM (VALUES (0,0,1.0),(0,1,2.0),(1,0,-1.0),(2,2,0.5)) t(p, q, w)) SELECT i0 + p - 1 AS i0, i1 + q - 1 AS i1, sum(v * w)::DOUBLE AS v FROM a, k WHERE i0 + p - 1 BETWEEN 0 AND 24 AND i1 + q - 1 BETWEEN 0 AND 24 GROUP BY 1, 2", lambda s, d: NDArray(linalg.convolve(square(s, d), [[1, 2, 0], [-1, 0, 0], [0, 0, 0.5]], "same").df.where("v is not null"), (25, 25)))
 for _mode, _shift, _last in (("full", 0, 26), ("valid", 2, 22)):
@@ -625,7 +656,7 @@ def lu_svd_rank(spark, sf_dir):
     a = square(spark, sf_dir) + NDArray.eye(spark, 25) * 30
     low, up, p = linalg.lu(a)
     u, sigma, vt = linalg.svd(a)
-    x = linalg.to_numpy(a)
+    u, vt, x = (linalg.to_numpy(m) for m in (u, vt, a))
     off = float(np.abs(linalg.to_numpy(low) @ linalg.to_numpy(up) - linalg.to_numpy(p) @ x).max())
     return spark.createDataFrame([(linalg.rank(a), bool(off < 1e-9), bool(np.abs(u * sigma @ vt - x).max() < 1e-9))], "rank int, lu boolean, svd boolean")
 
@@ -848,7 +879,26 @@ def kmeans_seeded(spark, sf_dir):
     return KMeans(names, 3, max_iter=10).fit_predict(df).select("vec_id", "prediction")
 
 
-@query()
+def _axis(n: str, cov: str, squarings: int = 26) -> str:
+    """x{n}(i, v): the leading unit eigenvector of a covariance table, its largest entry positive, by squaring the matrix over and over."""
+    out = [f"p{n}0 AS MATERIALIZED (SELECT i, j, v / (SELECT sqrt(sum(v * v)) FROM {cov}) AS v FROM {cov})"]
+    for r in range(squarings):
+        out.append(f"q{n}{r} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM p{n}{r} a JOIN p{n}{r} b ON a.j = b.i GROUP BY 1, 2)")
+        out.append(f"p{n}{r + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sqrt(sum(v * v)) FROM q{n}{r}) AS v FROM q{n}{r})")
+    last = f"p{n}{squarings}"
+    out.append(f"x{n} AS MATERIALIZED (SELECT i, v / sqrt((SELECT v FROM {last} WHERE i = k AND j = k)) AS v FROM {last}, (SELECT arg_max(i, v) AS k FROM {last} WHERE i = j) WHERE j = k)")
+    return ", ".join(out)
+
+
+_PCA = f"""WITH {_V}, e AS MATERIALIZED (SELECT vec_id, unnest(range({_WIDTH})) AS i, unnest(e) AS v FROM v),
+z AS MATERIALIZED (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY i) AS v FROM e),
+c0m AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) / (count(*) - 1) AS v FROM z a JOIN z b USING (vec_id) GROUP BY 1, 2), {_axis("a", "c0m")},
+l0 AS (SELECT sum(x.v * c.v * y.v) AS v FROM c0m c JOIN xa x ON x.i = c.i JOIN xa y ON y.i = c.j),
+c1m AS MATERIALIZED (SELECT c.i, c.j, c.v - (SELECT v FROM l0) * x.v * y.v AS v FROM c0m c JOIN xa x ON x.i = c.i JOIN xa y ON y.i = c.j), {_axis("b", "c1m")}
+SELECT vec_id, round(sum(z.v * xa.v), 6) AS pc0, round(sum(z.v * xb.v), 6) AS pc1 FROM z JOIN xa USING (i) JOIN xb USING (i) GROUP BY vec_id"""
+
+
+@query(_PCA)
 def pca(spark, sf_dir):
     df, names = _whole_vectors(spark, sf_dir)
     return rounded(PCA(names, 2).fit_transform(df).select("vec_id", "pc0", "pc1"), 6)

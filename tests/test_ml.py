@@ -81,10 +81,7 @@ def test_kmeans_and_pca(spark):
     assert np.allclose(column(p.inverse_transform(p.transform(wide)), "a"), x[:, 0])
 
 
-def test_neighbors(spark, monkeypatch):
-    from gridloom.operators import neighbors
-
-    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 2)
+def test_neighbors(spark):
     train = spark.createDataFrame([(1, 0.0, 0), (2, 1.0, 0), (3, 5.0, 1), (4, 6.0, 1)], "k int, x double, y int")
     test = spark.createDataFrame([(10, 0.4, 0), (11, 5.4, 1)], "k int, x double, y int")
     c = KNeighborsClassifier(["x"], "y", "k", 2).fit(train)
