@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.operators.blocks import folded, vector, whole
+from gridloom.operators.blocks import Vectors, folded, vector, whole
 
 #: Most clusters whose centres are sent to every task.
 MOST_CLUSTERS = 10_000
@@ -76,7 +76,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return all_.select(F.when(top == expected, F.lit(1.0)).otherwise((F.col("ij") - expected) / F.when(top != expected, top - expected)).alias("v"))
 
 
-def silhouette(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+def silhouette(df: DataFrame, columns: Sequence[str] | Vectors, label: str) -> DataFrame:
     """One row with the mean silhouette by squared Euclidean distance as ``v``.
 
     Mean squared distances to a cluster follow from its size, centre and mean squared distance to it, so two scans add up

@@ -40,8 +40,11 @@ def vector(columns: Sequence[str | Column] | Vectors) -> Column:
     return F.array(*[(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns])
 
 
-def whole(columns: Sequence[str]) -> Column:
-    """Whether a row has all of the columns; null and NaN are missing."""
+def whole(columns: Sequence[str] | Vectors) -> Column:
+    """Whether a row has all of the columns, or a vector of the right length; null and NaN are missing."""
+    if isinstance(columns, Vectors):
+        v = F.col(columns.column)
+        return F.coalesce((F.size(v) == columns.d) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))), F.lit(False))
     out = F.lit(True)
     for c in columns:
         out = out & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
@@ -125,7 +128,7 @@ def _moments_merged(a: State, b: State) -> State:
     return out
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+def moments(df: DataFrame, columns: Sequence[str] | Vectors) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of rows, means, and sums of products about the means: one scan, one d x d state a task.
 
     Rows with a missing value in any column are left out.

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.operators.blocks import CELLS, folded, matrix, tree_merged, vector, whole
+from gridloom.operators.blocks import CELLS, Vectors, folded, matrix, tree_merged, vector, whole
 from gridloom.sources.package import ship
 from gridloom.sources.scratch import staged
 
@@ -178,7 +178,7 @@ class KMeans:
     keeps bounds from BOUNDED_FROM clusters on. ``measured`` has, for every round, the rows that were compared with all centres.
     """
 
-    columns: Sequence[str]
+    columns: Sequence[str] | Vectors
     k: int = 8
     max_iter: int = 300
     tol: float = 1e-4

@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.blocks import moments
+from gridloom.operators import tsqr
+from gridloom.operators.blocks import Vectors, moments
 from gridloom.operators.linalg import signed
 
 
@@ -17,7 +18,7 @@ from gridloom.operators.linalg import signed
 class PCA:
     """Components are unit rows, the largest entry of each positive. Rows with a missing value are left out of the fit."""
 
-    columns: Sequence[str]
+    columns: Sequence[str] | Vectors
     n: int = 2
     components: np.ndarray | None = None
     mean: np.ndarray | None = None
@@ -42,6 +43,10 @@ class PCA:
     def transform(self, df: DataFrame, prefix: str = "pc") -> DataFrame:
         if self.components is None:
             raise RuntimeError("fit the model first")
+        if isinstance(self.columns, Vectors):
+            shifted = tsqr.times(df, self.columns, self.components.T, "__pc")
+            at = self.components @ self.mean
+            return shifted.withColumns({f"{prefix}{k}": F.col("__pc")[k] - float(at[k]) for k in range(self.n)}).drop("__pc")
         new = {}
         for k, axis in enumerate(self.components):
             new[f"{prefix}{k}"] = sum(((F.col(c) - float(m)) * float(a) for c, m, a in zip(self.columns, self.mean, axis, strict=True)), F.lit(0.0))
@@ -50,6 +55,10 @@ class PCA:
     def inverse_transform(self, df: DataFrame, prefix: str = "pc") -> DataFrame:
         if self.components is None:
             raise RuntimeError("fit the model first")
+        if isinstance(self.columns, Vectors):
+            back = tsqr.times(df, [f"{prefix}{k}" for k in range(self.n)], self.components, "__x")
+            mean = F.array(*[F.lit(float(m)) for m in self.mean])
+            return back.withColumn(self.columns.column, F.zip_with("__x", mean, lambda a, m: a + m)).drop("__x")
         new = {}
         for j, c in enumerate(self.columns):
             new[c] = sum((F.col(f"{prefix}{k}") * float(self.components[k, j]) for k in range(self.n)), F.lit(float(self.mean[j])))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions import metrics
-from gridloom.operators.blocks import State, matrix, state_batch, tree_merged, vector, whole
+from gridloom.operators.blocks import State, Vectors, matrix, state_batch, tree_merged, vector, whole
 from gridloom.sources.package import ship
 from gridloom.sources.scratch import staged
 
@@ -187,7 +187,7 @@ def _nearest(k: int, d: int):
 
 @dataclass
 class _Neighbors:
-    columns: Sequence[str]
+    columns: Sequence[str] | Vectors
     target: str
     key: str
     k: int = 5

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.operators.blocks import Vectors, folded, matrix, vector
+from gridloom.operators.blocks import Vectors, folded, matrix, vector, whole
 from gridloom.sources.package import ship
 
 #: Most columns: a triangle of them is half a gigabyte.
@@ -46,18 +46,21 @@ def triangle(df: DataFrame, columns: Sequence[str] | Vectors) -> np.ndarray:
 
 
 def times(df: DataFrame, columns: Sequence[str] | Vectors, y: np.ndarray, name: str = "u") -> DataFrame:
-    """df with ``name``, the row's product with a small matrix y, as an array: one pass."""
+    """df with ``name``, the row's product with a small matrix y, as an array: one pass. Null where the row has a missing value."""
     d, own = len(columns), [c for c in df.columns if c != name]
     schema = T.StructType([*[df.schema[c] for c in own], T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = matrix(b.column(len(own)), d) @ y
-            offsets = pa.array(np.arange(len(out) + 1) * y.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=[*own, name])
+            vectors = b.column(len(own))
+            known = np.asarray(vectors.is_valid())
+            out = matrix(vectors.filter(pa.array(known)), d) @ y
+            offsets = np.concatenate(([0], np.cumsum(known))) * y.shape[1]
+            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out.ravel()), mask=pa.array(~known))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], made], names=[*own, name])
 
     ship(df.sparkSession)
-    return df.select(*own, vector(columns).alias("__x")).mapInArrow(run, schema)
+    return df.select(*own, F.when(whole(columns), vector(columns)).alias("__x")).mapInArrow(run, schema)
 
 
 def singular_values(df: DataFrame, columns: Sequence[str] | Vectors) -> np.ndarray:

@@ -12,6 +12,7 @@ from gridloom.functions import elementwise as E
 from gridloom.functions import metrics
 from gridloom.operators import linalg, tsqr
 from gridloom.operators.array import NDArray, correlation
+from gridloom.operators.blocks import Vectors
 from gridloom.operators.cluster import KMeans
 from gridloom.operators.decomposition import PCA
 from gridloom.operators.frame import Frame
@@ -830,6 +831,12 @@ def _whole_vectors(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     return df.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(e) for i, e in enumerate(names)]), names
 
 
+def _vectors(spark, sf_dir) -> tuple[DataFrame, Vectors]:
+    """(vec_id, label, embedding), and the embeddings as vectors."""
+    df = table(spark, sf_dir, "embeddings")
+    return df, Vectors("embedding", df.select(F.size("embedding")).first()[0])
+
+
 #: Components of an embedding, and three centres over all of them.
 _WIDTH = 64
 _CENTERS = [[((7 * k + 3 * i) % 11 - 5) / 25 for i in range(_WIDTH)] for k in range(3)]
@@ -849,33 +856,33 @@ def _lloyd(rounds: int) -> str:
 
 @query(f"{_lloyd(1)} SELECT vec_id, k AS prediction FROM a1")
 def kmeans_assign(spark, sf_dir):
-    df, names = _whole_vectors(spark, sf_dir)
+    df, names = _vectors(spark, sf_dir)
     return KMeans(names, 3, centers=np.array(_CENTERS)).predict(df).select("vec_id", "prediction")
 
 
 @query(f"{_lloyd(1)} SELECT k::INT AS cluster, i::INT AS component, round(c[i + 1], 6) AS v FROM c1, range({_WIDTH}) t(i)")
 def kmeans_step(spark, sf_dir):
-    df, names = _whole_vectors(spark, sf_dir)
+    df, names = _vectors(spark, sf_dir)
     m = KMeans(names, 3, max_iter=1).fit(df, _CENTERS)
     return rounded(spark.createDataFrame([(k, i, float(x)) for k, c in enumerate(m.centers) for i, x in enumerate(c)], "cluster int, component int, v double"), 6)
 
 
 @query(f"{_lloyd(1)} SELECT round(sum(d * d), 4) AS v FROM a1")
 def kmeans_inertia(spark, sf_dir):
-    df, names = _whole_vectors(spark, sf_dir)
+    df, names = _vectors(spark, sf_dir)
     return rounded(KMeans(names, 3, centers=np.array(_CENTERS)).inertia(df))
 
 
 @query(f"{_lloyd(7)} SELECT vec_id, k AS prediction FROM a7")
 def kmeans_fit(spark, sf_dir):
     """Six rounds from given centres, then the assignment to the last ones."""
-    df, names = _whole_vectors(spark, sf_dir)
+    df, names = _vectors(spark, sf_dir)
     return KMeans(names, 3, max_iter=6, tol=0.0).fit(df, _CENTERS).predict(df).select("vec_id", "prediction")
 
 
 @query()
 def kmeans_seeded(spark, sf_dir):
-    df, names = _whole_vectors(spark, sf_dir)
+    df, names = _vectors(spark, sf_dir)
     return KMeans(names, 3, max_iter=10).fit_predict(df).select("vec_id", "prediction")
 
 
@@ -900,7 +907,7 @@ SELECT vec_id, round(sum(z.v * xa.v), 6) AS pc0, round(sum(z.v * xb.v), 6) AS pc
 
 @query(_PCA)
 def pca(spark, sf_dir):
-    df, names = _whole_vectors(spark, sf_dir)
+    df, names = _vectors(spark, sf_dir)
     return rounded(PCA(names, 2).fit_transform(df).select("vec_id", "pc0", "pc1"), 6)
 
 
@@ -920,9 +927,9 @@ def pca_parts(spark, sf_dir):
 _NEAR = f"WITH {_V}, n AS (SELECT q.vec_id AS q, t.label AS y, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, t.e), t.vec_id) AS r FROM v q, v t WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0)"
 
 
-def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
+def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame, Vectors]:
     """Every fifth vector is asked for, all others are learned from."""
-    v, names = _whole_vectors(spark, sf_dir)
+    v, names = _vectors(spark, sf_dir)
     return v.where(F.col("vec_id") % 5 != 0), v.where(F.col("vec_id") % 5 == 0), names
 
 
@@ -969,7 +976,7 @@ def adjusted_rand(spark, sf_dir):
     "SELECT round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS v FROM m"
 )
 def silhouette(spark, sf_dir):
-    df, names = _whole_vectors(spark, sf_dir)
+    df, names = _vectors(spark, sf_dir)
     return rounded(metrics.silhouette(df, names, "label"), 6)
 
 
