@@ -12,11 +12,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import tsqr
+from gridloom.operators import factor, tsqr
 from gridloom.operators.array import DRIVER_CELLS, NDArray
 from gridloom.operators.blocks import Vectors, moments
 from gridloom.operators.tiles import Tiles
 
+#: Cells up to which a square array is solved as one numpy array.
+SOLVED_WHOLE = 250_000
 #: Columns up to which sums of products are plain SQL sums.
 SUMS_IN_SQL = 12
 #: Pivots below this are taken as zero.
@@ -126,7 +128,11 @@ def lu_arrays(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def lu(a: NDArray) -> tuple[NDArray, NDArray, NDArray]:
-    """L, U and the row permutation P of a square array."""
+    """L, U and the row permutation P of a square array; a large one is factored where it lies, panel by panel."""
+    if a.size > SOLVED_WHOLE:
+        f = factor.lu(factor.rows_of(a))
+        places = f.permutation().select(F.col("place").alias("i0"), "row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(f.n - 1).cast("long"))).alias("i1"))
+        return f.lower(), f.upper(), NDArray(places.select("i0", "i1", (F.col("i1") == F.col("row")).cast("double").alias("v")), a.shape)
     p, low, up = lu_arrays(_square(a))
     spark = a.df.sparkSession
     return from_numpy(spark, low), from_numpy(spark, up), from_numpy(spark, p)
@@ -144,11 +150,19 @@ def solve_checked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def inverse(a: NDArray) -> NDArray:
+    """The inverse; of a large array by sweeping panels out of its rows where they lie."""
+    if a.size > SOLVED_WHOLE:
+        return factor.inverse(factor.rows_of(a))
     x = _square(a)
     return from_numpy(a.df.sparkSession, solve_checked(x, np.eye(len(x))))
 
 
 def determinant(a: NDArray) -> float:
+    """The determinant; infinite if it is beyond a double (``factor.determinant`` gives its logarithm)."""
+    if a.size > SOLVED_WHOLE:
+        sign, log = factor.determinant(factor.rows_of(a))
+        with np.errstate(over="ignore"):
+            return float(sign * np.exp(log)) if sign else 0.0
     x = _square(a)
     try:
         p, _, up = lu_arrays(x)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.blocks import matrix, state_batch, tree_merged, vector, whole
+from gridloom.sources.package import ship
+from gridloom.sources.scratch import dropped, staged
+
 Cost = Callable[[np.ndarray], float]
 Gradient = Callable[[np.ndarray], np.ndarray]
 
@@ -33,27 +38,81 @@ class GradientDescent:
 
 @dataclass
 class StochasticGradientDescent:
-    """Passes over batches of about ``batch_size`` rows; a batch is the rows whose key falls into its residue class."""
+    """Passes over batches of about ``batch_size`` rows; a batch is the rows whose key falls into its residue class.
+
+    Rows are laid out once: batches lie one after another in the partitions of a staged table, each whole in one of them.
+    A pass is one scan: every task walks its batches from the model that the pass began with, and the models of the tasks are averaged by their
+    rows, in two levels. With one worker the batches follow each other as on one machine.
+    """
 
     lr: float = 0.01
     max_iter: int = 100
     batch_size: int = 32
     tol: float = 1e-6
-
-    def minimize(self, data: DataFrame, key: str, gradient: Callable[[DataFrame, np.ndarray], np.ndarray], start: Sequence[float]) -> np.ndarray:
-        if self.batch_size < 1:
-            raise ValueError("a batch needs a row")
+    #: Tasks that walk batches side by side.
+    workers: int = 1
+    scans: int = 0
+
+    def minimize(self, data: DataFrame, key: str, columns: Sequence[str], gradient: Callable[[np.ndarray, np.ndarray], np.ndarray], start: Sequence[float]) -> np.ndarray:
+        """gradient(rows, x): the gradient at x over a batch's rows, an array with the columns in order. Rows with a missing value are left out."""
+        if self.batch_size < 1 or self.workers < 1:
+            raise ValueError("a batch needs a row, and a pass a worker")
+        ship(data.sparkSession)
+        own = data.where(whole(columns))
+        batches = max(1, -(-own.count() // self.batch_size))
+        workers, d = min(self.workers, batches), len(columns)
+        batch = F.pmod(F.col(key), F.lit(batches)).alias("b")
+        share = F.floor(F.col("b") * workers / batches).cast("int").alias("w")
+        laid = own.select(batch, F.col(key).alias("k"), vector(columns).alias("x")).select(share, "b", "k", "x")
+        rows = staged(laid.repartition(workers, "w").sortWithinPartitions("w", "b", "k", "x").select("w", "b", "x"), "sgd-batches")
         x = np.array(start, float)
-        batches = max(1, -(-data.count() // self.batch_size))
-        for _ in range(self.max_iter):
-            before = x.copy()
-            for b in range(batches):
-                x = x - self.lr * np.asarray(gradient(data.where(F.pmod(F.col(key), F.lit(batches)) == b), x), float)
-            if np.linalg.norm(x - before) < self.tol:
-                break
+        self.scans = 1
+        try:
+            for _ in range(self.max_iter):
+                walked = rows.repartition(workers, "w").sortWithinPartitions("w", "b") if workers > 1 else rows.coalesce(1).sortWithinPartitions("b")
+                got = tree_merged(walked.mapInArrow(_walked(gradient, x, self.lr, d), "v binary"), lambda a, b: a + b)
+                self.scans += 1
+                if got is None:
+                    break
+                new = got[1:] / got[0]
+                moved = np.linalg.norm(new - x)
+                x = new
+                if moved < self.tol:
+                    break
+        finally:
+            dropped(rows)
         return x
 
 
+def _walked(gradient: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, lr: float, d: int):
+    """Rows sorted by worker and batch: (rows, rows * model) of each worker after its last batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, x, seen = None, [], start, 0
+
+        def stepped() -> np.ndarray:
+            return x - lr * np.asarray(gradient(np.vstack(parts), x), float) if parts else x
+
+        for b in batches:
+            w, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cells = matrix(b.column(2), d)
+            cuts = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (n[1:] != n[:-1])))
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(w)), strict=True):
+                if at != (w[lo], n[lo]):
+                    x, parts = stepped(), []
+                    if at is not None and at[0] != w[lo]:
+                        yield state_batch(np.append(seen, seen * x))
+                        x, seen = start, 0
+                    at = (w[lo], n[lo])
+                parts.append(cells[lo:hi])
+                seen += hi - lo
+        if seen:
+            x = stepped()
+            yield state_batch(np.append(seen, seen * x))
+
+    return run
+
+
 @dataclass
 class Adam:
     """Moment-scaled steps (Kingma and Ba)."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import elementwise as E
 from gridloom.functions import metrics
-from gridloom.operators import linalg, tsqr
+from gridloom.operators import factor, linalg, tsqr
 from gridloom.operators.array import NDArray, correlation
 from gridloom.operators.blocks import Vectors
 from gridloom.operators.cluster import KMeans
@@ -578,6 +578,42 @@ def tiled_products(spark, sf_dir):
     return rounded(wide.transpose().matmul(wide).to_array().df.withColumn("v", F.col("v") / 1e9), 4)
 
 
+#: A square array that grows with supplier: a diagonal and a product of two columns.
+_BORDERED = """s AS (
+  SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, (2 + s_suppkey % 11)::DOUBLE AS d, 1 + (s_suppkey % 7) / 7.0::DOUBLE AS u, (1 + s_nationkey) / 100.0::DOUBLE AS v FROM supplier
+), t AS (SELECT 1 + sum(u * v / d) AS t FROM s)"""
+
+
+def bordered(spark, sf_dir) -> DataFrame:
+    """(row, x) of that array."""
+    s = table(spark, sf_dir, "supplier")
+    placed = with_position(s.select("s_suppkey", (2.0 + F.col("s_suppkey") % 11).alias("d"), (1 + (F.col("s_suppkey") % 7) / 7.0).alias("u"), ((1 + F.col("s_nationkey")) / 100.0).alias("v")), ["s_suppkey"], "row")
+    across = placed.agg(F.sort_array(F.collect_list(F.struct("row", "v"))).alias("all"))  # one row of the array
+    cell = lambda e, j: F.col("u") * e["v"] + F.when(j == F.col("row"), F.col("d")).otherwise(0.0)
+    return placed.join(F.broadcast(across)).select("row", F.transform("all", cell).alias("x"))
+
+
+@query(f"WITH {_BORDERED} SELECT a.i AS i0, b.i AS i1, round((a.i = b.i)::INT / a.d - a.u / a.d * b.v / b.d / t, 8) AS v FROM s a, s b, t")
+def blocked_inverse(spark, sf_dir):
+    """Every cell of the inverse, panels of 32 columns swept out; SQL has it in closed form."""
+    return rounded(factor.inverse(bordered(spark, sf_dir), 32).df, 8)
+
+
+@query(f"WITH {_BORDERED} SELECT 1 AS sign, round(sum(ln(d)) + ln(any_value(t)), 6) AS log FROM s, t")
+def blocked_determinant(spark, sf_dir):
+    sign, log = factor.determinant(bordered(spark, sf_dir), 32)
+    return spark.createDataFrame([(sign, round(log, 6))], "sign int, log double")
+
+
+@query(f"WITH {_BORDERED} SELECT a.i AS \"row\", round(sum(a.u * b.v + (a.i = b.i)::INT * a.d), 6) AS total, round(sum(pow(a.u * b.v + (a.i = b.i)::INT * a.d, 2)), 6) AS squares FROM s a, s b GROUP BY 1")
+def blocked_lu(spark, sf_dir):
+    """Sums and squares of the rows of L U, each under the number of the row that it factors."""
+    f = factor.lu(bordered(spark, sf_dir), 32)
+    back = Tiles.of_array(f.lower(), 64).matmul(Tiles.of_array(f.upper(), 64)).to_array().df
+    named = back.join(f.permutation(), F.col("i0") == F.col("place"))
+    return rounded(named.groupBy("row").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares")), 6)
+
+
 _SPREAD = "sqrt((a - c) * (a - c) / 4 + b * b)"
 
 
@@ -905,6 +941,25 @@ c1m AS MATERIALIZED (SELECT c.i, c.j, c.v - (SELECT v FROM l0) * x.v * y.v AS v
 SELECT vec_id, round(sum(z.v * xa.v), 6) AS pc0, round(sum(z.v * xb.v), 6) AS pc1 FROM z JOIN xa USING (i) JOIN xb USING (i) GROUP BY vec_id"""
 
 
+_LEADING = f"""WITH {_V}, e AS MATERIALIZED (SELECT vec_id, unnest(range({_WIDTH})) AS i, unnest(e) AS v FROM v),
+c0m AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2), {_axis("a", "c0m")},
+l0 AS (SELECT sum(x.v * c.v * y.v) AS v FROM c0m c JOIN xa x ON x.i = c.i JOIN xa y ON y.i = c.j),
+c1m AS MATERIALIZED (SELECT c.i, c.j, c.v - (SELECT v FROM l0) * x.v * y.v AS v FROM c0m c JOIN xa x ON x.i = c.i JOIN xa y ON y.i = c.j), {_axis("b", "c1m")},
+l1 AS (SELECT sum(x.v * c.v * y.v) AS v FROM c0m c JOIN xb x ON x.i = c.i JOIN xb y ON y.i = c.j)
+SELECT 0 AS place, round(v, 5) AS value, true AS exact FROM l0 UNION ALL SELECT 1, round(v, 5), true FROM l1"""
+
+
+@query(_LEADING)
+def leading_eigen(spark, sf_dir):
+    """The two largest eigenvalues of the array of all inner products of embeddings (as large as their number squared)."""
+    df, vectors = _vectors(spark, sf_dir)
+    placed = with_position(df.select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(vectors.d)]), ["vec_id"], "row")
+    n = placed.count()
+    x = Tiles.of_rows(placed, "row", [f"e{i}" for i in range(vectors.d)], n)
+    values, _, residuals = factor.leading_eigen(factor.rows_of(x.matmul(x.transpose()).to_array()), n, 2)
+    return spark.createDataFrame([(k, round(float(v), 5), bool(r < 1e-8 * values[0])) for k, (v, r) in enumerate(zip(values, residuals, strict=True))], "place int, value double, exact boolean")
+
+
 @query(_PCA)
 def pca(spark, sf_dir):
     df, names = _vectors(spark, sf_dir)
@@ -1027,20 +1082,44 @@ def optimizers(spark, sf_dir):
     def gradient(x: np.ndarray) -> np.ndarray:
         return 2 * (x - mean)
 
-    def batch(part: DataFrame, x: np.ndarray) -> np.ndarray:
-        row = part.agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b")).first()
-        return 2 * (x - np.array([row["a"], row["b"]], float))
+    def batch(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return 2 * (x - rows.mean(axis=0))
 
     cost = lambda x: float(((x - mean) ** 2).sum())
     got = {
         "gradient_descent": GradientDescent(lr=0.1).minimize(cost, gradient, [0, 0]),
         "adam": Adam(lr=0.01, max_iter=500).minimize(cost, gradient, [0, 0]),
-        "sgd": StochasticGradientDescent(lr=0.2, max_iter=3, batch_size=-(-df.count() // 4)).minimize(df, "l_orderkey", batch, [0, 0]),
+        "sgd": StochasticGradientDescent(lr=0.2, max_iter=3, batch_size=-(-df.count() // 4)).minimize(df, "l_orderkey", ["l_discount", "l_tax"], batch, [0, 0]),
     }
     df.unpersist()
     return rounded(spark.createDataFrame([(n, float(x[0]), float(x[1])) for n, x in got.items()], "optimizer string, x double, y double"), 3)
 
 
+#: Averages of a line x of quantities (in fifties) and prices y (in ten thousands), and steps of two minimisers of mean((p + q x - y)^2).
+_LINE = "s AS (SELECT avg(l_quantity / 50) AS x, avg(l_quantity * l_quantity / 2500) AS xx, avg(l_extendedprice / 1e4) AS y, avg(l_quantity * l_extendedprice / 5e5) AS xy FROM lineitem)"
+_SLOPES = "2 * (p + q * x - y) AS g, 2 * (p * x + q * xx - xy) AS h"
+
+
+@query(
+    f"WITH RECURSIVE {_LINE}, d AS (SELECT 0 AS r, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q UNION ALL SELECT r + 1, p - 0.2 * g, q - 0.2 * h FROM (SELECT r, p, q, {_SLOPES} FROM d, s WHERE r < 6)), "
+    "a AS (SELECT 0 AS r, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q, 0.0::DOUBLE AS mp, 0.0::DOUBLE AS mq, 0.0::DOUBLE AS vp, 0.0::DOUBLE AS vq UNION ALL "
+    "SELECT r, p - 0.3 * mp / (1 - pow(0.9, r)) / (sqrt(vp / (1 - pow(0.999, r))) + 1e-8), q - 0.3 * mq / (1 - pow(0.9, r)) / (sqrt(vq / (1 - pow(0.999, r))) + 1e-8), mp, mq, vp, vq FROM ("
+    f"SELECT r + 1 AS r, p, q, 0.9 * mp + 0.1 * g AS mp, 0.9 * mq + 0.1 * h AS mq, 0.999 * vp + 0.001 * g * g AS vp, 0.999 * vq + 0.001 * h * h AS vq FROM (SELECT *, {_SLOPES} FROM a, s WHERE r < 6))) "
+    "SELECT 'gradient_descent' AS optimizer, round(p, 6) AS p, round(q, 6) AS q FROM d WHERE r = 6 UNION ALL SELECT 'adam', round(p, 6), round(q, 6) FROM a WHERE r = 6"
+)
+def descents_on_lines(spark, sf_dir):
+    """Six steps of gradient descent and of Adam on a line through all line items; every step's gradient is one pass over them."""
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("x"), (F.col("l_extendedprice") / 1e4).alias("y"))
+
+    def gradient(at: np.ndarray) -> np.ndarray:
+        off = float(at[0]) + float(at[1]) * F.col("x") - F.col("y")
+        return np.array(df.agg(2 * F.avg(off), 2 * F.avg(off * F.col("x"))).first(), float)
+
+    cost = lambda at: float(df.agg(F.avg((float(at[0]) + float(at[1]) * F.col("x") - F.col("y")) ** 2)).first()[0])
+    got = {"gradient_descent": GradientDescent(lr=0.2, max_iter=6, tol=0.0), "adam": Adam(lr=0.3, max_iter=6, tol=0.0)}
+    return rounded(spark.createDataFrame([(n, *map(float, m.minimize(cost, gradient, [0, 0]))) for n, m in got.items()], "optimizer string, p double, q double"), 6)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

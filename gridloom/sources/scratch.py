@@ -28,8 +28,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete a staged table that nothing will read again; other tables are left alone."""
+    path = df.__dict__.pop("_staged_at", None)
+    if path is not None:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written and read back: computed once, whatever is lost later."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out

@@ -117,5 +117,27 @@ def test_selection_and_optimisers(spark):
     cost, grad = lambda x: ((x - goal) ** 2).sum(), lambda x: 2 * (x - goal)
     assert np.allclose(GradientDescent(lr=0.1).minimize(cost, grad, [0, 0]), goal, atol=1e-3)
     assert np.allclose(Adam(lr=0.05, max_iter=2000).minimize(cost, grad, [0, 0]), goal, atol=1e-2)
-    step = lambda part, x: np.array([2 * (x[0] - part.agg(F.avg("x")).first()[0])])
-    assert StochasticGradientDescent(lr=0.4, max_iter=8, batch_size=100).minimize(df, "id", step, [0])[0] == pytest.approx(99.5, abs=1)
+    step = lambda rows, x: 2 * (x - rows.mean(axis=0))
+    assert StochasticGradientDescent(lr=0.4, max_iter=8, batch_size=100).minimize(df, "id", ["x"], step, [0])[0] == pytest.approx(99.5, abs=1)
+
+
+@pytest.mark.parametrize("workers", [1, 3])
+def test_batches_are_walked_in_one_scan_a_pass(spark, workers):
+    """Every worker walks its batches in order; models are averaged by rows."""
+    rng = np.random.default_rng(1)
+    y = rng.normal(size=103)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "id long, y double").repartition(5)
+    m = StochasticGradientDescent(lr=0.3, max_iter=4, batch_size=10, tol=0.0, workers=workers)
+    got = m.minimize(df, "id", ["y"], lambda rows, x: 2 * (x - rows.mean(axis=0)), [5.0])
+    batches = 11
+    x = 5.0
+    for _ in range(4):
+        models = []
+        for w in range(workers):
+            at, n = x, 0
+            for b in (b for b in range(batches) if b * workers // batches == w):
+                at -= 0.3 * 2 * (at - y[b::batches].mean())
+                n += len(y[b::batches])
+            models.append((n, at))
+        x = sum(n * at for n, at in models) / sum(n for n, _ in models)
+    assert got[0] == pytest.approx(x) and m.scans == 5
