@@ -38,8 +38,9 @@ def with_position(df: DataFrame, keys: Sequence[str | Column], name: str = "_rid
     within = F.col("__at") - F.shiftleft(part, 33)
     if not offsets:
         return placed.withColumn(name, within).drop("__at")
-    base = F.create_map(*[F.lit(x).cast("long") for kv in offsets.items() for x in kv])
-    return placed.withColumn(name, within + F.element_at(base, part)).drop("__at")
+    begins = df.sparkSession.createDataFrame(list(offsets.items()), "__part long, __begin long")  # two numbers a partition
+    out = [c for c in placed.columns if c not in ("__at", name)]
+    return placed.withColumn("__part", part).join(F.broadcast(begins), "__part").select(*[F.col(f"`{c}`") for c in out], (within + F.col("__begin")).alias(name))
 
 
 def first_rows(df: DataFrame, n: int, keys: Sequence[str | Column], last: bool = False) -> DataFrame:
