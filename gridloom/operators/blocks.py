@@ -111,13 +111,13 @@ def folded(df: DataFrame, vectors: Column, d: int, step: Callable[[State | None,
 # moments: (number, means, sums of products about the means), merged pairwise without cancellation
 
 
-def _moments_of(x: np.ndarray) -> State:
+def moments_of(x: np.ndarray) -> State:
     mean = x.mean(axis=0)
     c = x - mean
     return np.concatenate(([float(len(x))], mean, (c.T @ c).ravel()))
 
 
-def _moments_merged(a: State, b: State) -> State:
+def moments_merged(a: State, b: State) -> State:
     d = round(((len(a) - 1) + 0.25) ** 0.5 - 0.5)  # 1 + d + d * d numbers
     n, m = a[0], b[0]
     gap = b[1 : d + 1] - a[1 : d + 1]
@@ -134,8 +134,8 @@ def moments(df: DataFrame, columns: Sequence[str] | Vectors) -> tuple[int, np.nd
     Rows with a missing value in any column are left out.
     """
     d = len(columns)
-    step = lambda state, x: _moments_of(x) if state is None else _moments_merged(state, _moments_of(x))
-    got = folded(df.where(whole(columns)), vector(columns), d, step, _moments_merged)
+    step = lambda state, x: moments_of(x) if state is None else moments_merged(state, moments_of(x))
+    got = folded(df.where(whole(columns)), vector(columns), d, step, moments_merged)
     if got is None:
         return 0, np.zeros(d), np.zeros((d, d))
     return int(got[0]), got[1 : d + 1].copy(), got[d + 1 :].reshape(d, d).copy()

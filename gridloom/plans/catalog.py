@@ -21,7 +21,7 @@ from gridloom.operators.neighbors import KNeighborsClassifier, KNeighborsRegress
 from gridloom.operators.optim import Adam, GradientDescent, StochasticGradientDescent
 from gridloom.operators.order import with_position
 from gridloom.operators.preprocessing import MinMaxScaler, OneHotEncoder, StandardScaler, normalize_rows, polynomial_features
-from gridloom.operators.selection import cross_val_score, fold, select_k_best, train_test_split
+from gridloom.operators.selection import cross_val_linear, cross_val_score, fold, select_k_best, train_test_split
 from gridloom.operators.tiles import Tiles
 from gridloom.sources import files
 from gridloom.sources.scratch import scratch_path
@@ -1052,16 +1052,26 @@ def train_test_parts(spark, sf_dir):
 _FOLDED = f"SELECT l_orderkey % 3 AS f, {_X1} AS x, {_Y1} AS y FROM lineitem"
 
 
-@query(
+_CROSSED = (
     f"WITH d AS ({_FOLDED}), w AS (SELECT k, regr_slope(y, x) AS w, regr_intercept(y, x) AS b, regr_r2(y, x) AS train FROM d, range(3) t(k) WHERE f <> k GROUP BY 1) "
     "SELECT k::INT AS fold, round(any_value(train), 6) AS train, round(1 - sum((y - b - w * x) * (y - b - w * x)) / (var_pop(y) * count(*)), 6) AS test FROM w JOIN d ON f = k GROUP BY 1"
 )
+
+
+@query(_CROSSED)
 def cross_validation(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", _X1, _Y1)
     got = cross_val_score(lambda t: LinearRegression([_X1], _Y1).fit(t), lambda m, t: m.score(t).first()["v"], df, "l_orderkey", 3)
     return rounded(spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(got["train_scores"], got["test_scores"], strict=True))], "fold int, train double, test double"), 6)
 
 
+@query(_CROSSED)
+def cross_validation_sums(spark, sf_dir):
+    """The same scores from one scan that sums by fold."""
+    got = cross_val_linear(table(spark, sf_dir, "lineitem"), [_X1], _Y1, "l_orderkey", 3)
+    return rounded(spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(got["train_scores"], got["test_scores"], strict=True))], "fold int, train double, test double"), 6)
+
+
 @query("SELECT feature, round(score, 6) AS score FROM (SELECT 'l_quantity' AS feature, abs(corr(l_quantity, l_extendedprice)) AS score FROM lineitem UNION ALL SELECT 'l_discount', abs(corr(l_discount, l_extendedprice)) FROM lineitem UNION ALL SELECT 'l_tax', abs(corr(l_tax, l_extendedprice)) FROM lineitem) ORDER BY score DESC LIMIT 2")
 def select_k_best_features(spark, sf_dir):
     return rounded(select_k_best(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], _Y1, 2).select("feature", "score"), 6)

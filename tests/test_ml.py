@@ -9,7 +9,7 @@ from gridloom.operators.linear import Lasso, LinearRegression, LogisticRegressio
 from gridloom.operators.neighbors import KNeighborsClassifier, KNeighborsRegressor
 from gridloom.operators.optim import Adam, GradientDescent, StochasticGradientDescent
 from gridloom.operators.preprocessing import MinMaxScaler, NotFitted, OneHotEncoder, StandardScaler, normalize_rows, polynomial_features
-from gridloom.operators.selection import cross_val_score, select_k_best, train_test_split
+from gridloom.operators.selection import cross_val_linear, cross_val_score, select_k_best, train_test_split
 
 
 @pytest.fixture(scope="module")
@@ -141,3 +141,19 @@ def test_batches_are_walked_in_one_scan_a_pass(spark, workers):
             models.append((n, at))
         x = sum(n * at for n, at in models) / sum(n for n, _ in models)
     assert got[0] == pytest.approx(x) and m.scans == 5
+
+
+def test_cross_validation_from_sums(spark):
+    """The same scores as by fitting and scoring every fold's rows, with one scan."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(50, 3, size=(120, 2))
+    y = x @ [2.0, -1.0] + 7 + rng.normal(size=120)
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, y double").repartition(4)
+    plain = cross_val_score(lambda t: LinearRegression(["a", "b"], "y").fit(t), lambda m, t: m.score(t).first()["v"], df, "id", 4)
+    sums = cross_val_linear(df, ["a", "b"], "y", "id", 4)
+    for k in plain:
+        assert np.allclose(sums[k], plain[k])
+    odd = df.unionByName(spark.createDataFrame([(500, None, 1.0, 1.0), (None, 1.0, 1.0, 1.0)], df.schema))
+    assert np.allclose(cross_val_linear(odd, ["a", "b"], "y", "id", 4)["test_scores"], sums["test_scores"])
+    with pytest.raises(ValueError, match="no rows"):
+        cross_val_linear(df.where("id % 4 <> 1"), ["a", "b"], "y", "id", 4)
