@@ -25,6 +25,7 @@ from gridloom.operators.selection import cross_val_linear, cross_val_score, fold
 from gridloom.operators.tiles import Tiles
 from gridloom.sources import files
 from gridloom.sources.scratch import scratch_path
+from gridloom.streaming.running import running_quantiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -1130,6 +1131,17 @@ def descents_on_lines(spark, sf_dir):
     return rounded(spark.createDataFrame([(n, *map(float, m.minimize(cost, gradient, [0, 0]))) for n, m in got.items()], "optimizer string, p double, q double"), 6)
 
 
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', 0.1::DOUBLE, true), ('{c}', 0.5, true), ('{c}', 0.9, true)" for c in LINES) + ") t(feature, asked, near)")
+def sketched_quantiles(spark, sf_dir):
+    """Quantiles of line items by the sketches that streams keep: whether each has a rank within half a per cent of the one asked for."""
+    df = table(spark, sf_dir, "lineitem").select(*LINES)
+    at = (0.1, 0.5, 0.9)
+    got = running_quantiles(df, LINES, at).first()
+    asked = [(c, p, got[f"median_{c}" if p == 0.5 else f"q{100 * p:g}_{c}"]) for c in LINES for p in at]
+    ranks = df.agg(*[f for i, (c, _, v) in enumerate(asked) for f in (F.avg((F.col(c) < v).cast("int")).alias(f"low{i}"), F.avg((F.col(c) <= v).cast("int")).alias(f"high{i}"))]).first()
+    return spark.createDataFrame([(c, p, bool(ranks[f"low{i}"] - 0.005 <= p <= ranks[f"high{i}"] + 0.005)) for i, (c, p, _) in enumerate(asked)], "feature string, asked double, near boolean")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

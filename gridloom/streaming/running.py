@@ -26,3 +26,43 @@ def windowed_statistics(stream: DataFrame, time: str, columns: Sequence[str], wi
         col = stats.present(c, stream.schema[c].dataType)
         out += [stats.STATISTICS[n](col).alias(f"{n}_{c}") for n in ("mean", "stddev", "min", "max")]
     return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("window")).agg(*out)
+
+
+#: Size of a quantile sketch. With 2,000 the rank of an answer is off by less than 0.25 % of the rows, 99 times in 100.
+SKETCH = 2000
+
+
+def _sketched(stream: DataFrame, columns: Sequence[str], k: int) -> list:
+    return [f for c in columns for f in (F.kll_sketch_agg_double(stats.present(c, stream.schema[c].dataType).cast("double"), k).alias(f"__s_{c}"), F.count(stats.present(c, stream.schema[c].dataType)).alias(f"n_{c}"))]
+
+
+def _quantiles(sketched: DataFrame, columns: Sequence[str], at: Sequence[float]) -> DataFrame:
+    """Sketches as quantiles: ``median_c`` for 0.5, else ``q<per cent>_c``; 0 for no values, as the other statistics have it."""
+    out = [c for c in sketched.columns if not c.startswith(("__s_", "n_"))]
+    for c in columns:
+        for p in at:
+            name = f"median_{c}" if p == 0.5 else f"q{f'{100 * p:g}'.replace('.', '_')}_{c}"
+            out.append(F.when(F.col(f"n_{c}") > 0, F.kll_sketch_get_quantile_double(F.col(f"__s_{c}"), F.lit(float(p)))).otherwise(0.0).alias(name))
+        out.append(f"n_{c}")
+    return sketched.select(*out)
+
+
+def _checked(at: Sequence[float]) -> Sequence[float]:
+    if not all(0 <= p <= 1 for p in at):
+        raise ValueError("quantiles lie between 0 and 1")
+    return at
+
+
+def running_quantiles(stream: DataFrame, columns: Sequence[str], at: Sequence[float] = (0.5,), k: int = SKETCH) -> DataFrame:
+    """Medians or other quantiles of each column so far; write in complete mode.
+
+    What a stream keeps is one mergeable sketch a column (some tens of kilobytes), merged over tasks and micro-batches, whatever has passed.
+    An answer is a value of the column whose rank is near the one asked for (``SKETCH``); nulls and NaN are skipped.
+    """
+    return _quantiles(stream.agg(*_sketched(stream, columns, k)), columns, _checked(at))
+
+
+def windowed_quantiles(stream: DataFrame, time: str, columns: Sequence[str], width: str, late: str, at: Sequence[float] = (0.5,), k: int = SKETCH) -> DataFrame:
+    """The same by time window, closed when the watermark passes it."""
+    windows = stream.withWatermark(time, late).groupBy(F.window(time, width).alias("window"))
+    return _quantiles(windows.agg(*_sketched(stream, columns, k)), columns, _checked(at))
