@@ -438,6 +438,13 @@ def square(spark, sf_dir) -> NDArray:
     return NDArray(p.crossJoin(q).withColumn("v", ((F.col("i0") * 7 + F.col("i1") * 3 + F.col("i0") * F.col("i1")) % 11 + 1).cast("double")), (25, 25))
 
 
+def rect(spark, sf_dir) -> NDArray:
+    """25 columns and a row for each supplier: it grows with the tables."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    rows = with_position(s, ["s_suppkey"], "i0").select("i0", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("i1"))
+    return NDArray(rows.withColumn("v", ((F.col("i0") * 7 + F.col("i1") * 3 + F.col("i0") * F.col("i1")) % 11 + 1).cast("double")), (s.count(), 25))
+
+
 def tall(spark, sf_dir) -> NDArray:
     s = table(spark, sf_dir, "supplier")
     placed = with_position(s.select("s_suppkey", "s_acctbal", "s_nationkey", (F.col("s_suppkey") % 17).alias("k")), ["s_suppkey"], "row")
@@ -446,6 +453,7 @@ def tall(spark, sf_dir) -> NDArray:
 
 X = "x AS (SELECT n_nationkey::BIGINT AS i0, ((n_nationkey * 5) % 7 + 0.5)::DOUBLE AS v FROM nation)"
 A = "a AS (SELECT p.n_nationkey::BIGINT AS i0, q.n_nationkey::BIGINT AS i1, ((p.n_nationkey * 7 + q.n_nationkey * 3 + p.n_nationkey * q.n_nationkey) % 11 + 1)::DOUBLE AS v FROM nation p, nation q)"
+R = "a AS (SELECT p.i AS i0, q.n_nationkey::BIGINT AS i1, ((p.i * 7 + q.n_nationkey * 3 + p.i * q.n_nationkey) % 11 + 1)::DOUBLE AS v FROM (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier) p, nation q)"
 M = (
     "s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_acctbal, s_nationkey, s_suppkey % 17 AS k FROM supplier), "
     "m AS (SELECT i AS i0, 0::BIGINT AS i1, s_acctbal::DOUBLE AS v FROM s UNION ALL SELECT i, 1, s_nationkey::DOUBLE FROM s UNION ALL SELECT i, 2, k::DOUBLE FROM s)"
@@ -475,9 +483,9 @@ def array_random(spark, sf_dir):
     return a.join(b)  # two one-row tables
 
 
-array_query("array_unary", f"WITH {A} SELECT i0, i1, -v AS v FROM a", lambda s, d: +(-square(s, d)))
+array_query("array_unary", f"WITH {R} SELECT i0, i1, -v AS v FROM a", lambda s, d: +(-rect(s, d)))
 array_query("array_copy", f"WITH {A} SELECT i0, i1, v + 1 AS v FROM a", lambda s, d: NDArray(square(s, d).df, (25, 25)).fill(1) + square(s, d))
-array_query("array_offsets", f"WITH {A} SELECT i0, i1, i0 * 25 + i1 AS v FROM a", lambda s, d: (lambda a: a.df.select("i0", "i1", a.flat().alias("v")))(square(s, d)))
+array_query("array_offsets", f"WITH {R} SELECT i0, i1, i0 * 25 + i1 AS v FROM a", lambda s, d: (lambda a: a.df.select("i0", "i1", a.flat().alias("v")))(rect(s, d)))
 query("SELECT 3 AS ndim, count(*) * 50 AS size, count(*) || ',25,2' AS shape, '50,2,1' AS strides, false AS empty, 57::BIGINT AS place FROM nation", "array_shape")(
     lambda s, d: (lambda a: s.createDataFrame([(a.ndim, a.size, ",".join(map(str, a.shape)), ",".join(map(str, a.strides)), a.empty, a.offset((1, 3, 1)))], "ndim int, size long, shape string, strides string, empty boolean, place long"))(NDArray.zeros(s, (table(s, d, "nation").count(), 25, 2)))
 )
@@ -494,7 +502,7 @@ for _op, _f in (("+", lambda a, b: a + b), ("-", lambda a, b: a - b), ("*", lamb
     _word = {"+": "add", "-": "subtract", "*": "multiply", "/": "divide"}[_op]
     array_query(f"array_{_word}", f"{_PAIR} SELECT i0, i1, round(a.v {_op} b.v, 6) AS v FROM a JOIN b USING (i0, i1)", lambda s, d, f=_f: f(square(s, d), square(s, d).transpose()), 6)
     array_query(f"array_{_word}_scalar", f"WITH {A} SELECT i0, i1, round(v {_op} 2.5, 6) AS v FROM a", lambda s, d, f=_f: f(square(s, d), 2.5), 6)
-array_query("array_scalar_left", f"WITH {A} SELECT i0, i1, round(-(3 - v) + (2 + v) * 0 + 2 * v, 6) AS v FROM a", lambda s, d: -(3 - square(s, d)) + (2 + square(s, d)) * 0 + 2 * square(s, d), 6)
+array_query("array_scalar_left", f"WITH {R} SELECT i0, i1, round(-(3 - v) + (2 + v) * 0 + 2 * v, 6) AS v FROM a", lambda s, d: -(3 - rect(s, d)) + (2 + rect(s, d)) * 0 + 2 * rect(s, d), 6)
 _ELEMENTWISE: dict[str, tuple[str, Callable[[Column], Column]]] = {
     "exp": ("exp(v / 10)", lambda v: E.exp(v / 10)), "log": ("ln(v)", E.log), "sqrt": ("sqrt(v)", E.sqrt), "pow": ("pow(v, 1.5)", lambda v: E.power(v, 1.5)),
     "round": ("round(v / 4)", lambda v: E.round_half_away(v / 4)), "ceil": ("ceil(v / 4)", lambda v: E.ceil(v / 4)), "floor": ("floor(v / 4)", lambda v: E.floor(v / 4)), "abs": ("abs(v - 5)", lambda v: E.absolute(v - 5)),
@@ -503,7 +511,7 @@ _ELEMENTWISE: dict[str, tuple[str, Callable[[Column], Column]]] = {
 }
 for _name, (_sql, _f) in _ELEMENTWISE.items():
     _shown = _sql if _sql in ("true", "false") else f"round({_sql}, 6)"
-    array_query(f"elementwise_{_name}", f"WITH {A} SELECT i0, i1, {_shown} AS v FROM a", lambda s, d, f=_f: square(s, d).map(f), 6)
+    array_query(f"elementwise_{_name}", f"WITH {R} SELECT i0, i1, {_shown} AS v FROM a", lambda s, d, f=_f: rect(s, d).map(f), 6)
 
 for _name, _sql in (("sum", "sum(v)"), ("max", "max(v)"), ("min", "min(v)"), ("mean", "avg(v)"), ("variance", "var_samp(v)"), ("standard_deviation", "stddev_samp(v)"), ("median", "median(v)"), ("any", "bool_or(v <> 0)"), ("all", "bool_and(v <> 0)")):
     _shown = _sql if "bool" in _sql else f"round({_sql}, 4)"
@@ -511,56 +519,56 @@ for _name, _sql in (("sum", "sum(v)"), ("max", "max(v)"), ("min", "min(v)"), ("m
     array_query(f"axis0_{_name}", f"WITH {M} SELECT i1 AS i0, {_shown} AS v FROM m GROUP BY 1", lambda s, d, f=_name: getattr(tall(s, d), f)(0))
     array_query(f"axis1_{_name}", f"WITH {M} SELECT i0, {_shown} AS v FROM m GROUP BY 1", lambda s, d, f=_name: getattr(tall(s, d), f)(1))
 array_query("percentile", f"WITH {M} SELECT i1 AS i0, round(quantile_cont(v, 0.3), 4) AS v FROM m GROUP BY 1", lambda s, d: tall(s, d).percentile(30, 0))
-array_query("argmax_axis", f"WITH {A} SELECT i0, min(i1) AS v FROM a JOIN (SELECT i0, max(v) AS t FROM a GROUP BY 1) USING (i0) WHERE v = t GROUP BY 1", lambda s, d: square(s, d).argmax(1))
-array_query("argmin_axis", f"WITH {A} SELECT i1 AS i0, min(a.i0) AS v FROM a JOIN (SELECT i1, min(v) AS t FROM a GROUP BY 1) USING (i1) WHERE v = t GROUP BY 1", lambda s, d: square(s, d).argmin(0))
-array_query("argmax_flat", f"WITH {A} SELECT min(i0 * 25 + i1) AS v FROM a WHERE v = (SELECT max(v) FROM a)", lambda s, d: square(s, d).argmax())
+array_query("argmax_axis", f"WITH {R} SELECT i0, min(i1) AS v FROM a JOIN (SELECT i0, max(v) AS t FROM a GROUP BY 1) USING (i0) WHERE v = t GROUP BY 1", lambda s, d: rect(s, d).argmax(1))
+array_query("argmin_axis", f"WITH {R} SELECT i1 AS i0, min(a.i0) AS v FROM a JOIN (SELECT i1, min(v) AS t FROM a GROUP BY 1) USING (i1) WHERE v = t GROUP BY 1", lambda s, d: rect(s, d).argmin(0))
+array_query("argmax_flat", f"WITH {R} SELECT min(i0 * 25 + i1) AS v FROM a WHERE v = (SELECT max(v) FROM a)", lambda s, d: rect(s, d).argmax())
 array_query("trace", f"WITH {A} SELECT sum(v) AS v FROM a WHERE i0 = i1", lambda s, d: square(s, d).trace())
 array_query(
     "histogram",
     f"WITH {M}, c AS (SELECT v FROM m WHERE i1 = 0), e AS (SELECT min(v) AS lo, max(v) AS hi FROM c), h AS (SELECT least(floor((v - lo) / ((hi - lo) / 10)), 9)::BIGINT AS i0, count(*) AS n FROM c, e GROUP BY 1) SELECT i AS i0, coalesce(n, 0)::DOUBLE AS v FROM range(10) t(i) LEFT JOIN h ON i = i0",
     lambda s, d: tall(s, d).slice([(0, table(s, d, "supplier").count()), (0, 1)]).histogram(10),
 )
-array_query("bincount", f"WITH {A} SELECT i AS i0, count(a.v)::DOUBLE AS v FROM range(12) t(i) LEFT JOIN a ON a.v = i GROUP BY 1", lambda s, d: square(s, d).bincount())
-array_query("digitize", f"WITH {A} SELECT i0, i1, ((v >= 2)::INT + (v >= 5)::INT + (v >= 9)::INT)::BIGINT AS v FROM a", lambda s, d: square(s, d).digitize([2, 5, 9]))
+array_query("bincount", f"WITH {R} SELECT i AS i0, count(a.v)::DOUBLE AS v FROM range(12) t(i) LEFT JOIN a ON a.v = i GROUP BY 1", lambda s, d: rect(s, d).bincount())
+array_query("digitize", f"WITH {R} SELECT i0, i1, ((v >= 2)::INT + (v >= 5)::INT + (v >= 9)::INT)::BIGINT AS v FROM a", lambda s, d: rect(s, d).digitize([2, 5, 9]))
 array_query("correlation", f"{_PAIR} SELECT round(corr(a.v, b.v), 6) AS v FROM a JOIN b USING (i0, i1)", lambda s, d: correlation(square(s, d), square(s, d).transpose()), 6)
 array_query("covariance", "SELECT i0, i1, round(v, 6) AS v FROM (" + " UNION ALL ".join(f"SELECT {i}::BIGINT AS i0, {j}::BIGINT AS i1, covar_samp({LINES[i]}, {LINES[j]}) AS v FROM lineitem" for i in range(4) for j in range(4)) + ")", lambda s, d: linalg.covariance(table(s, d, "lineitem"), LINES), 6)
-array_query("array_normalize", f"WITH {A} SELECT i0, i1, round(v / sqrt(sum(v * v) OVER ()), 6) AS v FROM a", lambda s, d: square(s, d).normalize(), 6)
-array_query("array_standardize", f"WITH {A} SELECT i0, i1, round((v - avg(v) OVER ()) / stddev_samp(v) OVER (), 6) AS v FROM a", lambda s, d: square(s, d).standardize(), 6)
-array_query("array_broadcast", f"WITH {A}, {X} SELECT a.i0, a.i1, a.v * x.v AS v FROM a JOIN x ON x.i0 = a.i1", lambda s, d: square(s, d).zip(vector(s, d), lambda a, b: a * b))
+array_query("array_normalize", f"WITH {R} SELECT i0, i1, round(v / sqrt(sum(v * v) OVER ()), 6) AS v FROM a", lambda s, d: rect(s, d).normalize(), 6)
+array_query("array_standardize", f"WITH {R} SELECT i0, i1, round((v - avg(v) OVER ()) / stddev_samp(v) OVER (), 6) AS v FROM a", lambda s, d: rect(s, d).standardize(), 6)
+array_query("array_broadcast", f"WITH {R}, {X} SELECT a.i0, a.i1, a.v * x.v AS v FROM a JOIN x ON x.i0 = a.i1", lambda s, d: rect(s, d).zip(vector(s, d), lambda a, b: a * b))
 query(f"WITH {A}, {X} SELECT true AS reflexive, bool_and(a.v = b.v) AS symmetric, false AS diagonal, true AS square FROM a JOIN a b ON a.i0 = b.i1 AND a.i1 = b.i0", "array_predicates")(
     lambda s, d: (lambda a: s.createDataFrame([(a.equals(a), a.is_symmetric(), a.is_diagonal(), a.is_square())], "reflexive boolean, symmetric boolean, diagonal boolean, square boolean"))(square(s, d))
 )
 
 # scans, stencils and sorts
 
-array_query("cumsum", f"WITH {A} SELECT i0, i1, sum(v) OVER (PARTITION BY i1 ORDER BY i0) AS v FROM a", lambda s, d: square(s, d).cumsum(0))
+array_query("cumsum", f"WITH {R} SELECT i0, i1, sum(v) OVER (PARTITION BY i1 ORDER BY i0) AS v FROM a", lambda s, d: rect(s, d).cumsum(0))
 array_query("cumprod", f"WITH {X} SELECT i0, round(product(v / 3) OVER (ORDER BY i0), 6) AS v FROM x", lambda s, d: (vector(s, d) / 3).cumprod(), 6)
 array_query("cumsum_orders", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i0, round(sum(o_totalprice) OVER (ORDER BY o_orderkey), 2) AS v FROM orders", lambda s, d: NDArray(with_position(table(s, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], "i0").select("i0", F.col("o_totalprice").alias("v")), (table(s, d, "orders").count(),)).cumsum(), 2)
 array_query("diff", f"WITH {X} SELECT p.i0, q.v - p.v AS v FROM x p JOIN x q ON q.i0 = p.i0 + 2", lambda s, d: vector(s, d).diff(2))
 array_query("gradient", f"WITH {X} SELECT i0, round(CASE WHEN i0 = 0 THEN (lead(v) OVER w - v) / 0.5 WHEN i0 = 24 THEN (v - lag(v) OVER w) / 0.5 ELSE (lead(v) OVER w - lag(v) OVER w) / 1.0 END, 6) AS v FROM x WINDOW w AS (ORDER BY i0)", lambda s, d: vector(s, d).gradient(0.5), 6)
-array_query("trapz", f"WITH {A}, w AS (SELECT i0, (v + lead(v) OVER (PARTITION BY i0 ORDER BY i1)) / 2 AS t FROM a) SELECT i0, sum(t) AS v FROM w GROUP BY 1", lambda s, d: square(s, d).trapz())
-array_query("sort_flat", f"WITH {A}, r AS (SELECT row_number() OVER (ORDER BY v, i0, i1) - 1 AS p, v FROM a) SELECT p // 25 AS i0, p % 25 AS i1, v FROM r", lambda s, d: square(s, d).sort())
-array_query("sort_axis0", f"WITH {A} SELECT row_number() OVER (PARTITION BY i1 ORDER BY v, i0) - 1 AS i0, i1, v FROM a", lambda s, d: square(s, d).sort(0))
-array_query("argsort_axis1", f"WITH {A} SELECT i0, row_number() OVER (PARTITION BY i0 ORDER BY v, i1) - 1 AS i1, i1 AS v FROM a", lambda s, d: square(s, d).argsort(1))
-array_query("argsort_flat", f"WITH {A} SELECT row_number() OVER (ORDER BY v, i0, i1) - 1 AS i0, i0 * 25 + i1 AS v FROM a", lambda s, d: square(s, d).argsort())
+array_query("trapz", f"WITH {R}, w AS (SELECT i0, (v + lead(v) OVER (PARTITION BY i0 ORDER BY i1)) / 2 AS t FROM a) SELECT i0, sum(t) AS v FROM w GROUP BY 1", lambda s, d: rect(s, d).trapz())
+array_query("sort_flat", f"WITH {R}, r AS (SELECT row_number() OVER (ORDER BY v, i0, i1) - 1 AS p, v FROM a) SELECT p // 25 AS i0, p % 25 AS i1, v FROM r", lambda s, d: rect(s, d).sort())
+array_query("sort_axis0", f"WITH {R} SELECT row_number() OVER (PARTITION BY i1 ORDER BY v, i0) - 1 AS i0, i1, v FROM a", lambda s, d: rect(s, d).sort(0))
+array_query("argsort_axis1", f"WITH {R} SELECT i0, row_number() OVER (PARTITION BY i0 ORDER BY v, i1) - 1 AS i1, i1 AS v FROM a", lambda s, d: rect(s, d).argsort(1))
+array_query("argsort_flat", f"WITH {R} SELECT row_number() OVER (ORDER BY v, i0, i1) - 1 AS i0, i0 * 25 + i1 AS v FROM a", lambda s, d: rect(s, d).argsort())
 
 # reshaping
 
-array_query("reshape", f"WITH {A} SELECT (i0 * 25 + i1) // 5 AS i0, (i0 * 25 + i1) % 5 AS i1, v FROM a", lambda s, d: square(s, d).reshape((125, 5)))
-array_query("flatten", f"WITH {A} SELECT i0 * 25 + i1 AS i0, v FROM a", lambda s, d: square(s, d).flatten())
+array_query("reshape", f"WITH {R} SELECT (i0 * 25 + i1) // 5 AS i0, (i0 * 25 + i1) % 5 AS i1, v FROM a", lambda s, d: (lambda a: a.reshape((a.shape[0] * 5, 5)))(rect(s, d)))
+array_query("flatten", f"WITH {R} SELECT i0 * 25 + i1 AS i0, v FROM a", lambda s, d: rect(s, d).flatten())
 array_query("transpose", f"WITH {M} SELECT i1 AS i0, i0 AS i1, round(v, 4) AS v FROM m", lambda s, d: tall(s, d).transpose())
-array_query("swapaxes", f"WITH {A} SELECT i0 AS i1, i1 AS i0, 0::BIGINT AS i2, v FROM a", lambda s, d: square(s, d).expand_dims(0).swapaxes(0, 2))
+array_query("swapaxes", f"WITH {R} SELECT i0 AS i1, i1 AS i0, 0::BIGINT AS i2, v FROM a", lambda s, d: rect(s, d).expand_dims(0).swapaxes(0, 2))
 array_query("rotate90", f"WITH {M}, n AS (SELECT count(*) AS n FROM s) SELECT i1 AS i0, n - 1 - i0 AS i1, round(v, 4) AS v FROM m, n", lambda s, d: tall(s, d).rotate90())
 array_query("flip", f"WITH {A} SELECT 24 - i0 AS i0, 24 - i1 AS i1, v FROM a", lambda s, d: square(s, d).flip().flip(False))
 array_query("array_slice", f"WITH {A} SELECT i0 - 2 AS i0, i1 - 10 AS i1, v FROM a WHERE i0 BETWEEN 2 AND 5 AND i1 BETWEEN 10 AND 19", lambda s, d: square(s, d).slice([(2, 6), (10, 20)]))
-array_query("concatenate", f"WITH {A} SELECT i0, i1, v FROM a UNION ALL SELECT i0, i1 + 25, v FROM a", lambda s, d: square(s, d).concatenate(square(s, d), 1))
-array_query("stack", f"WITH {A} SELECT k AS i0, i0 AS i1, i1 AS i2, v FROM a, range(2) t(k)", lambda s, d: square(s, d).stack(square(s, d)))
+array_query("concatenate", f"WITH {R} SELECT i0, i1, v FROM a UNION ALL SELECT i0, i1 + 25, v FROM a", lambda s, d: rect(s, d).concatenate(rect(s, d), 1))
+array_query("stack", f"WITH {R} SELECT k AS i0, i0 AS i1, i1 AS i2, v FROM a, range(2) t(k)", lambda s, d: rect(s, d).stack(rect(s, d)))
 array_query("split", f"WITH {A} SELECT i0 - 20 AS i0, i1, v FROM a WHERE i0 >= 20", lambda s, d: square(s, d).split(5, 0)[4])
-array_query("repeat", f"WITH {A} SELECT i0, i1 * 3 + k AS i1, v FROM a, range(3) t(k)", lambda s, d: square(s, d).repeat(3, 1))
+array_query("repeat", f"WITH {R} SELECT i0, i1 * 3 + k AS i1, v FROM a, range(3) t(k)", lambda s, d: rect(s, d).repeat(3, 1))
 array_query("expand_squeeze", f"WITH {X} SELECT i0, v FROM x", lambda s, d: vector(s, d).expand_dims(0).expand_dims(2).squeeze())
 array_query("pad_constant", f"WITH {X} SELECT i AS i0, coalesce(v, -1) AS v FROM range(30) t(i) LEFT JOIN x ON i0 = i - 2", lambda s, d: vector(s, d).pad([(2, 3)], value=-1))
 array_query("pad_edge", f"WITH {A} SELECT p.i AS i0, q.i AS i1, v FROM range(28) p(i), range(27) q(i), a WHERE a.i0 = least(greatest(p.i - 1, 0), 24) AND a.i1 = least(greatest(q.i - 2, 0), 24)", lambda s, d: square(s, d).pad([(1, 2), (2, 0)], "edge"))
-array_query("optimize_layout", f"WITH {A} SELECT i0, i1, v FROM a", lambda s, d: square(s, d).optimize_layout())
+array_query("optimize_layout", f"WITH {R} SELECT i0, i1, v FROM a", lambda s, d: rect(s, d).optimize_layout())
 
 # linear algebra
 
