@@ -10,7 +10,7 @@ from gridloom.llm import queries
 def test_query(spark, sf_dir, name):
     df = queries.queries()[name](spark, sf_dir)
     con = duckdb.connect()
-    for t in ("pages", "embeddings", "conversations"):
+    for t in ("pages", "embeddings", "conversations", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = con.execute(queries.oracle_sql()[name])
     columns = sorted(df.columns)
