@@ -82,6 +82,16 @@ def test_products_move_tiles_not_cells(spark):
     assert "Join" not in plan and "HashAggregate" not in plan
 
 
+@pytest.mark.parametrize(("n", "k", "m"), [(37, 3, 4), (1, 1, 1), (37, 4, 9), (50, 4, 2)])
+def test_tall_matrices_stay_where_they_lie(spark, n, k, m):
+    """No tile of the tall side is dealt out again, by the product with a small matrix or by the Gram matrix."""
+    x, y = rng.normal(size=(n, k)), rng.normal(size=(k, m))
+    a, b = Tiles.of_array(array(spark, x), 4), Tiles.of_array(array(spark, y), 4)
+    assert np.allclose(numbers(a.matmul(b)), x @ y) and np.allclose(numbers(a.matmul(b).gram()), (x @ y).T @ (x @ y))
+    shuffles = lambda t: t.df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(ti")
+    assert shuffles(a.matmul(b)) == shuffles(a) + shuffles(b) and shuffles(a.gram()) == shuffles(a)
+
+
 # triangles
 
 
