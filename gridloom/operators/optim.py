@@ -43,6 +43,9 @@ class StochasticGradientDescent:
     Rows are laid out once: batches lie one after another in the partitions of a staged table, each whole in one of them.
     A pass is one scan: every task walks its batches from the model that the pass began with, and the models of the tasks are averaged by their
     rows, in two levels. With one worker the batches follow each other as on one machine.
+
+    Batches of more than ``piece_rows`` rows are in no task as a whole: a step is a job of all tasks over the batch, which take its gradient in pieces and
+    average the pieces by rows. So the gradient must be a mean over rows there.
     """
 
     lr: float = 0.01
@@ -51,6 +54,8 @@ class StochasticGradientDescent:
     tol: float = 1e-6
     #: Tasks that walk batches side by side.
     workers: int = 1
+    #: Rows of a batch that a task takes at once.
+    piece_rows: int = 1 << 16
     scans: int = 0
 
     def minimize(self, data: DataFrame, key: str, columns: Sequence[str], gradient: Callable[[np.ndarray, np.ndarray], np.ndarray], start: Sequence[float]) -> np.ndarray:
@@ -64,6 +69,8 @@ class StochasticGradientDescent:
         batch = F.pmod(F.col(key), F.lit(batches)).alias("b")
         share = F.floor(F.col("b") * workers / batches).cast("int").alias("w")
         laid = own.select(batch, F.col(key).alias("k"), vector(columns).alias("x")).select(share, "b", "k", "x")
+        if self.batch_size > self.piece_rows:
+            return self._by_steps(laid, batches, workers, d, gradient, np.array(start, float))
         rows = staged(laid.repartition(workers, "w").sortWithinPartitions("w", "b", "k", "x").select("w", "b", "x"), "sgd-batches")
         x = np.array(start, float)
         self.scans = 1
@@ -83,6 +90,47 @@ class StochasticGradientDescent:
             dropped(rows)
         return x
 
+    def _by_steps(self, laid: DataFrame, batches: int, workers: int, d: int, gradient: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np.ndarray) -> np.ndarray:
+        """The same passes, each step a scan of its batch's rows, which lie together in the staged table."""
+        rows = staged(laid.select("b", "k", "x").repartitionByRange("b", "k").sortWithinPartitions("b", "k", "x").select("b", "x"), "sgd-batches")
+        self.scans = 1
+        try:
+            for _ in range(self.max_iter):
+                total, seen = np.zeros(len(x)), 0.0
+                for w in range(workers):
+                    at, n = x, 0.0
+                    for b in range(-(-w * batches // workers), -(-(w + 1) * batches // workers)):
+                        got = tree_merged(rows.where(F.col("b") == b).select("x").mapInArrow(_pieces(gradient, at, d, self.piece_rows), "v binary"), lambda p, q: p + q)
+                        if got is not None:
+                            at, n = at - self.lr * got[1:] / got[0], n + got[0]
+                    total, seen = total + n * at, seen + n
+                self.scans += 1
+                if not seen:
+                    break
+                moved, x = np.linalg.norm(total / seen - x), total / seen
+                if moved < self.tol:
+                    break
+        finally:
+            dropped(rows)
+        return x
+
+
+def _pieces(gradient: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np.ndarray, d: int, most: int):
+    """(rows, rows * gradient) of a task's rows of a batch, most rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            cells = matrix(b.column(0), d)
+            for at in range(0, len(cells), most):
+                part = cells[at : at + most]
+                state = np.append(len(part), len(part) * np.asarray(gradient(part, x), float))
+                total = state if total is None else total + state
+        if total is not None:
+            yield state_batch(total)
+
+    return run
+
 
 def _walked(gradient: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, lr: float, d: int):
     """Rows sorted by worker and batch: (rows, rows * model) of each worker after its last batch."""

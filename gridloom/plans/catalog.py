@@ -1097,7 +1097,7 @@ _PASSES = "p0 AS (SELECT 0::DOUBLE AS x, 0::DOUBLE AS y)" + "".join(
 @query(f"WITH {_MEANS}, {_PASSES} SELECT 'gradient_descent' AS optimizer, round(x, 3) AS x, round(y, 3) AS y FROM m UNION ALL SELECT 'adam', round(x, 3), round(y, 3) FROM m UNION ALL SELECT 'sgd', round(x, 3), round(y, 3) FROM p12")
 def optimizers(spark, sf_dir):
     """Minimise the squared distance to the mean discount and tax with each optimiser."""
-    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_tax").persist()
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_tax")
     mean = np.array(df.agg(F.avg("l_discount"), F.avg("l_tax")).first(), float)
 
     def gradient(x: np.ndarray) -> np.ndarray:
@@ -1112,7 +1112,6 @@ def optimizers(spark, sf_dir):
         "adam": Adam(lr=0.01, max_iter=500).minimize(cost, gradient, [0, 0]),
         "sgd": StochasticGradientDescent(lr=0.2, max_iter=3, batch_size=-(-df.count() // 4)).minimize(df, "l_orderkey", ["l_discount", "l_tax"], batch, [0, 0]),
     }
-    df.unpersist()
     return rounded(spark.createDataFrame([(n, float(x[0]), float(x[1])) for n, x in got.items()], "optimizer string, x double, y double"), 3)
 
 

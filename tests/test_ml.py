@@ -143,6 +143,23 @@ def test_batches_are_walked_in_one_scan_a_pass(spark, workers):
     assert got[0] == pytest.approx(x) and m.scans == 5
 
 
+@pytest.mark.parametrize("workers", [1, 3])
+def test_large_batches_are_taken_in_pieces(spark, workers):
+    """No call of the gradient sees more rows than a piece, and the model is that of whole batches."""
+    y = np.random.default_rng(2).normal(size=500)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)] + [(7, None)], "id long, y double").repartition(5)
+
+    def gradient(rows, x):
+        assert len(rows) <= 20 and rows.shape[1] == 2
+        return 2 * (x - rows[:, :1].mean(axis=0))
+
+    whole = lambda rows, x: 2 * (x - rows[:, :1].mean(axis=0))
+    m = StochasticGradientDescent(lr=0.3, max_iter=3, batch_size=100, tol=0.0, workers=workers, piece_rows=20)
+    got = m.minimize(df, "id", ["y", "id"], gradient, [5.0])  # more columns than parameters
+    plain = StochasticGradientDescent(lr=0.3, max_iter=3, batch_size=100, tol=0.0, workers=workers).minimize(df, "id", ["y", "id"], whole, [5.0])
+    assert got[0] == pytest.approx(plain[0], rel=1e-12) and m.scans == 4
+
+
 def test_cross_validation_from_sums(spark):
     """The same scores as by fitting and scoring every fold's rows, with one scan."""
     rng = np.random.default_rng(5)
