@@ -30,6 +30,8 @@ from gridloom.sources.scratch import staged
 
 #: Distances that a task holds at once.
 ROUGH = 1 << 22
+#: Cells of the copies of queries that are passed on at once.
+SENT = 1 << 20
 
 
 @dataclass
@@ -132,8 +134,10 @@ def _sent(cells: Cells, queries: bool):
                 row = np.repeat(row, units)
                 ends = np.cumsum(units)
                 unit = np.repeat(cells.first[cell] - (ends - units), units) + np.arange(ends[-1] if len(ends) else 0)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), own.column(0).take(take), own.column(1).take(take)], names=["__u", "__q", "__x"])
+                many = max(1, SENT // max(1, d))  # a query has a copy for each unit, so copies are made a few at a time
+                for lo in range(0, len(row), many):
+                    take = pa.array(row[lo : lo + many])
+                    yield pa.RecordBatch.from_arrays([pa.array(unit[lo : lo + many].astype(np.int32)), own.column(0).take(take), own.column(1).take(take)], names=["__u", "__q", "__x"])
 
     return run
 

@@ -1,11 +1,12 @@
 """Sums of blocks, tiles, triangles, cells and bounds against numpy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import metrics
-from gridloom.operators import linalg, tsqr
+from gridloom.operators import linalg, neighbors, tsqr
 from gridloom.operators.blocks import Vectors, moments
 from gridloom.operators.cluster import KMeans, squares
 from gridloom.operators.neighbors import KNeighborsClassifier, KNeighborsRegressor
@@ -188,6 +189,19 @@ def test_neighbors_equal_brute_force(spark, d, unit):
         assert all(y == t % 3 for _, _, t, y in mine)
 
 
+def test_copies_of_queries_are_passed_on_in_small_batches():
+    """However many cells every query visits, no batch of copies holds more than SENT cells; none is lost."""
+    d, cells, asked = 64, 128, 600
+    x = rng.normal(size=(cells, d))
+    ones = np.ones(cells, np.int64)
+    c = neighbors.Cells(x, ones, ones * np.inf, ones * 0.0, np.full((cells, 5), np.inf), np.arange(cells), ones)
+    q = pa.RecordBatch.from_arrays([pa.array(range(asked)), pa.array(list(rng.normal(size=(asked, d))))], names=["__q", "__x"])
+    got = list(neighbors._sent(c, True)(iter([q])))
+    assert max(b.num_rows for b in got) * d <= neighbors.SENT
+    pairs = {(u, k) for b in got for u, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert len(pairs) == sum(b.num_rows for b in got) == cells * asked
+
+
 def test_far_cells_are_not_asked(spark):
     """Well separated groups: a query goes to its own group's cells only."""
     x = np.vstack([rng.normal(size=(100, 3)) + 1000 * g for g in range(6)])
