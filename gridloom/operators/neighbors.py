@@ -6,6 +6,7 @@ than the query's distance to a pivot and the row's own. A query is sent only to
 neither the cell's radius, nor its inner radius, nor the plane half way to the query's own pivot may keep it out.
 A cell of many rows is dealt over several units. A task holds one unit's rows, reads its queries batch by batch and
 keeps the k best of each, so no pair of rows is ever listed or sorted; the best of a query's units are ranked at the end.
+What a Python worker holds is bounded, however many rows there are: the pivots, a unit, ROUGH distances and SENT cells of copies.
 
 Defined cases: training rows with a missing coordinate take no part and rows that ask with one have no neighbours (a null
 prediction); equal distances go to the smaller training key; fewer training rows than k are all neighbours; rows that repeat
